@@ -78,14 +78,23 @@ def list_nodes(layout: dict) -> list[ListNode]:
 # ---------------------------------------------------------------- JSON payloads
 
 
+class Number:
+    """A JSON number as it was written; not a string, so it is never opened as JSON again."""
+
+    __slots__ = ("text",)
+
+    def __init__(self, text: str):
+        self.text = text
+
+
 def _no_constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
 def _loads(text: str):
-    """Strict JSON with numbers left as text, so none is too long; raises ValueError otherwise."""
+    """Strict JSON with numbers left as written, so none is too long; raises ValueError otherwise."""
     try:
-        return json.loads(text, parse_int=str, parse_float=str, parse_constant=_no_constant)
+        return json.loads(text, parse_int=Number, parse_float=Number, parse_constant=_no_constant)
     except RecursionError as e:
         raise ValueError("nested too deeply") from e
 
@@ -103,7 +112,7 @@ def _unwrap(value):
 def _leaf(value) -> str | None:
     if value is None:
         return None
-    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = value if isinstance(value, str) else value.text if isinstance(value, Number) else json.dumps(value, ensure_ascii=False, default=lambda x: x.text)
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
