@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import encode, packing, quality
+from sedimenta.llm import encode, names, packing, quality
 from sedimenta.session import table
 
 
+# ---------------------------------------------------------------- 5 names
+
+
+def _linked(spark: SparkSession, sf: str) -> DataFrame:
+    drug, demo = table(spark, sf, "faers_drug"), table(spark, sf, "faers_demo")
+    fields = names.spellings(drug, "drugname", "drugname", "product").unionByName(names.spellings(drug, "prod_ai", "prod_ai", "ingredient"))
+    return names.link_spellings(fields.unionByName(names.spellings(demo, "mfr_sndr", "mfr_sndr", "sender")))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.pairs_of(_linked(spark, sf))
+
+
+def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every spelling with its entity and the number of other spellings it is linked to."""
+    linked = _linked(spark, sf)
+    sizes = linked.groupBy("field", "cluster").agg((F.count("*") - 1).alias("links"))
+    return linked.join(sizes, ["field", "cluster"]).select("field", "name", "n", "cluster", "links")
+
+
 # ---------------------------------------------------------------- 7 token ids
 
 
@@ -44,7 +64,7 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.statistics(table(spark, sf, "documents"), "doc_id", "text", common_words(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_pack, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_clusters, p7_ids, p8_pack, p9_found, p9_statistics)}
 
 P9_STATISTICS = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
