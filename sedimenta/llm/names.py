@@ -35,9 +35,10 @@ from sedimenta.session import cut
 # Fixed words that name no product, ingredient or sender.
 FORMS = {"tab", "tabs", "tablet", "tablets", "cap", "caps", "capsule", "capsules", "susp", "suspension", "inj", "injection", "injectable", "cream", "ointment", "gel", "oral", "sol", "soln", "solution", "syrup", "film", "coated", "filmcoated", "powder", "patch", "spray", "drops", "extended", "release", "er", "xr", "sr", "cr", "brand", "generic", "unspec", "unspecified", "unknown", "nos"}
 DOSING = {"mg", "mcg", "ug", "g", "gm", "kg", "ml", "l", "iu", "unit", "units", "meq", "mmol", "mgml", "qd", "bid", "tid", "qid", "prn", "daily", "weekly", "once", "twice", "every", "day", "week", "hours", "po", "iv", "im", "sc"}
-SALTS = {"hydrochloride", "hydrochlor", "hcl", "cl", "h", "sulfate", "sulphate", "sulf", "sulph", "mesylate", "mesilate", "mesyl", "tartrate", "tart", "potassium", "pot", "k", "sodium", "sod", "na", "anhydrous", "as", "base", "salt", "and"}
+SALTS = {"hydrochloride", "hydrochlor", "hcl", "cl", "h", "sulfate", "sulf", "mesylate", "mesilate", "mesyl", "tartrate", "tart", "potassium", "pot", "k", "sodium", "sod", "na", "anhydrous", "as", "base", "salt", "and"}
 LEGAL = {"inc", "incorporated", "corp", "corporation", "ltd", "limited", "llc", "gmbh", "sa", "ag", "co", "company", "plc", "bv", "nv", "and"}
-SECTORS = {"pharmaceuticals", "pharmaceutical", "pharma", "pharm", "pharms", "therapeutics", "thera", "ther", "biologics", "bio", "biol", "laboratories", "laboratory", "labs", "lab", "medicines", "meds", "med", "generics", "generic", "gen", "healthcare", "health", "care", "hc", "life", "sciences", "science", "sci", "lifesci", "lifesciences"}
+# (folded as names are: ph written f)
+SECTORS = {"farmaceuticals", "farmaceutical", "farma", "farm", "farms", "therapeutics", "thera", "ther", "biologics", "bio", "biol", "laboratories", "laboratory", "labs", "lab", "medicines", "meds", "med", "generics", "generic", "gen", "healthcare", "health", "care", "hc", "life", "sciences", "science", "sci", "lifesci", "lifesciences"}
 
 _BRACKETS = re.compile(r"\([^)]*\)|\[[^\]]*\]|/\d+/")
 _DOSE = re.compile(r"\d[\d.,]*\s*(?:mg|mcg|ug|g|ml|l|iu|%)?(?:\s*/\s*[\d.,]*\s*(?:mg|mcg|ug|g|ml|l|h|hr))?\b")
@@ -47,9 +48,9 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 
 def fold(name: str) -> str:
-    """Lower case without accents."""
+    """Lower case without accents, ``ph`` as it sounds."""
     text = unicodedata.normalize("NFKD", name)
-    return "".join(c for c in text if not unicodedata.combining(c)).lower().strip()
+    return "".join(c for c in text if not unicodedata.combining(c)).lower().strip().replace("ph", "f")
 
 
 def core(field: str, name: str) -> list[str]:
@@ -222,7 +223,7 @@ def only_vowels_differ(a: list[str], b: list[str]) -> bool:
 
 
 #: A spelling joins another only if that one is so many times as frequent; a mere vowel needs more.
-DOMINANCE, VOWEL_DOMINANCE = 3.5, 8.0
+DOMINANCE, VOWEL_DOMINANCE = 2.5, 4.5
 LEAST_SIMILARITY = 0.80
 
 
