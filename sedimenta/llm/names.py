@@ -8,7 +8,7 @@ Monge-Elkan similarity, whose inner measure weighs slips of the hand against rea
 nodes are clustered by star clustering: a rarer spelling joins the star of a much more frequent one.
 
 Two spellings that are both frequent are two entities however alike they look, and so are spellings
-that differ in a vowel that no slip explains. That keeps look-alikes apart that string distance cannot.
+that differ in a vowel that no slip explains. That keeps look-alikes apart where string distance cannot.
 
 Defined results: null and blank names are left out; repeated rows only add to a spelling's count; a name of
 which nothing is left as core keeps its whole folded text; ties go to the greater count, then the lesser id.
@@ -215,24 +215,29 @@ def name_similarity(rare: list[str], frequent: list[str]) -> float:
     return best
 
 
-def only_vowels_differ(a: list[str], b: list[str]) -> bool:
-    """Words of the same letters but for one vowel in place of another."""
+def only_vowel(a: list[str], b: list[str]) -> tuple[str, str] | None:
+    """The two vowels, if the names have the same letters but for one vowel in place of another."""
     x, y = "".join(a), "".join(b)
+    if len(x) != len(y):
+        return None
     odd = [(p, q) for p, q in zip(x, y) if p != q]
-    return len(x) == len(y) and len(odd) == 1 and odd[0][0] in VOWELS and odd[0][1] in VOWELS
+    return odd[0] if len(odd) == 1 and odd[0][0] in VOWELS and odd[0][1] in VOWELS else None
 
 
-#: A spelling joins another only if that one is so many times as frequent; a mere vowel needs more.
-DOMINANCE, VOWEL_DOMINANCE = 2.5, 4.5
+#: A spelling joins another only if that one is so many times as frequent.
+DOMINANCE = 2.5
+#: A spelling that differs in a mere vowel joins only if it is rarer than this share of the usual entity.
+USUAL_SHARE = 0.4
 LEAST_SIMILARITY = 0.80
 
 
-def accepts(rare: list[str], frequent: list[str], times: float) -> float:
-    """Similarity if the rarer spelling may join the more frequent one, else 0."""
-    if times < (VOWEL_DOMINANCE if only_vowels_differ(rare, frequent) else DOMINANCE):
-        return 0.0
+def accepts(rare: list[str], frequent: list[str]) -> tuple[float, bool]:
+    """Similarity if the rarer spelling may join the more frequent one, else 0; and whether only a vowel differs."""
+    vowels = only_vowel(rare, frequent)
+    if vowels and change_cost(*vowels) > SLIP:
+        return 0.0, True
     value = name_similarity(rare, frequent)
-    return value if value >= LEAST_SIMILARITY else 0.0
+    return (value if value >= LEAST_SIMILARITY else 0.0), vowels is not None
 
 
 # ---------------------------------------------------------------- Spark operator
@@ -285,19 +290,29 @@ def candidates(nodes: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
 
 
 def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(rare, frequent, similarity, weight) of the pairs that Monge-Elkan accepts; weight is that of the frequent node."""
-    left = nodes.select(F.col("node").alias("rare"), F.col("core").alias("a"), F.col("weight").alias("wa"))
-    right = nodes.select(F.col("node").alias("frequent"), F.col("core").alias("b"), F.col("weight").alias("wb"))
-    full = pairs.join(left, "rare").join(right, "frequent").select("rare", "frequent", "a", "b", "wa", "wb")
+    """(rare, frequent, similarity, weight) of the pairs that Monge-Elkan accepts; weight is that of the frequent node.
+
+    Pairs that differ in one vowel count only where the rarer spelling is much rarer than an entity of its field usually
+    is, that being the median weight of nodes that no other pair binds to a more frequent one.
+    """
+    left = nodes.select(F.col("node").alias("rare"), F.col("core").alias("a"), F.col("weight").alias("wa"), "field")
+    right = nodes.select(F.col("node").alias("frequent"), F.col("core").alias("b"), F.col("weight").alias("weight"))
+    full = pairs.join(left, "rare").join(right, "frequent").select("rare", "frequent", "a", "b", "wa", "weight", "field")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [accepts(a.split(" "), b.split(" "), v / w) for a, b, w, v in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "wa", "wb")))]
-            keep = pa.array([s > 0 for s in scores])
-            out = pa.RecordBatch.from_arrays([batch.column("rare"), batch.column("frequent"), pa.array(scores, pa.float64()), batch.column("wb")], names=["rare", "frequent", "similarity", "weight"])
-            yield out.filter(keep)
-
-    return full.mapInArrow(run, "rare bigint, frequent bigint, similarity double, weight bigint")
+            scores = [accepts(a.split(" "), b.split(" ")) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            keep = pa.array([s > 0 for s, _ in scores], pa.bool_())
+            columns = [batch.column("rare"), batch.column("frequent"), pa.array([s for s, _ in scores], pa.float64()), batch.column("weight"), batch.column("field"), batch.column("wa"), pa.array([v for _, v in scores], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["rare", "frequent", "similarity", "weight", "field", "wa", "vowel"]).filter(keep)
+
+    scored = cut(full.mapInArrow(run, "rare bigint, frequent bigint, similarity double, weight bigint, field string, wa bigint, vowel boolean"))
+    sure = scored.where(~F.col("vowel"))
+    free = nodes.join(sure.select(F.col("rare").alias("node")), "node", "left_anti")
+    usual = free.groupBy("field").agg(F.percentile_approx("weight", 0.5).alias("usual"))
+    slips = scored.where("vowel").join(usual, "field").where(F.col("wa") < F.col("usual") * USUAL_SHARE)
+    columns = ["rare", "frequent", "similarity", "weight"]
+    return sure.select(*columns).unionByName(slips.select(*columns))
 
 
 def stars(nodes: DataFrame, links: DataFrame) -> DataFrame:
