@@ -21,7 +21,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -229,6 +229,20 @@ DOMINANCE = 2.5
 #: A spelling that differs in a mere vowel joins only if it is rarer than this share of the usual entity.
 USUAL_SHARE = 0.4
 LEAST_SIMILARITY = 0.80
+LEAST_OVERLAP = 0.2
+
+
+@lru_cache(maxsize=100_000)
+def gram_sets(core_text: str) -> tuple[frozenset, ...]:
+    """The q-gram sets of a core and of its drawn-together forms."""
+    tokens = core_text.split(" ")
+    return tuple(frozenset(grams(x)) for x in [tokens, *([f] for f in short_forms(tokens))])
+
+
+def overlap(rare: str, frequent: str) -> float:
+    """Greatest Jaccard similarity of the rarer core with any form of the other."""
+    a = gram_sets(rare)[0]
+    return max(len(a & b) / len(a | b) for b in gram_sets(frequent))
 
 
 def accepts(rare: list[str], frequent: list[str]) -> tuple[float, bool]:
@@ -301,7 +315,8 @@ def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [accepts(a.split(" "), b.split(" ")) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            # names that slips can explain share far more q-grams than LEAST_OVERLAP
+            scores = [accepts(a.split(" "), b.split(" ")) if overlap(a, b) >= LEAST_OVERLAP else (0.0, False) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
             keep = pa.array([s > 0 for s, _ in scores], pa.bool_())
             columns = [batch.column("rare"), batch.column("frequent"), pa.array([s for s, _ in scores], pa.float64()), batch.column("weight"), batch.column("field"), batch.column("wa"), pa.array([v for _, v in scores], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["rare", "frequent", "similarity", "weight", "field", "wa", "vowel"]).filter(keep)
