@@ -101,7 +101,11 @@ def replay(stored: DataFrame, entity: str, version: str, attributes: Sequence[st
 
 
 def history(versions: DataFrame, entity: str, version: str, start: str, attributes: Sequence[str], every: int = CHECKPOINT_EVERY) -> DataFrame:
-    """Versions in, whole history out, by way of the checkpoint-delta store."""
+    """Versions in, whole history out, by way of the checkpoint-delta store.
+
+    Columns other than those named are left aside, whatever their names.
+    """
+    versions = versions.select(*dict.fromkeys([entity, version, start, *attributes]))
     valid = intervals(versions, entity, version, start)
     return replay(store(valid, entity, version, attributes, every), entity, version, attributes)
 

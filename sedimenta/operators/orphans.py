@@ -6,7 +6,8 @@ turns up (inherited). Keys are reduced to distinct values before any join, map-s
 repeated rows nor a hot key cross the network more than once per partition.
 
 Defined results: a key with any null part matches no parent, so it is a direct orphan (SQL's NOT
-EXISTS); repeated parents do not fan out; an empty parent orphans all children; an empty child none.
+EXISTS); repeated parents do not fan out; an empty parent orphans all children; an empty child none. Tables
+may have any other columns, but for the names ``_depth`` and ``__p0``, ``__p1``, ...
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def fixpoint(tables: dict[str, DataFrame], references: Sequence[Reference]) -> d
     out: dict[Reference, DataFrame] = {}
     for tier in levels(references):
         for r in tier:
-            child, names = tables[r.child], [f"_p{i}" for i in range(len(r.columns))]
+            child, names = tables[r.child], [f"__p{i}" for i in range(len(r.columns))]
             renamed = [F.col(c).alias(n) for c, n in zip(r.parent_columns, names)]
             on = _on([F.col(c) for c in r.columns], [F.col(n) for n in names])
             there = tables[r.parent].select(*renamed).dropna().distinct()

@@ -1 +1,283 @@
-SQL = {}
+"""SQL counterparts of the engine's queries."""
+
+from __future__ import annotations
+
+from sedimenta.functions.text import analyze
+from sedimenta.plans.engine import EVENTS_NOW, NOW, TOPICS
+
+CURRENT = """current AS (
+  SELECT caseid, primaryid, quarter, caseversion, fda_dt_raw, fda_dt, n_versions, n_versions - 1 AS superseded,
+    EXISTS (SELECT 1 FROM faers_deleted_case d WHERE d.caseid = r.caseid) AS is_deleted
+  FROM (SELECT *, count(*) OVER (PARTITION BY caseid) AS n_versions,
+      row_number() OVER (PARTITION BY caseid ORDER BY fda_dt DESC NULLS LAST, fda_dt_raw DESC NULLS LAST, primaryid DESC NULLS LAST, quarter DESC NULLS LAST, caseversion DESC NULLS LAST) AS rn
+    FROM faers_demo WHERE caseid IS NOT NULL) r
+  WHERE rn = 1)"""
+
+
+def _grain(table: str, key: tuple[str, ...], unique: bool, source: str | None = None) -> str:
+    cols = ", ".join(key)
+    return f"""
+SELECT '{table}' AS "table", '{" + ".join(key)}' AS key, {str(unique).lower()} AS "unique", sum(n)::BIGINT AS rows, count(*)::BIGINT AS distinct_keys,
+  count(*) FILTER (WHERE n > 1)::BIGINT AS repeated_keys, sum(n - 1)::BIGINT AS excess_rows, count(*) FILTER (WHERE d > 1)::BIGINT AS conflicting_keys,
+  sum(n - d)::BIGINT AS identical_rows, max(n)::BIGINT AS worst_group, round(sum(n) / count(*), 6) AS fan_out
+FROM (SELECT {cols}, sum(m) AS n, count(*) AS d FROM (SELECT {cols}, md5(t::VARCHAR) AS h, count(*) AS m FROM {source or table} t GROUP BY ALL) GROUP BY {cols})"""
+
+
+GRAIN = f"WITH {CURRENT} " + " UNION ALL ".join(
+    [
+        _grain("faers_demo", ("quarter", "primaryid"), True),
+        _grain("faers_deleted_case", ("quarter", "caseid"), True),
+        _grain("faers_case_current", ("caseid",), True, "current"),
+        _grain("faers_drug", ("quarter", "primaryid", "drug_seq"), False),
+        _grain("faers_reac", ("quarter", "primaryid", "pt"), False),
+        _grain("aact_studies", ("snapshot", "nct_id"), True),
+    ]
+)
+
+LATEST = "latest AS (SELECT * FROM load_run WHERE status = 'success' QUALIFY row_number() OVER (PARTITION BY source, partition, table_name ORDER BY id DESC) = 1)"
+
+
+def _counts(names: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS t, count(*)::BIGINT AS n FROM {n}" for n in names)
+
+
+def _orphans(child: str) -> str:
+    return f"""
+SELECT '{child}' AS child, 'faers_demo' AS parent, partition, orphan_rows, orphan_keys, explained_rows, explained_keys, orphan_rows - explained_rows AS unexplained_rows FROM (
+  SELECT c.quarter AS partition, count(*)::BIGINT AS orphan_rows, count(DISTINCT c.primaryid)::BIGINT AS orphan_keys,
+    count(*) FILTER (WHERE r.key_hint IS NOT NULL)::BIGINT AS explained_rows, count(DISTINCT c.primaryid) FILTER (WHERE r.key_hint IS NOT NULL)::BIGINT AS explained_keys
+  FROM {child} c LEFT JOIN (SELECT DISTINCT partition, key_hint FROM load_reject WHERE table_name = 'faers_demo' AND key_hint IS NOT NULL) r ON r.key_hint = c.primaryid::VARCHAR AND r.partition = c.quarter
+  WHERE NOT EXISTS (SELECT 1 FROM faers_demo p WHERE p.quarter = c.quarter AND p.primaryid = c.primaryid) GROUP BY 1)"""
+
+
+INTEGRITY_ORDERS = """
+WITH bad_nation AS (SELECT n.*, 0 AS d FROM nation n WHERE NOT EXISTS (SELECT 1 FROM region r WHERE r.r_regionkey = n.n_regionkey AND r_name <> 'ASIA')),
+bad_customer AS (
+  SELECT c.*, CASE WHEN NOT EXISTS (SELECT 1 FROM nation n WHERE n.n_nationkey = c.c_nationkey) THEN 0 ELSE (SELECT min(d) + 1 FROM bad_nation b WHERE b.n_nationkey = c.c_nationkey) END AS d FROM customer c),
+bad_orders AS (
+  SELECT o.*, CASE WHEN NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey) THEN 0 ELSE (SELECT min(d) + 1 FROM bad_customer b WHERE b.c_custkey = o.o_custkey) END AS d FROM orders o),
+bad_lines AS (
+  SELECT l.*, CASE WHEN NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey) THEN 0 ELSE (SELECT min(d) + 1 FROM bad_orders b WHERE b.o_orderkey = l.l_orderkey) END AS d FROM lineitem l),
+every AS (
+  SELECT 'nation' AS c, 'region' AS p, n_regionkey::BIGINT AS k, d FROM bad_nation UNION ALL SELECT 'customer', 'nation', c_nationkey, d FROM bad_customer
+  UNION ALL SELECT 'orders', 'customer', o_custkey, d FROM bad_orders UNION ALL SELECT 'lineitem', 'orders', l_orderkey, d FROM bad_lines)
+SELECT c AS child_table, p AS parent_table, CASE WHEN d = 0 THEN 'direct' ELSE 'inherited' END AS kind, d::INT AS depth, count(*)::BIGINT AS orphan_rows, count(DISTINCT k)::BIGINT AS orphan_keys
+FROM every WHERE d IS NOT NULL GROUP BY c, p, d
+"""
+
+
+def _precision(table: str, column: str) -> str:
+    f = lambda v: f"count(*) FILTER (WHERE {column}_prec = '{v}')::BIGINT AS \"{v}\""
+    return f"""SELECT '{table}' AS "table", '{column}' AS "column", *, rows - absent AS present, "month" + "year" + invalid AS partial_or_invalid,
+  CASE WHEN rows > absent THEN round(("month" + "year" + invalid) / (rows - absent), 6) ELSE 0.0 END AS partial_share
+  FROM (SELECT count(*)::BIGINT AS rows, {f('day')}, {f('month')}, {f('year')}, {f('invalid')}, count(*) FILTER (WHERE {column}_prec IS NULL)::BIGINT AS absent FROM {table})"""
+
+
+def _inventory(table: str, partition: str) -> str:
+    return f"SELECT '{table}' AS \"table\", count(*)::BIGINT AS rows, array_to_string(list_sort(list(DISTINCT {partition}::VARCHAR) FILTER (WHERE {partition} IS NOT NULL)), ',') AS partitions FROM {table}"
+
+
+def _dates(column: str) -> str:
+    raw = f"nullif(trim({column}_raw, ' \t'), '')"
+    year = "substr(raw, 1, 4)::INT BETWEEN 1900 AND 2100"
+    return f"""
+SELECT field, raw, prec, exact, sum(n)::BIGINT AS n FROM (
+  SELECT field, raw, n, CASE WHEN raw IS NULL THEN NULL WHEN good THEN 'day' WHEN NOT regexp_full_match(raw, '[0-9]+') THEN 'invalid'
+      WHEN length(raw) = 6 AND {year} AND substr(raw, 5, 2)::INT BETWEEN 1 AND 12 THEN 'month' WHEN length(raw) = 4 AND {year} THEN 'year' ELSE 'invalid' END AS prec,
+    CASE WHEN good THEN strftime(try_strptime(raw, '%Y%m%d'), '%Y-%m-%d') END AS exact
+  FROM (SELECT *, CASE WHEN regexp_full_match(raw, '[0-9]{{8}}') THEN try_strptime(raw, '%Y%m%d') IS NOT NULL AND {year} ELSE false END AS good
+    FROM (SELECT '{column}' AS field, {raw} AS raw, count(*) AS n FROM faers_demo GROUP BY 2)))
+GROUP BY ALL"""
+
+
+PARSE_NUMBERS = """
+SELECT age, wt, e_sub, coalesce(CASE WHEN regexp_full_match(trim(age), '[+-]?[0-9]+') THEN try_cast(trim(age) AS BIGINT) END, trunc(try_cast(trim(age) AS DOUBLE))::BIGINT) AS age_int,
+  try_cast(trim(wt) AS DOUBLE) AS wt_num, CASE WHEN lower(trim(e_sub)) IN ('t', 'true', 'y', 'yes', '1') THEN true WHEN lower(trim(e_sub)) IN ('f', 'false', 'n', 'no', '0') THEN false END AS e_sub_flag, count(*)::BIGINT AS n
+FROM faers_demo GROUP BY age, wt, e_sub
+"""
+
+DELIMITED_SPLIT = r"""
+WITH lines AS (SELECT load_id::VARCHAR AS archive, table_name AS member, line_no, regexp_replace(regexp_replace(raw_line, '\r$', ''), '^\x{FEFF}', '') AS line FROM raw_member_line),
+shown AS (SELECT *, CASE WHEN starts_with(member, 'aact_') THEN '|' ELSE '$' END AS d FROM lines WHERE line IS NOT NULL AND NOT regexp_full_match(line, '[\s\x0B]*')),
+heads AS (SELECT archive, member, min(line_no) AS no, list_transform(string_split(arg_min(line, line_no), any_value(d)), lambda x: lower(trim(x, ' ' || chr(9)))) AS names FROM shown GROUP BY 1, 2),
+cells AS (SELECT s.archive, s.member, s.line_no, h.names, list_transform(string_split(line, d), lambda x: nullif(trim(x, ' ' || chr(9)), '')) AS f FROM shown s JOIN heads h ON s.archive = h.archive AND s.member = h.member AND s.line_no > no),
+told AS (SELECT archive, member, len(names) AS want, len(f) AS got, CASE WHEN starts_with(member, 'aact_') THEN 'id' ELSE 'primaryid' END AS k, f[list_position(names, CASE WHEN starts_with(member, 'aact_') THEN 'id' ELSE 'primaryid' END)] AS v FROM cells)
+SELECT archive, member, CASE WHEN want <> got THEN 'expected ' || want || ' fields, got ' || got
+  WHEN try_cast(v AS DOUBLE) IS NULL OR NOT isfinite(try_cast(v AS DOUBLE)) THEN k || '=' || CASE WHEN v IS NULL THEN 'None' ELSE '''' || v || '''' END || ' is not an integer' END AS reason, count(*)::BIGINT AS n
+FROM told GROUP BY ALL
+"""
+
+PART_LINES = """
+SELECT p_partkey AS line_no, CASE WHEN p_partkey % 7 = 0 THEN 'expected 4 fields, got 5' END AS reason, p_partkey::VARCHAR AS key_hint,
+  CASE WHEN p_partkey % 7 <> 0 THEN p_partkey END AS id, CASE WHEN p_partkey % 7 <> 0 THEN p_name END AS name, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS brand, CASE WHEN p_partkey % 7 <> 0 THEN p_size END AS size FROM part
+"""
+
+NORMALIZE_APPLICATIONS = r"""
+WITH a AS (
+  SELECT coalesce(application_number, '') AS n, coalesce(sponsor_name, '') AS s, openfda AS o, list_filter(coalesce(products, []), lambda p: p IS NOT NULL) AS p, list_filter(coalesce(submissions, []), lambda p: p IS NOT NULL) AS u FROM openfda_drugsfda),
+b AS (
+  SELECT *, list_filter(list_transform(p, lambda x: x.brand_name), lambda x: x IS NOT NULL AND x <> '') AS brands,
+    list_filter(flatten(list_transform(p, lambda x: list_transform(list_filter(coalesce(x.active_ingredients, []), lambda i: i IS NOT NULL), lambda i: i.name))), lambda x: x IS NOT NULL AND x <> '') AS ing,
+    list_max(list_filter(list_transform(u, lambda x: x.submission_status_date), lambda x: x IS NOT NULL AND regexp_full_match(x, '[0-9]+'))) AS latest,
+    upper(regexp_extract(n, '^[A-Za-z]+')) AS prefix, regexp_extract(n, '[0-9]+') AS digits,
+    list_sort(list_distinct(list_filter(list_transform(p, lambda x: x.marketing_status), lambda x: x IS NOT NULL AND x <> ''))) AS ms FROM a)
+SELECT n AS doc_id, coalesce(brands[1], nullif(o.brand_name[1], ''), nullif(o.generic_name[1], ''), nullif(n, ''), '(unnamed application)') AS title,
+  coalesce(nullif(array_to_string(list_filter(list_transform(list_concat(brands, coalesce(o.generic_name, []), ing, [s]), lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> ''), ' '), ''), coalesce(brands[1], nullif(o.brand_name[1], ''), nullif(o.generic_name[1], ''), nullif(n, ''), '(unnamed application)')) AS embed_text,
+  CASE WHEN digits <> '' THEN 'https://www.accessdata.fda.gov/scripts/cder/daf/index.cfm?event=overview.process&ApplNo=' || digits ELSE '' END AS url,
+  CASE prefix WHEN '' THEN '(unknown)' WHEN 'ANDA' THEN 'ANDA (generic)' WHEN 'NDA' THEN 'NDA (brand)' WHEN 'BLA' THEN 'BLA (biologic)' ELSE prefix END AS application_type,
+  CASE WHEN len(list_filter(u, lambda x: x.submission_status = 'AP')) > 0 THEN 'true' ELSE 'false' END AS is_approved,
+  '[' || array_to_string(list_transform(ms, lambda x: '"' || x || '"'), ',') || ']' AS marketing_statuses, latest AS latest_submission_status_date,
+  CASE WHEN len(p) > 0 THEN 'true' ELSE 'false' END AS has_products, coalesce(strftime(try_strptime(CASE WHEN length(latest) = 8 THEN latest END, '%Y%m%d'), '%Y-%m-%d'), '2025-06-30') AS updated
+FROM b
+"""
+
+PAYLOAD_FIELDS = r"""
+WITH d AS (SELECT doc_id, native_id, CASE WHEN json_valid(structured) THEN json(structured) END AS j FROM documents WHERE source = 'clinical')
+SELECT doc_id, j ->> '$.nct_id' AS nct_id, j ->> '$.status' AS status, j ->> '$.interventions[0]' AS first_intervention, regexp_full_match(native_id, 'NCT[0-9]{8}') AS good_id FROM d
+"""
+
+TEXT_SCALARS = f"""
+SELECT doc_id, sha256(trim(native_id)) AS digest, left(sha256(trim(native_id)), 12) AS key_id,
+  CASE WHEN ingested_at IS NULL THEN 'never' WHEN s < 0 THEN 'just now' WHEN s < 3600 THEN (s // 60)::VARCHAR || 'm ago' WHEN s < 86400 THEN (s // 3600)::VARCHAR || 'h ago' ELSE (s // 86400)::VARCHAR || 'd ago' END AS age,
+  CASE WHEN native_id IS NOT NULL THEN 'https://x.test/q?api_key=***&id=' || doc_id END AS url, left(text, 40) AS head
+FROM (SELECT *, (epoch(TIMESTAMP '{NOW}')::BIGINT - epoch(date_trunc('second', ingested_at))::BIGINT) AS s FROM documents)
+"""
+
+
+def _knn(k: int, within: bool) -> str:
+    part = "q.vec_id, d.label" if within else "q.vec_id"
+    label = ", label" if within else ""
+    return f"""
+SELECT query_id{label}, doc_id, round(s, 6) AS similarity, place::INT AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id{label} ORDER BY s DESC, doc_id) AS place FROM (
+    SELECT q.vec_id AS query_id, d.label::VARCHAR AS label, d.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 9) AS s
+    FROM embeddings q JOIN embeddings d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id)) WHERE place <= {k}"""
+
+
+_TERMS = "list_filter(regexp_split_to_array(lower(concat_ws(' ', title, text)), '[^a-z0-9]+'), lambda x: x <> '')"
+_RANK = "round(sum(1.0 + ln(tf)) / (1.0 + ln(1.0 + max(length))), 9)"
+
+
+def _index(scope: str = "SELECT doc_id, source, title, text FROM documents") -> str:
+    return f"""docs AS (SELECT doc_id, source, title, {_TERMS} AS terms FROM ({scope})),
+postings AS (SELECT term, doc_id, length, count(*)::DOUBLE AS tf FROM (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM docs) GROUP BY ALL)"""
+
+
+def _topics(topics) -> str:
+    rows = [(q, t, len(set(analyze(x, False)))) for q, x in topics for t in sorted(set(analyze(x, False)))]
+    return "wanted AS (SELECT * FROM (VALUES " + ", ".join(f"({q}, '{t}', {n})" for q, t, n in rows) + ") AS v(query_id, term, wanted))"
+
+
+def _fts(every: bool) -> str:
+    return f"""
+WITH {_index()}, {_topics(TOPICS)},
+scored AS (SELECT query_id, doc_id, {_RANK} AS rank FROM postings JOIN wanted USING (term) GROUP BY query_id, doc_id {'HAVING count(*) = max(wanted)' if every else ''})
+SELECT query_id::BIGINT AS query_id, doc_id, round(rank, 6) AS rank, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, doc_id) AS place FROM scored) WHERE place <= 10
+"""
+
+
+HYBRID = f"""
+WITH {_index("SELECT doc_id, source, title, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")},
+asked AS (SELECT d.doc_id AS query_id, e.embedding AS qe, d.title FROM docs d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.doc_id % 20 = 0),
+near AS (SELECT query_id, d.doc_id, round(list_cosine_similarity(qe::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity FROM asked CROSS JOIN docs d JOIN embeddings e ON e.vec_id = d.doc_id),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rv FROM near),
+q AS (SELECT query_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM asked),
+wanted AS (SELECT query_id, len(t) AS wanted, unnest(t) AS term FROM q),
+lex AS (SELECT query_id, doc_id, {_RANK} AS rank FROM postings JOIN wanted USING (term) GROUP BY query_id, doc_id HAVING count(*) = max(wanted)),
+x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, doc_id) AS rx FROM lex),
+f AS (SELECT v.query_id, v.doc_id, similarity, round(1.0::DOUBLE / (60.0::DOUBLE + rv) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + rx), 0.0), 12) AS score FROM v LEFT JOIN x ON v.query_id = x.query_id AND v.doc_id = x.doc_id)
+SELECT query_id, doc_id, place::INT AS place, round(similarity, 6) AS similarity, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, similarity DESC, doc_id) AS place FROM f) WHERE place <= 10
+"""
+
+TRIAL_CONTEXT = f"""
+WITH {_index("SELECT doc_id, source, title, text FROM documents WHERE starts_with(source, 'openfda_')")},
+trials AS (SELECT doc_id AS trial, CASE WHEN json_valid(structured) THEN json_extract(json(structured), '$.interventions') END AS j FROM documents WHERE source = 'clinical' AND structured IS NOT NULL),
+names AS (SELECT trial, unnest(CAST(j AS VARCHAR[])) AS name, generate_subscripts(CAST(j AS VARCHAR[]), 1) AS nth FROM trials WHERE json_type(j) = 'ARRAY'),
+drugs AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY nth) AS n FROM names WHERE name IS NOT NULL AND trim(name) <> ''
+  AND NOT regexp_matches(name, '(?i)\\b(placebos?|sham|standard[- ]of[- ]care|best supportive care|no (intervention|treatment)|observation)\\b')),
+kept AS (SELECT DISTINCT trial, name FROM drugs WHERE n <= 5),
+terms AS (SELECT name, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM (SELECT DISTINCT name FROM kept)),
+wanted AS (SELECT name, len(t) AS wanted, unnest(t) AS term FROM terms),
+met AS (SELECT name, doc_id, {_RANK} AS rank FROM postings JOIN wanted USING (term) GROUP BY name, doc_id HAVING count(*) = max(wanted)),
+best AS (SELECT name, d.source, m.doc_id, rank, row_number() OVER (PARTITION BY name, d.source ORDER BY rank DESC, m.doc_id) AS place FROM met m JOIN docs d USING (doc_id))
+SELECT trial, name, source, doc_id, round(rank, 6) AS rank, place::INT AS place FROM kept JOIN best USING (name) WHERE place <= 3
+"""
+
+RETRIEVAL_EVAL = f"""
+WITH res AS ({_knn(10, False)}), own AS ({_knn(1, True)}),
+gold AS (SELECT o.query_id, o.doc_id FROM own o JOIN embeddings e ON e.vec_id = o.query_id AND e.label::VARCHAR = o.label),
+f AS (SELECT g.query_id, min(r.place) AS place FROM gold g LEFT JOIN res r ON g.query_id = r.query_id AND g.doc_id = r.doc_id GROUP BY 1)
+SELECT count(*)::BIGINT AS questions, {", ".join(f"round(avg(CASE WHEN place <= {k} THEN 1.0 ELSE 0.0 END), 6) AS hit_{k}" for k in (1, 3, 5, 10))}, round(avg(coalesce(1.0 / place, 0.0)), 6) AS mrr FROM f
+"""
+
+CORPUS_STATUS = f"""
+WITH c AS (SELECT source, count(*)::BIGINT AS documents, max(updated_at) FILTER (WHERE updated_at <= TIMESTAMP '{NOW}') AS newest FROM documents GROUP BY source),
+s AS (SELECT source, max(finished_at) AS last_success FROM load_run WHERE status = 'success' GROUP BY source),
+j AS (SELECT coalesce(c.source, s.source) AS source, coalesce(documents, 0)::BIGINT AS documents, newest, last_success, (epoch(TIMESTAMP '2026-03-01')::BIGINT - epoch(date_trunc('second', last_success))::BIGINT) AS t FROM c FULL JOIN s ON c.source = s.source)
+SELECT source, documents, newest::VARCHAR AS newest, last_success::VARCHAR AS last_success,
+  CASE WHEN last_success IS NULL THEN 'never' WHEN t < 0 THEN 'just now' WHEN t < 3600 THEN (t // 60)::VARCHAR || 'm ago' WHEN t < 86400 THEN (t // 3600)::VARCHAR || 'h ago' ELSE (t // 86400)::VARCHAR || 'd ago' END AS freshness FROM j
+"""
+
+DUE_SOURCES = """
+WITH s AS (SELECT source, partition, table_name, max(finished_at) FILTER (WHERE status = 'success') AS last_success, CASE source WHEN 'faers' THEN 'weekly' WHEN 'aact' THEN 'daily' ELSE 'manual' END AS cadence FROM load_run GROUP BY 1, 2, 3)
+SELECT source, partition, table_name, cadence, CASE WHEN cadence = 'manual' THEN false WHEN last_success IS NULL THEN true
+  ELSE epoch(TIMESTAMP '2026-01-05 12:00:00')::BIGINT - epoch(date_trunc('second', last_success))::BIGINT >= 86400 * CASE cadence WHEN 'daily' THEN 1 ELSE 7 END END AS due FROM s
+"""
+
+UPSERT = """
+SELECT source, native_id, doc_id, n_chars FROM documents WHERE native_id IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY source, native_id ORDER BY (ingested_at >= TIMESTAMP '2025-01-01') DESC, ingested_at DESC NULLS LAST, doc_id DESC) = 1
+"""
+
+DEMO_SELECTION = f"""
+WITH {_index()}, {_topics(TOPICS[:3])},
+scored AS (SELECT query_id, doc_id, {_RANK} AS rank FROM postings JOIN wanted USING (term) GROUP BY query_id, doc_id HAVING count(*) = max(wanted)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, doc_id) AS place FROM scored),
+themes AS (SELECT doc_id, min(place) AS r FROM placed WHERE place <= 20 GROUP BY doc_id),
+j AS (SELECT d.source, d.doc_id, d.updated_at, coalesce(r, 0) AS r, CASE WHEN d.doc_id % 500 = 1 THEN 0 WHEN r IS NOT NULL THEN 1 ELSE 2 END AS stage FROM documents d LEFT JOIN themes t ON d.doc_id = t.doc_id)
+SELECT source, doc_id, CASE stage WHEN 0 THEN 'pinned' WHEN 1 THEN 'theme' ELSE 'newest' END AS why FROM j
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY stage, r, updated_at DESC NULLS LAST, doc_id) <= 30
+"""
+
+SQL = {
+    "case_current": f"WITH {CURRENT} SELECT caseid, primaryid, quarter, caseversion, fda_dt_raw, strftime(fda_dt, '%Y-%m-%d') AS fda_dt, n_versions, superseded, is_deleted FROM current",
+    "case_current_kept": f"WITH {CURRENT} SELECT caseid, primaryid FROM current WHERE NOT is_deleted",
+    "grain": GRAIN,
+    "grain_orders": _grain("orders", ("o_orderkey",), True) + " UNION ALL " + _grain("lineitem", ("l_orderkey", "l_linenumber"), False),
+    "conservation_runs": "SELECT id, source, partition, table_name, rows_read, rows_loaded, rows_rejected FROM load_run WHERE status = 'success' AND rows_read <> rows_loaded + rows_rejected",
+    "conservation_tables": f"WITH {LATEST}, n AS ({_counts(('faers_demo', 'faers_drug', 'faers_reac', 'faers_deleted_case', 'aact_studies'))}) SELECT table_name AS \"table\", sum(rows_loaded)::BIGINT AS claimed_by_load_runs, any_value(n) AS rows_in_table FROM latest JOIN n ON t = table_name GROUP BY table_name",
+    "dedup_conservation": f"WITH {CURRENT} SELECT (SELECT count(*) FROM faers_demo) AS demo_rows, (SELECT count(caseid) FROM faers_demo) AS with_caseid, (SELECT count(*) FROM current) AS kept, (SELECT coalesce(sum(superseded), 0)::BIGINT FROM current) AS superseded, (SELECT count(*) FROM current WHERE is_deleted) AS deleted_cases",
+    "integrity": _orphans("faers_drug") + " UNION ALL " + _orphans("faers_reac"),
+    "integrity_orders": INTEGRITY_ORDERS,
+    "reject_summary": f"WITH {LATEST} SELECT source, table_name, sum(rows_read)::BIGINT AS rows_read, sum(rows_rejected)::BIGINT AS rejected, count(notes)::BIGINT AS capped_runs, CASE WHEN sum(rows_read) = 0 THEN 0.0 ELSE round(sum(rows_rejected) / sum(rows_read), 6) END AS reject_rate FROM latest GROUP BY 1, 2 HAVING sum(rows_rejected) > 0",
+    "reject_reasons": f"WITH {LATEST}, c AS (SELECT source, table_name, reason, count(*)::BIGINT AS n FROM load_reject WHERE load_id IN (SELECT id FROM latest) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source, table_name ORDER BY n DESC, reason)::INT AS place FROM c) SELECT * FROM r WHERE place <= 3",
+    "reject_totals": f"WITH {LATEST} SELECT (SELECT count(*) FROM load_reject WHERE load_id IN (SELECT id FROM latest)) AS stored, coalesce(sum(rows_rejected), 0)::BIGINT AS counted, count(notes)::BIGINT AS capped_runs FROM latest",
+    "date_precision": " UNION ALL ".join(_precision(t, c) for t, c in (("faers_demo", "event_dt"), ("faers_demo", "fda_dt"), ("faers_drug", "exp_dt"))),
+    "inventory": " UNION ALL ".join(_inventory(t, p) for t, p in (("faers_demo", "quarter"), ("faers_drug", "quarter"), ("faers_reac", "quarter"), ("faers_deleted_case", "quarter"), ("aact_studies", "strftime(snapshot, '%Y-%m-%d')"), ("load_run", "partition"), ("load_reject", "partition"))),
+    "parse_dates": " UNION ALL ".join(_dates(c) for c in ("event_dt", "mfr_dt", "init_fda_dt", "fda_dt", "rept_dt")),
+    "parse_numbers": PARSE_NUMBERS,
+    "delimited_split": DELIMITED_SPLIT,
+    "part_lines": PART_LINES,
+    "normalize_applications": NORMALIZE_APPLICATIONS,
+    "payload_fields": PAYLOAD_FIELDS,
+    "event_props": "SELECT event_type, count(*)::BIGINT AS n, sum((props::JSON ->> '$.k')::BIGINT)::BIGINT AS sum_k, max((props::JSON ->> '$.k')::BIGINT) AS max_k FROM events GROUP BY event_type",
+    "text_scalars": TEXT_SCALARS,
+    "knn": _knn(10, False),
+    "knn_per_label": _knn(3, True),
+    "fts_and": _fts(True),
+    "fts_or": _fts(False),
+    "hybrid": HYBRID,
+    "trial_context": TRIAL_CONTEXT,
+    "retrieval_eval": RETRIEVAL_EVAL,
+    "corpus_status": CORPUS_STATUS,
+    "usage_7d": f"SELECT event_type AS tool, count(*)::BIGINT AS calls, round(avg(value))::INT AS mean_ms, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS errors FROM events WHERE ts > TIMESTAMP '{EVENTS_NOW}' - INTERVAL 7 DAYS GROUP BY 1",
+    "rolling_30d": f"SELECT user_id::VARCHAR AS key, count(*)::BIGINT AS used, count(*) < 60 AS allowed FROM events WHERE ts > TIMESTAMP '{EVENTS_NOW}' - INTERVAL 30 DAYS GROUP BY 1",
+    "due_sources": DUE_SOURCES,
+    "upsert_documents": UPSERT,
+    "first_documents": "SELECT source, native_id, doc_id FROM documents WHERE native_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source, native_id ORDER BY doc_id) = 1",
+    "newest_documents": "SELECT source, doc_id, place::INT AS place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY updated_at DESC NULLS LAST, doc_id) AS place FROM documents) WHERE place <= 5",
+    "demo_selection": DEMO_SELECTION,
+    "label_vectors": "WITH s AS (SELECT label, arg_min(embedding, vec_id) AS seed FROM embeddings GROUP BY label) SELECT e.label, count(*)::BIGINT AS n, round(avg(1.0 - list_cosine_similarity(e.embedding::DOUBLE[], seed::DOUBLE[])), 6) AS mean_distance FROM embeddings e JOIN s ON e.label = s.label GROUP BY 1",
+}
+
