@@ -31,10 +31,15 @@ def _array(c: Column) -> Column:
     return F.coalesce(c, F.array().cast("array<string>"))
 
 
+def _passed(raw: DataFrame) -> list[str]:
+    """A column ``arrived``, if there is one, stays with the documents; it orders repeated deliveries."""
+    return ["arrived"] if "arrived" in raw.columns else []
+
+
 def _document(df: DataFrame, source: str, doc_id: Column, title: Column, embed: Column, structured: Column, url: Column, updated: Column, as_of: Column) -> DataFrame:
     embed = F.coalesce(_text(embed), title)
     body = F.to_json(structured, {"ignoreNullFields": "false"})
-    return df.select(F.lit(source).alias("source_id"), F.coalesce(doc_id, F.lit("")).alias("doc_id"), title.alias("title"), embed.alias("embed_text"), body.alias("structured"), url.alias("url"), F.coalesce(updated, as_of).alias("updated_at"))
+    return df.select(*_passed(df), F.lit(source).alias("source_id"), F.coalesce(doc_id, F.lit("")).alias("doc_id"), title.alias("title"), embed.alias("embed_text"), body.alias("structured"), url.alias("url"), F.coalesce(updated, as_of).alias("updated_at"))
 
 
 def usable(docs: DataFrame) -> DataFrame:
@@ -52,7 +57,7 @@ TRIAL = """struct<protocolSection:struct<
 
 
 def trials(raw: DataFrame, as_of: Column) -> DataFrame:
-    df = raw.select(F.from_json("raw", TRIAL)["protocolSection"].alias("p"))
+    df = raw.select(F.from_json("raw", TRIAL)["protocolSection"].alias("p"), *_passed(raw))
     p = lambda path: F.col(f"p.{path}")
     nct = F.coalesce(p("identificationModule.nctId"), F.lit(""))
     title = F.coalesce(_text(p("identificationModule.briefTitle")), F.lit("(no title)"))
@@ -100,7 +105,7 @@ def leading_name(elements: Column) -> Column:
 
 
 def labels(raw: DataFrame, as_of: Column) -> DataFrame:
-    df = raw.select(F.from_json("raw", LABEL).alias("r"))
+    df = raw.select(F.from_json("raw", LABEL).alias("r"), *_passed(raw))
     r, o = (lambda x: F.col(f"r.{x}")), (lambda x: F.col(f"r.openfda.{x}"))
     set_id = F.coalesce(_text(scalars.first_text(o("spl_set_id"))), r("set_id"), F.lit(""))
     named = _text(leading_name(scalars.first_text(r("spl_product_data_elements"))))
@@ -142,7 +147,7 @@ def role_of(code: Column) -> Column:
 
 
 def events(raw: DataFrame, as_of: Column) -> DataFrame:
-    df = raw.select(F.from_json("raw", EVENT).alias("r"))
+    df = raw.select(F.from_json("raw", EVENT).alias("r"), *_passed(raw))
     r, p = (lambda x: F.col(f"r.{x}")), (lambda x: F.col(f"r.patient.{x}"))
     arms = F.filter(F.coalesce(p("drug"), F.array()), lambda d: d.isNotNull())
     filled = lambda a: F.filter(a, lambda x: x.isNotNull() & (scalars.strip(x) != ""))
@@ -172,7 +177,7 @@ RECALL = f"struct<{','.join(f'{f}:string' for f in (*RECALL_FIELDS, 'more_code_i
 
 
 def recalls(raw: DataFrame, as_of: Column) -> DataFrame:
-    df = raw.select(F.from_json("raw", RECALL).alias("r"))
+    df = raw.select(F.from_json("raw", RECALL).alias("r"), *_passed(raw))
     r = lambda x: F.col(f"r.{x}")
     title = F.concat(F.coalesce(_text(r("classification")), F.lit("(unclassified)")), F.lit(" — "), F.coalesce(_text(r("recalling_firm")), F.lit("(unknown firm)")))
     embed = F.concat_ws(" | ", *[_text(scalars.strip(r(x))) for x in ("reason_for_recall", "product_description", "code_info", "more_code_info")])
@@ -234,7 +239,7 @@ def application_document(df: DataFrame, as_of: Column) -> DataFrame:
 
 
 def applications(raw: DataFrame, as_of: Column) -> DataFrame:
-    return application_document(raw.select(F.from_json("raw", APPLICATION).alias("r")).select("r.*"), as_of)
+    return application_document(raw.select(F.from_json("raw", APPLICATION).alias("r"), *_passed(raw)).select("r.*", *_passed(raw)), as_of)
 
 
 # ---------------------------------------------------------------- articles
@@ -312,17 +317,19 @@ def articles(raw: DataFrame, as_of: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [a for xml in batch.column(0).to_pylist() for a in articles_of(xml)]
+            found = [(a, at) for xml, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a in articles_of(xml)]
+            arrived, found = [at for _, at in found], [a for a, _ in found]
             days = [a.pop("_day") for a in found]
             embed = ["\n".join(x for x in (a["title"], a["abstract"], " ".join(a["mesh_terms"]), " ".join(a["keywords"])) if x) for a in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([a["pmid"] for a in found], pa.string()), pa.array([a["title"] for a in found], pa.string()), pa.array(embed, pa.string()), pa.array([json.dumps(a, ensure_ascii=False) for a in found], pa.string()), pa.array(days, pa.date32())],
-                names=["doc_id", "title", "embed_text", "structured", "day"],
+                [pa.array([a["pmid"] for a in found], pa.string()), pa.array([a["title"] for a in found], pa.string()), pa.array(embed, pa.string()), pa.array([json.dumps(a, ensure_ascii=False) for a in found], pa.string()), pa.array(days, pa.date32()), pa.array(arrived, pa.timestamp("us", "UTC"))],
+                names=["doc_id", "title", "embed_text", "structured", "day", "arrived"],
             )
 
-    parsed = raw.select("raw").mapInArrow(run, "doc_id string, title string, embed_text string, structured string, day date")
+    at = F.col("arrived") if "arrived" in raw.columns else F.lit(None).cast("timestamp")
+    parsed = raw.select("raw", at.cast("timestamp").alias("at")).mapInArrow(run, "doc_id string, title string, embed_text string, structured string, day date, arrived timestamp")
     url = F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), F.col("doc_id"), F.lit("/"))
-    return parsed.select(F.lit("pubmed").alias("source_id"), "doc_id", "title", "embed_text", "structured", url.alias("url"), F.coalesce(F.col("day").cast("timestamp"), as_of).alias("updated_at"))
+    return parsed.select(*_passed(raw), F.lit("pubmed").alias("source_id"), "doc_id", "title", "embed_text", "structured", url.alias("url"), F.coalesce(F.col("day").cast("timestamp"), as_of).alias("updated_at"))
 
 
 NORMALIZERS = {"clinical": trials, "openfda_label": labels, "openfda_event": events, "openfda_enforcement": recalls, "openfda_drugsfda": applications, "pubmed": articles}

@@ -64,18 +64,18 @@ class DocumentStore:
 def refresh(spark: SparkSession, store: DocumentStore, source: str, landing: str, checkpoint: str, as_of: dt.datetime, normalize: Callable | None = None) -> int:
     """Take in what is new in a landing folder of JSON lines; returns the number of batches that wrote.
 
-    Within a batch the record of the latest file, then of the greatest line content, wins.
+    Within a batch the record of the latest file wins, then the greatest in its other columns.
     """
     normalize = normalize or NORMALIZERS[source]
     wrote = []
 
     def batch(df: DataFrame, number: int) -> None:
-        named = df.select(F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("file_time"))
-        docs = usable(normalize(named, F.lit(as_of).cast("timestamp"))).withColumn("batch", F.lit(number))
+        docs = usable(normalize(df, F.lit(as_of).cast("timestamp")))
         if not docs.isEmpty():
-            wrote.append(store.put(source, docs, ["batch", "updated_at"]))
+            wrote.append(store.put(source, docs, ["arrived"]))
 
-    query = spark.readStream.format("text").load(landing).writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/{source}").trigger(availableNow=True).start()
+    lines = spark.readStream.format("text").load(landing).select(F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("arrived"))
+    query = lines.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/{source}").trigger(availableNow=True).start()
     query.awaitTermination()
     return len(wrote)
 
