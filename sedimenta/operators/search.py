@@ -21,6 +21,7 @@ from sedimenta.functions import text as analysis
 
 RRF_K = 60
 QUERY_BLOCK = 4096
+PAIR_BLOCK = 4096
 MOST_RESULTS = 50
 
 
@@ -66,19 +67,92 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str = "query
     return top.select(*out)
 
 
-def _blocks(asked: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query vectors in blocks of at most ``block`` rows, one at a time on the driver."""
+def places(queries: DataFrame, rows: DataFrame, pairs: DataFrame, query_key: str = "query_id", key: str = "doc_id", vector: str = "embedding", block: int = PAIR_BLOCK) -> DataFrame:
+    """Exact similarity and place among all rows of given (query, row) pairs: (query_key, key, similarity, place).
+
+    Pairs go in blocks of bounded size; for each block one scan finds the pairs' similarities and another counts, per
+    task, the rows that come before each pair. Nothing but the pairs is shuffled, however many rows there are.
+    """
+    spark = rows.sparkSession
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    data = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    wanted = pairs.select(F.col(query_key).cast("bigint").alias("q"), F.col(key).cast("bigint").alias("k")).distinct()
+    found = []
+    for chunk in _chunks(wanted.orderBy("q", "k"), block):
+        ids = sorted({r["q"] for r in chunk})
+        matrix, names = _unit(asked.where(F.col("q").between(ids[0], ids[-1])).join(wanted.select("q"), "q", "left_semi").collect())
+        row_of = {q: i for i, q in enumerate(names.tolist())}
+        lookup: dict[int, list[int]] = {}
+        for r in chunk:
+            if r["q"] in row_of:
+                lookup.setdefault(r["k"], []).append(row_of[r["q"]])
+        if not lookup:
+            continue
+        sent = spark.sparkContext.broadcast((matrix, names, lookup))
+        scored = data.mapInArrow(_pair_scores(sent), "q bigint, k bigint, s double").collect()
+        marks: dict[int, list[tuple[float, int]]] = {}
+        for r in scored:
+            marks.setdefault(row_of[r["q"]], []).append((-r["s"], r["k"]))
+        marked = spark.sparkContext.broadcast((matrix, names, {i: sorted(m) for i, m in marks.items()}))
+        found.append(data.mapInArrow(_pair_counts(marked), "q bigint, k bigint, s double, n bigint"))
+    if not found:
+        return spark.createDataFrame([], f"{query_key} bigint, {key} bigint, similarity double, place bigint")
+    counted = reduce(DataFrame.unionByName, found).groupBy("q", "k", "s").agg((F.sum("n") + 1).alias("place"))
+    return counted.select(F.col("q").alias(query_key), F.col("k").alias(key), F.col("s").alias("similarity"), "place")
+
+
+def _similarities(matrix: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Rounded similarities (queries, rows) and row keys of the real vectors of a batch."""
+    m, good = _matrix(batch.column("v"))
+    return np.round(matrix @ m[good].T, 9), batch.column("k").to_numpy(zero_copy_only=False)[good]
+
+
+def _pair_scores(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, names, lookup = sent.value
+        for batch in batches:
+            s, keys = _similarities(matrix, batch)
+            hits = [(i, j) for j, k in enumerate(keys.tolist()) for i in lookup.get(k, ())]
+            yield pa.RecordBatch.from_arrays([pa.array([int(names[i]) for i, _ in hits], pa.int64()), pa.array([int(keys[j]) for _, j in hits], pa.int64()), pa.array([float(s[i, j]) for i, j in hits], pa.float64())], names=["q", "k", "s"])
+
+    return run
+
+
+def _pair_counts(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, names, marks = sent.value
+        counts = {i: np.zeros(len(m), np.int64) for i, m in marks.items()}
+        for batch in batches:
+            s, keys = _similarities(matrix, batch)
+            for i, m in marks.items():
+                for p, (minus, k) in enumerate(m):
+                    counts[i][p] += int(((-s[i] < minus) | ((-s[i] == minus) & (keys < k))).sum())
+        out = [(int(names[i]), k, -minus, int(counts[i][p])) for i, m in marks.items() for p, (minus, k) in enumerate(m)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["q", "k", "s", "n"])
+
+    return run
+
+
+def _chunks(df: DataFrame, size: int) -> Iterator[list]:
     batch = []
-    for row in asked.orderBy("q").toLocalIterator():
+    for row in df.toLocalIterator():
         batch.append(row)
-        if len(batch) == block:
-            yield _unit(batch)
+        if len(batch) == size:
+            yield batch
             batch = []
     if batch:
-        yield _unit(batch)
+        yield batch
+
+
+def _blocks(asked: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Query vectors in blocks of at most ``block`` rows, one at a time on the driver."""
+    for chunk in _chunks(asked.orderBy("q"), block):
+        yield _unit(chunk)
 
 
 def _unit(batch: list) -> tuple[np.ndarray, np.ndarray]:
+    if not batch:
+        return np.zeros((0, 1)), np.zeros(0, np.int64)
     m = np.array([r["v"] for r in batch], np.float64)
     size = np.linalg.norm(m, axis=1)
     good = size > 0
@@ -150,19 +224,32 @@ def top(scored: DataFrame, k: int, score: str, key: str, group: list[str], offse
 def fuse(vector: DataFrame, lexical: DataFrame, key: str, group: list[str], k: int, offset: int = 0) -> DataFrame:
     """Reciprocal rank fusion: (group, key, similarity, score, place).
 
-    ``vector`` has (group, key, similarity) of every document of a query's scope, ``lexical`` (group, key, rank) of the
-    matching ones. Documents without a match keep their vector rank alone.
+    ``vector`` has (group, key, similarity, place) by vector of the first offset + k documents of each query and of every
+    document that matches it; ``lexical`` (group, key, rank) of the matching ones. A document that neither matches nor is
+    among the first offset + k by vector cannot reach the result, so it need not be given.
     """
-    v = vector.withColumn("_v", F.row_number().over(W.partitionBy(*group).orderBy(F.desc("similarity"), key)))
     x = lexical.withColumn("_x", F.row_number().over(W.partitionBy(*group).orderBy(F.desc("rank"), key))).select(*group, key, "_x")
-    # a document without a match that ranks below offset + k by vector cannot reach the result
-    both = v.join(x, [*group, key], "left").where(F.col("_x").isNotNull() | (F.col("_v") <= offset + k))
+    both = vector.withColumnRenamed("place", "_v").join(x, [*group, key], "left")
     score = F.lit(1.0) / (F.lit(float(RRF_K)) + F.col("_v")) + F.coalesce(F.lit(1.0) / (F.lit(float(RRF_K)) + F.col("_x")), F.lit(0.0))
     both = both.withColumn("score", F.round(score, 12))
     order = W.partitionBy(*group).orderBy(F.desc("score"), F.desc("similarity"), key)
     return both.withColumn("place", F.row_number().over(order)).where((F.col("place") > offset) & (F.col("place") <= offset + k)).select(*group, key, "similarity", "score", "place")
 
 
+def hybrid(queries: DataFrame, rows: DataFrame, lexical: DataFrame, k: int, offset: int = 0) -> DataFrame:
+    """Both arms fused: the nearest by vector, the matches in ``lexical`` with their exact place by vector."""
+    near = search_nearest(queries, rows, offset + k)
+    placed = places(queries, rows, lexical)
+    vector = near.unionByName(placed.join(near.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"))
+    return fuse(vector, lexical, "doc_id", ["query_id"], k, offset)
+
+
+def search_nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Nearest rows with the query itself among them, places as wide as exact ones."""
+    near = nearest(queries, rows, k, exclude_self=False)
+    return near.withColumn("place", F.col("place").cast("bigint"))
+
+
 def search_text(docs: DataFrame, query: str, k: int = 10, offset: int = 0, terms: str = "terms", key: str = "doc_id") -> DataFrame:
     """One written query with the whole query language, over a column of stemmed terms."""
     parsed = analysis.parse_query(query)

@@ -222,10 +222,9 @@ def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     scope = docs.join(embedded, "doc_id")
     asked = scope.where(F.col("doc_id") % 20 == 0)
     titles = table(spark, sf, "documents").select("doc_id", F.array_distinct(text.plain_terms(F.col("title"))).alias("q"))
-    near = search.nearest(asked.select(F.col("doc_id").alias("query_id"), "embedding"), scope, 1_000_000, exclude_self=False)
     words = asked.join(titles, "doc_id").select(F.col("doc_id").alias("query_id"), F.size("q").alias("wanted"), F.explode("q").alias("term"))
     lexical = search.term_matches(search.postings(scope, "doc_id", "terms"), words, "doc_id", True)
-    fused = search.fuse(near.select("query_id", "doc_id", "similarity"), lexical, "doc_id", ["query_id"], 10)
+    fused = search.hybrid(asked.select(F.col("doc_id").alias("query_id"), "embedding"), scope, lexical, 10)
     return fused.select("query_id", "doc_id", "place", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 

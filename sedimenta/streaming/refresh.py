@@ -1,64 +1,76 @@
 """Incremental refresh of a document table with Structured Streaming.
 
 New landing files are picked up once (the checkpoint is the high-water mark), normalized, and upserted per
-batch; a failed batch is replayed, and the replay writes the same rows again. The document table is a folder
-per source, each written anew under a version number and switched by its pointer file, so that a reader never
-sees half a write and no plan reads what it overwrites.
+batch; a failed batch is replayed, and the replay writes the same rows again. The documents of a source lie in
+buckets by a hash of their id; a batch rewrites only the buckets it touches, under a new version number,
+and then switches the pointer file, so that a reader never sees half a write, no plan reads what it
+overwrites, and the cost of a batch follows the batch.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.operators.load import upsert
+from sedimenta.session import cut
 from sedimenta.sources.records import NORMALIZERS, usable
 
 MOST_ERROR = 500
+BUCKETS = 64
 
 
 class DocumentStore:
-    """Documents by source under a folder that all executors share."""
+    """Documents by source under a folder that all executors share; ``CURRENT`` maps buckets to versions."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _pointer(self, source: str) -> str:
-        return f"{self.path}/{source}/CURRENT"
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _fs(self, path: str):
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), place
 
-    def version(self, source: str) -> int | None:
-        fs, place = self._fs(self._pointer(source))
-        return int(self.spark.read.text(self._pointer(source)).first()[0]) if fs.exists(place) else None
+    def current(self, source: str) -> dict[int, int]:
+        """Version of each bucket that has rows."""
+        fs, place = self._fs(f"{self.path}/{source}/CURRENT")
+        if not fs.exists(place):
+            return {}
+        return {int(k): v for k, v in json.loads(self.spark.read.text(str(place)).first()[0]).items()}
+
+    def version(self, source: str) -> int:
+        return max(self.current(source).values(), default=0)
+
+    def _read(self, source: str, buckets: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.path}/{source}/v{v}/bucket={b}" for b, v in buckets.items()]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def read(self, source: str) -> DataFrame | None:
-        v = self.version(source)
-        return None if v is None else self.spark.read.parquet(f"{self.path}/{source}/v{v}")
+        return self._read(source, self.current(source))
 
     def put(self, source: str, incoming: DataFrame, order: list[str]) -> int:
-        """Upsert a batch; returns the new version. The version before stays for readers that hold it."""
-        old = self.version(source)
-        new = (old or 0) + 1
-        upsert(self.read(source), incoming, ["source_id", "doc_id"], order).write.mode("overwrite").parquet(f"{self.path}/{source}/v{new}")
-        fs, place = self._fs(self._pointer(source))
+        """Upsert a batch; returns the new version. Versions before stay for readers that hold them."""
+        old = self.current(source)
+        new = max(old.values(), default=0) + 1
+        incoming = cut(incoming)
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
+        touched = {r[0] for r in incoming.select(bucket.alias("b")).distinct().collect()}
+        merged = upsert(self._read(source, {b: v for b, v in old.items() if b in touched}), incoming, ["source_id", "doc_id"], order)
+        merged.withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.path}/{source}/v{new}")
+        fs, place = self._fs(f"{self.path}/{source}/CURRENT")
         out = fs.create(place, True)
-        out.write(bytearray(str(new), "ascii"))
+        out.write(bytearray(json.dumps(old | dict.fromkeys(touched, new)), "ascii"))
         out.close()
         return new
 
     def all(self) -> DataFrame | None:
         parts = [d for s in NORMALIZERS if (d := self.read(s)) is not None]
-        out = None
-        for p in parts:
-            out = p if out is None else out.unionByName(p)
-        return out
+        return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def refresh(spark: SparkSession, store: DocumentStore, source: str, landing: str, checkpoint: str, as_of: dt.datetime, normalize: Callable | None = None) -> int:

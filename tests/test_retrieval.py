@@ -29,11 +29,32 @@ def test_nearest_equals_brute_force_in_blocks(spark):
     assert search.nearest(queries.limit(0), df, 2).count() == 0 and search.nearest(queries, df.limit(0), 2).count() == 0
 
 
+def test_exact_places_of_pairs(spark):
+    rng = np.random.default_rng(2)
+    data = [(i, rng.normal(size=4).tolist()) for i in range(80)] + [(90, None), (91, [0.0] * 4)]
+    data[5] = (5, data[6][1])
+    df = spark.createDataFrame(data, "doc_id bigint, embedding array<double>").repartition(3)
+    queries = df.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    every = search.nearest(queries, df, 1000, exclude_self=False)
+    pairs = [(q, d) for q in (0, 10, 30, 90, 77) for d in (5, 6, 10, 44, 90, 200)] * 2
+    got = search.places(queries, df, spark.createDataFrame(pairs, "query_id bigint, doc_id bigint"), block=4)
+    asked = spark.createDataFrame(sorted(set(pairs)), "query_id bigint, doc_id bigint")
+    expected = every.join(asked, ["query_id", "doc_id"]).select("query_id", "doc_id", "similarity", F.col("place").cast("bigint"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect())) and got.count() == 12
+    assert search.places(queries, df, asked.limit(0)).count() == 0
+
+
 def test_fusion_prune_changes_nothing(spark):
     rnd = random.Random(4)
     vector = [(q, d, round(rnd.random(), 6)) for q in (1, 2) for d in range(60)]
     lexical = [(q, d, round(rnd.random(), 6)) for q in (1, 2) for d in rnd.sample(range(60), 12)]
-    v = spark.createDataFrame(vector, "query_id int, doc_id int, similarity double")
+    kept = []
+    for q in (1, 2):
+        matched = {d for p, d, _ in lexical if p == q}
+        for place, (_, d, s) in enumerate(sorted((r for r in vector if r[0] == q), key=lambda r: (-r[2], r[1])), 1):
+            if place <= 7 or d in matched:
+                kept.append((q, d, s, place))
+    v = spark.createDataFrame(kept, "query_id int, doc_id int, similarity double, place bigint")
     x = spark.createDataFrame(lexical, "query_id int, doc_id int, rank double")
     got = {(r["query_id"], r["place"]): r["doc_id"] for r in search.fuse(v, x, "doc_id", ["query_id"], 5, offset=2).collect()}
     for q in (1, 2):
@@ -91,7 +112,7 @@ def test_refresh_takes_new_files_once_and_upserts(spark, tmp_path):
     go = lambda: streaming.refresh(spark, store, "clinical", str(landing), str(tmp_path / "cp"), as_of)
     (landing / "1.json").write_text("\n".join([trial("NCT1", "one"), trial("NCT2", "two"), trial("", "no id")]))
     assert go() == 1 and store.read("clinical").count() == 2
-    assert go() == 0 and store.version("clinical") == 1
+    assert go() == 0 and store.version("clinical") == 1 and len(store.current("clinical")) <= 2
     (landing / "2.json").write_text(trial("NCT2", "two again", "2020-01-01") + "\n" + trial("NCT3", "three"))
     assert go() == 1
     assert {r["doc_id"]: r["title"] for r in store.all().collect()} == {"NCT1": "one", "NCT2": "two again", "NCT3": "three"}
