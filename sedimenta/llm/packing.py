@@ -62,15 +62,18 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY, max_items: int = MAX_I
     return container, offset
 
 
-def pack(df: DataFrame, key: str, size: str, capacity: int = CAPACITY, max_items: int = MAX_ITEMS, max_attention: int | None = None, score: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+def pack(df: DataFrame, key: str, size: str, capacity: int = CAPACITY, max_items: int = MAX_ITEMS, max_attention: int | None = None, score: str = "norm", weights: tuple[float, float, float] = WEIGHTS, items: int | None = None) -> DataFrame:
     """(key, piece, begin, n_tokens, container, start): where every part of every item goes.
 
+    ``items`` is the number of rows, if the caller knows it more cheaply than by counting ``df``; it only sets the number
+    of groups.
+
     ``begin`` is where the piece starts in its item, ``start`` where it lies in its container. Only key and
     size are shuffled, once.
     """
     kind = df.schema[key].dataType.simpleString()
-    groups = max(1, -(-df.count() // ITEMS_PER_GROUP))
-    items = df.select(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("_group"), F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size"))
+    groups = max(1, -(-(df.count() if items is None else items) // ITEMS_PER_GROUP))
+    sized = df.select(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("_group"), F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size"))
 
     def one(table: pa.Table) -> pa.Table:
         size = table.column("size").to_numpy()
@@ -96,7 +99,7 @@ def pack(df: DataFrame, key: str, size: str, capacity: int = CAPACITY, max_items
             {"key": keys, "piece": pa.array(piece, pa.int32()), "begin": pa.array(piece * capacity), "n_tokens": pa.array(amount), "container": pa.array(container, mask=container < 0), "start": pa.array(start, pa.int32())}
         )
 
-    packed = items.groupBy("_group").applyInArrow(one, f"key {kind}, piece int, begin bigint, n_tokens bigint, container bigint, start int")
+    packed = sized.groupBy("_group").applyInArrow(one, f"key {kind}, piece int, begin bigint, n_tokens bigint, container bigint, start int")
     return packed.withColumnRenamed("key", key)
 
 

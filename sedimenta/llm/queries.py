@@ -40,8 +40,9 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
-    counts = encode.token_counts(table(spark, sf, "documents"), "doc_id", "text")
-    return packing.pack(counts, "doc_id", "n_tokens")
+    documents = table(spark, sf, "documents")
+    counts = encode.token_counts(documents, "doc_id", "text")
+    return packing.pack(counts, "doc_id", "n_tokens", items=documents.count())
 
 
 # ---------------------------------------------------------------- 9 text quality
