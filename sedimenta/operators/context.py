@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sedimenta.functions import text as analysis
-from sedimenta.operators.search import postings
+from sedimenta.functions.vectors import embed_column
+from sedimenta.operators import search
 
 # Fixed names of comparators that are no drug.
 NO_DRUG = r"(?i)\b(placebos?|sham|standard[- ]of[- ]care|best supportive care|no (intervention|treatment)|observation)\b"
@@ -26,23 +27,63 @@ def mentioned(records: DataFrame, key: str, names: str, most: int | None = None)
     return listed
 
 
+def _asked(names: DataFrame) -> DataFrame:
+    """(name, term, wanted) of (name, terms), for the inverted index."""
+    known = names.where(F.size("terms") > 0).select("name", "terms").distinct()
+    return known.select("name", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
+
+
 def context(listed: DataFrame, key: str, docs: DataFrame, doc_key: str, source: str, terms: str, k: int = 3) -> DataFrame:
     """(key, name, source, doc_key, rank, place): per name and source the k best documents with all its terms.
 
-    Each distinct name is matched once, through the inverted index and a count of terms met, and joined back to
-    the records that mention it; the theta join on term containment is never formed.
+    Each distinct name is matched once, through the inverted index, and joined back to the records that mention it;
+    the theta join on term containment is never formed.
     """
-    wanted = listed.where(~F.col("skipped") & (F.size("terms") > 0)).select("name", "terms").distinct()
-    asked = wanted.select("name", F.size("terms").alias("_w"), F.explode("terms").alias("term"))
-    index = postings(docs, doc_key, terms)
-    met = index.join(asked, "term").groupBy("name", doc_key).agg(F.count("*").alias("_n"), F.max("_w").alias("_w"), (F.sum(1.0 + F.log(F.col("tf").cast("double"))) / (1.0 + F.log(1.0 + F.max("length")))).alias("rank"))
-    met = met.where(F.col("_n") == F.col("_w")).select("name", doc_key, F.round("rank", 9).alias("rank"))
+    met = search.term_matches(search.postings(docs, doc_key, terms), _asked(listed.where(~F.col("skipped"))), doc_key, True, "name")
     placed = met.join(docs.select(doc_key, source), doc_key)
     order = W.partitionBy("name", source).orderBy(F.desc("rank"), doc_key)
     best = placed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     return listed.where(~F.col("skipped")).select(key, "name").distinct().join(best, "name").select(key, "name", source, doc_key, "rank", "place")
 
 
+#: How many labels, reports and recalls make a profile.
+PROFILE = {"openfda_label": 3, "openfda_event": 5, "openfda_enforcement": 3}
+
+
+def profiles(names: DataFrame, docs: DataFrame, doc_key: str = "doc_id", source: str = "source", terms: str = "terms", wanted: dict[str, int] | None = None) -> DataFrame:
+    """(name, source, doc_key, rank, place): what several sources say about each name, in one pass over them all."""
+    wanted = wanted or PROFILE
+    scope = docs.where(F.col(source).isin(*wanted))
+    met = search.term_matches(search.postings(scope, doc_key, terms), _asked(names), doc_key, True, "name")
+    return search.top_by_source(met.join(scope.select(doc_key, source), doc_key), wanted, "rank", doc_key, ["name"], source).select("name", source, doc_key, "rank", "place")
+
+
+def question_of(title: str, *lists: str):
+    """One search text out of a title and lists of names: the lists first, nulls left out."""
+    parts = [F.nullif(F.array_join(F.col(c), " "), F.lit("")) for c in lists]
+    return F.concat_ws(" ", *parts, F.col(title))
+
+
+def evidence(questions: DataFrame, articles: DataFrame, k: int = 8) -> DataFrame:
+    """(query_id, doc_id, similarity, score, place): articles for each question, found by vector and by any shared term.
+
+    ``questions`` has (query_id, question), ``articles`` (doc_id, body, terms); both are embedded alike.
+    """
+    asked = embed_column(questions.select("query_id", "question"), "query_id", "question")
+    rows = embed_column(articles.select("doc_id", "body"), "doc_id", "body")
+    words = questions.select("query_id", F.array_distinct(analysis.plain_terms(F.col("question"))).alias("t"))
+    stop = F.array(*[F.lit(w) for w in sorted(analysis.STOP_WORDS)])
+    words = words.select("query_id", F.array_except("t", stop).alias("t")).select("query_id", F.size("t").alias("wanted"), F.explode("t").alias("term"))
+    lexical = search.term_matches(search.postings(articles, "doc_id", "terms"), words, "doc_id", True)
+    return search.hybrid(asked, rows, lexical, k)
+
+
+def cite(found: DataFrame, docs: DataFrame, title: str = "title", key: str = "doc_id") -> DataFrame:
+    """Numbered citations ``[n] title`` of a ranked result."""
+    named = found.join(docs.select(key, title), key)
+    return named.withColumn("citation", F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), F.coalesce(title, F.lit("(untitled)"))))
+
+
 def prompt(heading: str, rows: list[str], question: str) -> str:
     """Numbered passages and a question, as text for a summarizer."""
     cited = "\n".join(f"[{i}] {r}" for i, r in enumerate(rows, 1))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimenta.functions.scalars import strip
 from sedimenta.session import cut
 from sedimenta.sources import delimited
 from sedimenta.sources.tables import TableSpec
@@ -134,3 +135,12 @@ def first_arrivals(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     rest = [c for c in df.columns if c not in keys]
     pick = [c for c in rest if c not in order]
     return df.groupBy(*keys).agg(F.min(F.struct(*order, *pick)).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
+
+
+def ingest_counts(docs: DataFrame) -> DataFrame:
+    """One row: fetched, skipped (no id or nothing to embed), unique and duplicates of a batch of documents."""
+    good = (F.col("doc_id") != "") & (strip(F.col("embed_text")) != "")
+    per = docs.groupBy(F.when(good, F.col("source_id")).alias("s"), F.when(good, F.col("doc_id")).alias("d")).agg(F.count("*").alias("n"))
+    skipped = F.coalesce(F.sum(F.when(F.col("d").isNull(), F.col("n"))), F.lit(0))
+    out = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("fetched"), skipped.alias("skipped"), F.count("d").alias("unique"))
+    return out.withColumn("duplicates", F.col("fetched") - F.col("skipped") - F.col("unique"))

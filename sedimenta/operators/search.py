@@ -203,16 +203,36 @@ def query_terms(queries: list[tuple[int, str]], df: DataFrame, stem: bool = Fals
     return df.sparkSession.createDataFrame(rows, "query_id bigint, term string, wanted int")
 
 
-def term_matches(index: DataFrame, wanted: DataFrame, key: str, every: bool) -> DataFrame:
-    """(query_id, key, rank): documents with all (or any) of a query's terms, through the inverted index.
+def term_matches(index: DataFrame, wanted: DataFrame, key: str, every: bool, group: str = "query_id") -> DataFrame:
+    """(group, key, rank): documents with all (or any) of a query's terms, through the inverted index.
 
-    rank is the sum of 1 + ln(tf), divided by 1 + ln(1 + length).
+    ``wanted`` has (group, term, wanted), the distinct terms of each query and their number. rank is the sum of 1 + ln(tf),
+    divided by 1 + ln(1 + length). If every term is needed, only the postings of a query's rarest term become
+    candidates, and the other terms are looked up for those; a term that most documents have is never joined whole.
     """
-    hits = index.join(wanted, "term")
-    scored = hits.groupBy("query_id", key).agg(F.count("*").alias("_n"), F.max("wanted").alias("_w"), (F.sum(1.0 + F.log(F.col("tf").cast("double"))) / (1.0 + F.log(1.0 + F.max("length")))).alias("rank"))
+    asked = wanted.select(group, "term", "wanted")
+    if every:
+        frequency = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("_df"))
+        rarest = asked.join(frequency, "term", "left").groupBy(group).agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "term")).alias("_r"))
+        first = rarest.where(F.col("_r.df") > 0).select(group, F.col("_r.term").alias("term"))
+        candidates = first.join(index.select("term", key), "term").select(group, key)
+        hits = candidates.join(asked, group).join(index, [key, "term"])
+    else:
+        hits = index.join(asked, "term")
+    scored = hits.groupBy(group, key).agg(F.count("*").alias("_n"), F.max("wanted").alias("_w"), (F.sum(1.0 + F.log(F.col("tf").cast("double"))) / (1.0 + F.log(1.0 + F.max("length")))).alias("rank"))
     if every:
         scored = scored.where(F.col("_n") == F.col("_w"))
-    return scored.select("query_id", key, F.round("rank", 9).alias("rank"))
+    return scored.select(group, key, F.round("rank", 9).alias("rank"))
+
+
+def top_by_source(scored: DataFrame, wanted: dict[str, int], score: str, key: str, group: list[str], source: str = "source") -> DataFrame:
+    """The best rows per group and source, so many of each source as ``wanted`` says; other sources are left out."""
+    limit = None
+    for name, k in wanted.items():
+        limit = F.when(F.col(source) == name, k) if limit is None else limit.when(F.col(source) == name, k)
+    order = W.partitionBy(*group, source).orderBy(F.desc(score), key)
+    kept = scored.where(F.col(source).isin(*wanted))
+    return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
 def top(scored: DataFrame, k: int, score: str, key: str, group: list[str], offset: int = 0) -> DataFrame:

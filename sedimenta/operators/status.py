@@ -67,6 +67,15 @@ def decide_access(calls: DataFrame, keys: DataFrame, used: DataFrame, limits: di
     return joined.withColumn("reason", reason).drop("_h", "_u", "key", "plan", "active", "used")
 
 
+def source_state(events: DataFrame) -> DataFrame:
+    """Refresh state per source out of append-only events (source, status, at, started_at, error).
+
+    last_success is the start of the latest run that ended well: what arrived while it ran is read again next time.
+    """
+    latest = events.groupBy("source").agg(F.max_by(F.struct("status", "error"), "at").alias("now"), F.max(F.when(F.col("status") == "success", F.col("started_at"))).alias("last_success"))
+    return latest.select("source", F.col("now.status").alias("status"), F.when(F.col("now.status") == "error", F.left("now.error", F.lit(500))).alias("error"), "last_success")
+
+
 def due(states: DataFrame, now: Column) -> DataFrame:
     """Adds ``due`` to (source, cadence, last_success): never succeeded is due, manual never is."""
     days = None

@@ -238,6 +238,36 @@ def trial_context(spark: SparkSession, sf: str) -> DataFrame:
     return context.context(listed, "trial", others, "doc_id", "source", "terms", 3).withColumn("rank", F.round("rank", 6))
 
 
+def drug_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels, reports and recalls about the brand of every label whose id is divisible by 20."""
+    docs = table(spark, sf, "documents")
+    brand = F.get_json_object("structured", "$.brand_name[0]")
+    labels = docs.where((F.col("source") == "openfda_label") & (F.col("doc_id") % 20 == 0)).select(brand.alias("name")).where(F.col("name").isNotNull()).distinct()
+    named = labels.select("name", F.array_distinct(text.plain_terms(F.col("name"))).alias("terms"))
+    return context.profiles(named, _terms(spark, sf)).withColumn("rank", F.round("rank", 6))
+
+
+def trial_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles for every trial whose id is divisible by 20, by its conditions, interventions and title."""
+    docs = table(spark, sf, "documents")
+    j = lambda path: F.from_json(F.get_json_object("structured", f"$.{path}"), "array<string>").alias(path)
+    trials = docs.where((F.col("source") == "clinical") & (F.col("doc_id") % 20 == 0)).select(F.col("doc_id").alias("query_id"), "title", j("conditions"), j("interventions"))
+    questions = trials.select("query_id", context.question_of("title", "conditions", "interventions").alias("question"))
+    articles = docs.where(F.col("source") == "pubmed").select("doc_id", F.concat_ws(" ", "title", "text").alias("body")).withColumn("terms", text.plain_terms(F.col("body")))
+    found = context.evidence(questions, articles)
+    return context.cite(found, docs).select("query_id", "doc_id", "place", "citation")
+
+
+def ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("source").alias("source_id"), F.coalesce("native_id", F.lit("")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("embed_text"))
+    return load.ingest_counts(docs)
+
+
+def source_state(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "load_run").select(F.concat_ws("/", "source", "table_name").alias("source"), "status", F.struct(F.col("started_at"), F.col("id")).alias("at"), "started_at", F.col("notes").alias("error"))
+    return status.source_state(events).withColumn("last_success", F.col("last_success").cast("string"))
+
+
 def retrieval_eval(spark: SparkSession, sf: str) -> DataFrame:
     """hit@k and mean reciprocal rank; gold is the nearest vector of the same label."""
     rows = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
@@ -314,5 +344,5 @@ def label_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (case_current, case_current_kept, grain, grain_orders, conservation_runs, conservation_tables, dedup_conservation, integrity, integrity_orders, reject_summary, reject_reasons, reject_totals, date_precision, inventory, parse_dates, parse_numbers, delimited_split, part_lines, normalize_applications, payload_fields, event_props, text_scalars, knn, knn_per_label, fts_and, fts_or, fts_language, hybrid, trial_context, retrieval_eval, corpus_status, usage_7d, rolling_30d, due_sources, upsert_documents, first_documents, newest_documents, demo_selection, label_vectors)
+    for f in (case_current, case_current_kept, grain, grain_orders, conservation_runs, conservation_tables, dedup_conservation, integrity, integrity_orders, reject_summary, reject_reasons, reject_totals, date_precision, inventory, parse_dates, parse_numbers, delimited_split, part_lines, normalize_applications, payload_fields, event_props, text_scalars, knn, knn_per_label, fts_and, fts_or, fts_language, hybrid, trial_context, drug_profiles, trial_evidence, ingest_counts, source_state, retrieval_eval, corpus_status, usage_7d, rolling_30d, due_sources, upsert_documents, first_documents, newest_documents, demo_selection, label_vectors)
 }

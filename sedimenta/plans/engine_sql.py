@@ -204,6 +204,27 @@ best AS (SELECT name, d.source, m.doc_id, rank, row_number() OVER (PARTITION BY
 SELECT trial, name, source, doc_id, round(rank, 6) AS rank, place::INT AS place FROM kept JOIN best USING (name) WHERE place <= 3
 """
 
+DRUG_PROFILES = f"""
+WITH {_index("SELECT doc_id, source, title, text FROM documents WHERE source IN ('openfda_label', 'openfda_event', 'openfda_enforcement')")},
+names AS (SELECT DISTINCT json_extract_string(json(structured), '$.brand_name[0]') AS name FROM documents WHERE source = 'openfda_label' AND doc_id % 20 = 0 AND json_valid(structured)),
+terms AS (SELECT name, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM names WHERE name IS NOT NULL),
+wanted AS (SELECT name, len(t) AS wanted, unnest(t) AS term FROM terms),
+met AS (SELECT name, doc_id, {_RANK} AS rank FROM postings JOIN wanted USING (term) GROUP BY name, doc_id HAVING count(*) = max(wanted)),
+best AS (SELECT name, d.source, m.doc_id, rank, row_number() OVER (PARTITION BY name, d.source ORDER BY rank DESC, m.doc_id) AS place FROM met m JOIN docs d USING (doc_id))
+SELECT name, source, doc_id, round(rank, 6) AS rank, place::INT AS place FROM best WHERE place <= CASE source WHEN 'openfda_event' THEN 5 ELSE 3 END
+"""
+
+INGEST_COUNTS = r"""
+SELECT count(*)::BIGINT AS fetched, count(*) FILTER (WHERE NOT ok)::BIGINT AS skipped, count(DISTINCT CASE WHEN ok THEN source || '/' || native_id END)::BIGINT AS "unique",
+  (count(*) FILTER (WHERE ok) - count(DISTINCT CASE WHEN ok THEN source || '/' || native_id END))::BIGINT AS duplicates
+FROM (SELECT *, coalesce(native_id, '') <> '' AND NOT regexp_full_match(coalesce(text, ''), '[\p{Z}\s\x0B\x{0085}]*') AS ok FROM documents)
+"""
+
+SOURCE_STATE = """
+SELECT source, arg_max(status, k) AS status, CASE WHEN arg_max(status, k) = 'error' THEN nullif(left(arg_max(coalesce(notes, chr(1)), k), 500), chr(1)) END AS error, (max(started_at) FILTER (WHERE status = 'success'))::VARCHAR AS last_success
+FROM (SELECT source || '/' || table_name AS source, status, notes, started_at, strftime(started_at, '%Y%m%d%H%M%S') || lpad(id::VARCHAR, 12, '0') AS k FROM load_run) GROUP BY source
+"""
+
 RETRIEVAL_EVAL = f"""
 WITH res AS ({_knn(10, False)}), own AS ({_knn(1, True)}),
 gold AS (SELECT o.query_id, o.doc_id FROM own o JOIN embeddings e ON e.vec_id = o.query_id AND e.label::VARCHAR = o.label),
@@ -269,6 +290,9 @@ SQL = {
     "fts_or": _fts(False),
     "hybrid": HYBRID,
     "trial_context": TRIAL_CONTEXT,
+    "drug_profiles": DRUG_PROFILES,
+    "ingest_counts": INGEST_COUNTS,
+    "source_state": SOURCE_STATE,
     "retrieval_eval": RETRIEVAL_EVAL,
     "corpus_status": CORPUS_STATUS,
     "usage_7d": f"SELECT event_type AS tool, count(*)::BIGINT AS calls, round(avg(value))::INT AS mean_ms, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS errors FROM events WHERE ts > TIMESTAMP '{EVENTS_NOW}' - INTERVAL 7 DAYS GROUP BY 1",

@@ -77,6 +77,47 @@ def test_context_skips_comparators_and_needs_all_terms(spark):
     assert context.summarize("H", ["p", "q"], "Q?") == "H\n\n[1] p\n[2] q\n\nQ?" and context.summarize("H", [], "Q", len) == len(context.prompt("H", [], "Q"))
 
 
+def test_all_terms_through_the_rarest_equals_brute_force(spark):
+    rnd = random.Random(8)
+    docs = {d: [rnd.choice("aaaabbbccd") for _ in range(rnd.randrange(1, 8))] for d in range(200)}
+    asked = {1: "ab", 2: "abd", 3: "z", 4: "az", 5: "d", 6: "abcd"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, terms array<string>")
+    wanted = spark.createDataFrame([(q, t, len(ts)) for q, ts in asked.items() for t in ts], "query_id bigint, term string, wanted int")
+    index = search.postings(df, "doc_id", "terms")
+    every = {(r["query_id"], r["doc_id"]) for r in search.term_matches(index, wanted, "doc_id", True).collect()}
+    assert every == {(q, d) for q, ts in asked.items() for d, have in docs.items() if set(ts) <= set(have)}
+    some = {(r["query_id"], r["doc_id"]) for r in search.term_matches(index, wanted, "doc_id", False).collect()}
+    assert some == {(q, d) for q, ts in asked.items() for d, have in docs.items() if set(ts) & set(have)}
+
+
+def test_profiles_take_so_many_of_each_source(spark):
+    docs = spark.createDataFrame([(i, s, ["drug", "x"]) for s in ("a", "b", "c") for i in range(hash(s) % 97 * 100, hash(s) % 97 * 100 + 9)], "doc_id bigint, source string, terms array<string>")
+    names = spark.createDataFrame([("Drug X", ["drug", "x"]), ("nothing", ["q"]), ("", [])], "name string, terms array<string>")
+    got = context.profiles(names, docs, wanted={"a": 2, "b": 5}).groupBy("name", "source").count().collect()
+    assert {(r["name"], r["source"]): r["count"] for r in got} == {("Drug X", "a"): 2, ("Drug X", "b"): 5}
+
+
+def test_evidence_and_citations(spark):
+    articles = spark.createDataFrame([(1, "asthma in children", "asthma children".split()), (2, "liver disease", "liver disease".split()), (3, "treatment of asthma", "treatment of asthma".split())], "doc_id bigint, body string, terms array<string>")
+    trials = spark.createDataFrame([(9, "A study", ["asthma"], None)], "query_id bigint, title string, conditions array<string>, interventions array<string>")
+    asked = trials.select("query_id", context.question_of("title", "conditions", "interventions").alias("question"))
+    assert asked.first()["question"] == "asthma A study"
+    found = context.evidence(asked, articles, 2)
+    titled = context.cite(found, articles.withColumn("title", F.col("body"))).orderBy("place").collect()
+    assert [r["doc_id"] for r in titled] in ([1, 3], [3, 1]) and titled[0]["citation"].startswith("[1] ")
+
+
+def test_ingest_counts_and_source_state(spark):
+    from sedimenta.operators.load import ingest_counts
+
+    docs = spark.createDataFrame([("s", "a", "t"), ("s", "a", "u"), ("s", "", "t"), ("s", "b", " \t"), ("r", "a", "t")], "source_id string, doc_id string, embed_text string")
+    assert ingest_counts(docs).first().asDict() == {"fetched": 5, "skipped": 2, "unique": 2, "duplicates": 1}
+    at = lambda n: dt.datetime(2024, 1, n)
+    events = spark.createDataFrame([("s", "running", at(1), at(1), None), ("s", "success", at(2), at(1), None), ("s", "running", at(3), at(3), None), ("s", "error", at(4), at(3), "x" * 600), ("r", "running", at(1), at(1), None)], "source string, status string, at timestamp, started_at timestamp, error string")
+    got = {r["source"]: (r["status"], len(r["error"] or ""), r["last_success"]) for r in status.source_state(events).collect()}
+    assert got == {"s": ("error", 500, at(1)), "r": ("running", 0, None)}
+
+
 def test_access_ladder(spark):
     now = F.lit("2024-01-31").cast("timestamp")
     issued = spark.createDataFrame([("good", "small", True, dt.datetime(2024, 1, 1)), ("gone", "small", True, dt.datetime(2024, 1, 1)), ("gone", "small", False, dt.datetime(2024, 1, 2)), ("big", "large", True, dt.datetime(2024, 1, 1)), ("odd", "??", True, dt.datetime(2024, 1, 1))], "key string, plan string, active boolean, created_at timestamp")
