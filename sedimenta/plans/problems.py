@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.operators import history, orphans, shred, snapdiff
-from sedimenta.session import table
+from sedimenta.session import spread, table
 from sedimenta.sources import delimited_rejects
 
 INGREDIENT = {"name": None, "strength": None}
@@ -25,7 +25,7 @@ DEMO_ATTRIBUTES = ("i_f_code", "rept_cod", "mfr_num", "mfr_sndr", "age", "age_co
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     applications = shred.shred(table(spark, sf, "openfda_drugsfda"), "record_id", ["products", "submissions"], APPLICATION_LAYOUT, with_fields=False)
-    payloads = table(spark, sf, "documents").where(F.col("structured").isNotNull())
+    payloads = spread(table(spark, sf, "documents").select("doc_id", "structured").where(F.col("structured").isNotNull()))
     documents = shred.shred(payloads, "doc_id", "structured", PAYLOAD_LAYOUT, with_fields=False)
     named = applications.withColumn("source_table", F.lit("openfda_drugsfda")).unionByName(documents.withColumn("source_table", F.lit("documents")))
     return named.select("source_table", "record_key", "path", "parent_pos", "pos")

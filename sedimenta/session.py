@@ -35,6 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select([F.col(c).cast("timestamp").alias(c) if c in zoneless else F.col(c) for c in df.columns])
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan with a partition for every core at least, for work that is heavier than a shuffle of its rows.
+
+    A scan that has as many partitions already, as any large one has, stays as it is. Only for plans without a shuffle of
+    their own, whose partitions are known before they run.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
