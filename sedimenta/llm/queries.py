@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm import encode, names, packing, quality
-from sedimenta.session import table
+from sedimenta.session import spread, table
 
 
 # ---------------------------------------------------------------- 5 names
@@ -32,17 +32,20 @@ def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- 7 token ids
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return encode.encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
+    return encode.encode_corpus(_texts(spark, sf), "doc_id", "text")
 
 
 # ---------------------------------------------------------------- 8 packing
 
 
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
-    documents = table(spark, sf, "documents")
-    counts = encode.token_counts(documents, "doc_id", "text")
-    return packing.pack(counts, "doc_id", "n_tokens", items=documents.count())
+    counts = encode.token_counts(_texts(spark, sf), "doc_id", "text")
+    return packing.pack(counts, "doc_id", "n_tokens", items=table(spark, sf, "documents").count())
 
 
 # ---------------------------------------------------------------- 9 text quality
@@ -57,7 +60,7 @@ def common_words(spark: SparkSession, sf: str) -> list[str]:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = quality.label_corpus(table(spark, sf, "documents"), "doc_id", "text", common_words(spark, sf))
+    labelled = quality.label_corpus(_texts(spark, sf), "doc_id", "text", common_words(spark, sf))
     return labelled.where(F.col("kind") != "prose").select("doc_id", "kind")
 
 
