@@ -9,7 +9,7 @@ import sys
 
 from sedimenta.operators import cases, gates, report
 from sedimenta.operators.load import Warehouse
-from sedimenta.session import build_session
+from sedimenta.session import build_session, ship
 from sedimenta.sources.tables import GRAINS, case_report_specs, study_specs
 
 
@@ -61,6 +61,7 @@ def rebuild_cases(store: Warehouse) -> None:
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = parser().parse_args(argv)
     spark = spark or build_session()
+    ship(spark)
     store = Warehouse(spark, args.warehouse)
     if args.command == "load-reports":
         for item in args.archives:

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sedimenta.functions import text as analysis
+from sedimenta.session import cut
 
 RRF_K = 60
 QUERY_BLOCK = 4096
@@ -188,9 +189,10 @@ def _scan(sent, k: int, exclude_self: bool):
 # ---------------------------------------------------------------- full text
 
 
-def postings(docs: DataFrame, key: str, terms: str) -> DataFrame:
-    """Inverted index: (term, key, tf, length) of every document."""
-    exploded = docs.select(key, F.size(terms).alias("length"), F.explode(terms).alias("term"))
+def postings(docs: DataFrame, key: str, terms: str, only: list[str] | None = None) -> DataFrame:
+    """Inverted index: (term, key, tf, length) of every document; for a few known terms, only theirs is built."""
+    kept = F.col(terms) if only is None else F.filter(terms, lambda t: t.isin(only))
+    exploded = docs.select(key, F.size(terms).alias("length"), F.explode(kept).alias("term"))
     return exploded.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
@@ -203,15 +205,16 @@ def query_terms(queries: list[tuple[int, str]], df: DataFrame, stem: bool = Fals
     return df.sparkSession.createDataFrame(rows, "query_id bigint, term string, wanted int")
 
 
-def term_matches(index: DataFrame, wanted: DataFrame, key: str, every: bool, group: str = "query_id") -> DataFrame:
+def term_matches(index: DataFrame, wanted: DataFrame, key: str, every: bool, group: str = "query_id", by_rarest: bool = True) -> DataFrame:
     """(group, key, rank): documents with all (or any) of a query's terms, through the inverted index.
 
     ``wanted`` has (group, term, wanted), the distinct terms of each query and their number. rank is the sum of 1 + ln(tf),
     divided by 1 + ln(1 + length). If every term is needed, only the postings of a query's rarest term become
     candidates, and the other terms are looked up for those; a term that most documents have is never joined whole.
+    For a handful of queries the plain join is cheaper (``by_rarest`` false).
     """
     asked = wanted.select(group, "term", "wanted")
-    if every:
+    if every and by_rarest:
         frequency = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("_df"))
         rarest = asked.join(frequency, "term", "left").groupBy(group).agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "term")).alias("_r"))
         first = rarest.where(F.col("_r.df") > 0).select(group, F.col("_r.term").alias("term"))
@@ -257,8 +260,11 @@ def fuse(vector: DataFrame, lexical: DataFrame, key: str, group: list[str], k: i
 
 
 def hybrid(queries: DataFrame, rows: DataFrame, lexical: DataFrame, k: int, offset: int = 0) -> DataFrame:
-    """Both arms fused: the nearest by vector, the matches in ``lexical`` with their exact place by vector."""
-    near = search_nearest(queries, rows, offset + k)
+    """Both arms fused: the nearest by vector, the matches in ``lexical`` with their exact place by vector.
+
+    Both arms are used several times, so each is written once to the checkpoint folder.
+    """
+    near, lexical = cut(search_nearest(queries, rows, offset + k)), cut(lexical)
     placed = places(queries, rows, lexical)
     vector = near.unionByName(placed.join(near.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"))
     return fuse(vector, lexical, "doc_id", ["query_id"], k, offset)

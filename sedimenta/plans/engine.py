@@ -191,11 +191,14 @@ def _terms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "source", text.plain_terms(body).alias("terms"))
 
 
+def _topics(docs: DataFrame, topics: tuple, every: bool) -> DataFrame:
+    only = sorted({t for _, q in topics for t in text.analyze(q, False)})
+    index = search.postings(docs, "doc_id", "terms", only)
+    return search.term_matches(index, search.query_terms(list(topics), docs), "doc_id", every, by_rarest=False)
+
+
 def _searched(spark: SparkSession, sf: str, every: bool) -> DataFrame:
-    docs = _terms(spark, sf)
-    wanted = search.query_terms(list(TOPICS), docs)
-    scored = search.term_matches(search.postings(docs, "doc_id", "terms"), wanted, "doc_id", every)
-    return search.top(scored, 10, "rank", "doc_id", ["query_id"])
+    return search.top(_topics(_terms(spark, sf), TOPICS, every), 10, "rank", "doc_id", ["query_id"])
 
 
 def fts_and(spark: SparkSession, sf: str) -> DataFrame:
@@ -328,9 +331,7 @@ def newest_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def demo_selection(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    terms = _terms(spark, sf)
-    wanted = search.query_terms(list(TOPICS[:3]), docs)
-    themes = search.top(search.term_matches(search.postings(terms, "doc_id", "terms"), wanted, "doc_id", True), 20, "rank", "doc_id", ["query_id"])
+    themes = search.top(_topics(_terms(spark, sf), TOPICS[:3], True), 20, "rank", "doc_id", ["query_id"])
     return status.select_budget(docs.select("source", "doc_id", "updated_at"), "source", "doc_id", F.col("doc_id") % 500 == 1, themes.select("doc_id", F.col("place").alias("rank")), "updated_at", 30)
 
 

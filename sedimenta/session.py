@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,23 @@ def build_session(app: str = "sedimenta", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, wherever it lies on the driver."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    home = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="sedimenta-"), "sedimenta.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for module in sorted(home.rglob("*.py")):
+            archive.write(module, module.relative_to(home.parent))
+    context.addPyFile(path)  # Spark copies it to every executor
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, zone-less timestamps taken as UTC instants."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
