@@ -24,6 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 25_000
+#: The list of deliveries is broadcast up to so many; beyond, joins with it are planned like any other.
+MOST_BROADCAST = 100_000
 NULL_MARK = "\u0000"
 
 
@@ -86,10 +88,11 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: Column, order: str, colu
         days = days or [None]
     buckets = max(1, -(-sum(r[1] for r in rows) // rows_per_bucket))
     spark = df.sparkSession
+    small_list = F.broadcast if len(days) <= MOST_BROADCAST else lambda x: x
     ordinal = spark.createDataFrame([(d, i) for i, d in enumerate(days)], f"_day {df.schema[snapshot].dataType.simpleString()}, _n int")
 
     small = compact(df, snapshot, key, order, columns)
-    spread = small.join(F.broadcast(ordinal), F.col("_s") == F.col("_day")).select(
+    spread = small.join(small_list(ordinal), F.col("_s") == F.col("_day")).select(
         F.pmod(F.hash("_key"), F.lit(buckets)).alias("_bucket"), "_n", F.xxhash64("_key").alias("_kh"), "_hash"
     )
     last = len(days)
@@ -102,20 +105,20 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: Column, order: str, colu
     found = spread.groupBy("_bucket").applyInArrow(one, "_bucket int, _n int, _kh bigint, _kind int")
     # the snapshot that holds the key's text: the later one, or for removals the one before
     found = found.withColumn("_at", F.when(F.col("_kind") == 1, F.col("_n") - 1).otherwise(F.col("_n")))
-    names = small.join(F.broadcast(ordinal), F.col("_s") == F.col("_day")).select(
+    names = small.join(small_list(ordinal), F.col("_s") == F.col("_day")).select(
         F.pmod(F.hash("_key"), F.lit(buckets)).alias("_b2"), F.xxhash64("_key").alias("_k2"), F.col("_n").alias("_n2"), "_key"
     )
     named = found.join(names, (F.col("_bucket") == F.col("_b2")) & (F.col("_kh") == F.col("_k2")) & (F.col("_at") == F.col("_n2")))
     later = ordinal.select(F.col("_day").alias("snapshot"), F.col("_n").alias("_n3"))
     kinds = F.element_at(F.array(F.lit("added"), F.lit("removed"), F.lit("changed")), F.col("_kind") + 1)
-    return named.join(F.broadcast(later), F.col("_n") == F.col("_n3")).select("snapshot", F.col("_key").alias("key"), kinds.alias("change"))
+    return named.join(small_list(later), F.col("_n") == F.col("_n3")).select("snapshot", F.col("_key").alias("key"), kinds.alias("change"))
 
 
 def changed_fields(df: DataFrame, changes: DataFrame, snapshot: str, key: Column, order: str, columns: Sequence[str]) -> DataFrame:
     """For the changed keys only: (snapshot, key, field, before, after), values as text, fetched by a semi-join first."""
     wanted = changes.where(F.col("change") == "changed").select(F.col("snapshot").alias("_c"), F.col("key").alias("_ck"))
     before_of = df.select(F.col(snapshot).alias("d")).distinct().withColumn("_prev", F.lag("d").over(W.orderBy("d")))
-    need = wanted.join(F.broadcast(before_of), F.col("_c") == F.col("d")).select("_ck", "_c", F.explode(F.array(F.struct(F.col("_prev").alias("s"), F.lit(0).alias("side")), F.struct(F.col("_c").alias("s"), F.lit(1).alias("side")))).alias("x"))
+    need = wanted.join(before_of, F.col("_c") == F.col("d")).select("_ck", "_c", F.explode(F.array(F.struct(F.col("_prev").alias("s"), F.lit(0).alias("side")), F.struct(F.col("_c").alias("s"), F.lit(1).alias("side")))).alias("x"))
     need = need.select("_ck", "_c", F.col("x.s").alias("_ns"), F.col("x.side").alias("side"))
     kinds = dict(df.dtypes)
     cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("v"), F.coalesce(loose(F.col(c)) if kinds[c] == "string" else F.col(c).cast("string"), F.lit(NULL_MARK)).alias("n")) for c in columns])
