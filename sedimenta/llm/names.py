@@ -228,6 +228,8 @@ def only_vowel(a: list[str], b: list[str]) -> tuple[str, str] | None:
 DOMINANCE = 2.5
 #: A spelling that differs in a mere vowel joins only if it is rarer than this share of the usual entity.
 USUAL_SHARE = 0.4
+#: Slips of a very frequent name may be more frequent than a usual entity (over OFTEN times), but stay below this share of the name.
+SLIP_RATE, OFTEN = 0.06, 2.0
 LEAST_SIMILARITY = 0.80
 LEAST_OVERLAP = 0.2
 
@@ -307,7 +309,8 @@ def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(rare, frequent, similarity, weight) of the pairs that Monge-Elkan accepts; weight is that of the frequent node.
 
     Pairs that differ in one vowel count only where the rarer spelling is much rarer than an entity of its field usually
-    is, that being the median weight of nodes that no other pair binds to a more frequent one.
+    is, that being the median weight of nodes that no other pair binds to a more frequent one; or where it is clearly more
+    frequent than that, yet a small share of the other: then it is a slip of a very frequent name.
     """
     left = nodes.select(F.col("node").alias("rare"), F.col("core").alias("a"), F.col("weight").alias("wa"), "field")
     right = nodes.select(F.col("node").alias("frequent"), F.col("core").alias("b"), F.col("weight").alias("weight"))
@@ -325,7 +328,7 @@ def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     sure = scored.where(~F.col("vowel"))
     free = nodes.join(sure.select(F.col("rare").alias("node")), "node", "left_anti")
     usual = free.groupBy("field").agg(F.percentile_approx("weight", 0.5).alias("usual"))
-    slips = scored.where("vowel").join(usual, "field").where(F.col("wa") < F.col("usual") * USUAL_SHARE)
+    slips = scored.where("vowel").join(usual, "field").where((F.col("wa") < F.col("usual") * USUAL_SHARE) | ((F.col("wa") > F.col("usual") * OFTEN) & (F.col("wa") < F.col("weight") * SLIP_RATE)))
     columns = ["rare", "frequent", "similarity", "weight"]
     return sure.select(*columns).unionByName(slips.select(*columns))
 
