@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 64
-MOST_CHARS = 8000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,10 +27,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def embed(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Signed hashing of words and their letter triples into unit vectors; a blank text is the zero vector."""
+    """Signed hashing of words and their letter triples into unit vectors, whole texts of any length; a blank text is the zero vector."""
     out = np.zeros((len(texts), dimensions), np.float32)
     for i, text in enumerate(texts):
-        for word in (text or "")[:MOST_CHARS].lower().split():
+        for word in (text or "").lower().split():
             padded = f"^{word}$"
             for gram in [word, *(padded[k : k + 3] for k in range(len(padded) - 2))]:
                 h = zlib.crc32(gram.encode())

@@ -107,6 +107,14 @@ def test_evidence_and_citations(spark):
     assert [r["doc_id"] for r in titled] in ([1, 3], [3, 1]) and titled[0]["citation"].startswith("[1] ")
 
 
+def test_evidence_reads_articles_to_their_end(spark):
+    head = "word " * 2000
+    articles = spark.createDataFrame([(1, head + "liver " * 3000, []), (2, head + "asthma " * 3000, [])], "doc_id bigint, body string, terms array<string>")
+    asked = spark.createDataFrame([(9, "asthma")], "query_id bigint, question string")
+    found = {r["place"]: (r["doc_id"], r["similarity"]) for r in context.evidence(asked, articles, 2).collect()}
+    assert found[1][0] == 2 and found[1][1] > found[2][1]
+
+
 def test_ingest_counts_and_source_state(spark):
     from sedimenta.operators.load import ingest_counts
 
