@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions import text as analysis
 from sedimenta.functions.vectors import embed_column
 from sedimenta.operators import search
+from sedimenta.session import cut
 
 # Fixed names of comparators that are no drug.
 NO_DRUG = r"(?i)\b(placebos?|sham|standard[- ]of[- ]care|best supportive care|no (intervention|treatment)|observation)\b"
@@ -51,13 +54,38 @@ PROFILE = {"openfda_label": 3, "openfda_event": 5, "openfda_enforcement": 3}
 
 
 def profiles(names: DataFrame, docs: DataFrame, doc_key: str = "doc_id", source: str = "source", terms: str = "terms", wanted: dict[str, int] | None = None) -> DataFrame:
-    """(name, source, doc_key, rank, place): what several sources say about each name, in one pass over them all."""
+    """(name, source, doc_key, rank, place): what several sources say about each name, in one pass over them all.
+
+    This is the lexical arm alone: documents with all terms of the name. ``fused_profiles`` ranks the rest too.
+    """
     wanted = wanted or PROFILE
     scope = docs.where(F.col(source).isin(*wanted))
     met = search.term_matches(search.postings(scope, doc_key, terms), _asked(names), doc_key, True, "name")
     return search.top_by_source(met.join(scope.select(doc_key, source), doc_key), wanted, "rank", doc_key, ["name"], source).select("name", source, doc_key, "rank", "place")
 
 
+def fused_profiles(names: DataFrame, docs: DataFrame, wanted: dict[str, int] | None = None) -> DataFrame:
+    """(name, source, doc_id, similarity, score, place): the best documents of each source by vector and by all terms, fused.
+
+    ``names`` has (query_id, name, terms), ids and names distinct; ``docs`` (doc_id, source, body, terms). A name is embedded
+    once for all sources and a document once for all names. Each source is ranked by itself, so it gives as many documents
+    as ``wanted`` says if it has them, whether they hold the terms of the name or not.
+    """
+    wanted = wanted or PROFILE
+    scope = docs.where(F.col("source").isin(*wanted))
+    asked = cut(embed_column(names.select("query_id", "name"), "query_id", "name"))
+    terms = names.select("query_id", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
+    met = search.term_matches(search.postings(scope, "doc_id", "terms"), terms, "doc_id", True)
+    met = cut(met.join(scope.select("doc_id", "source"), "doc_id"))
+    found = []
+    for name, k in wanted.items():
+        rows = cut(embed_column(scope.where(F.col("source") == name).select("doc_id", "body"), "doc_id", "body"))
+        best = search.hybrid(asked, rows, met.where(F.col("source") == name).drop("source"), k)
+        found.append(best.withColumn("source", F.lit(name)))
+    every = reduce(DataFrame.unionByName, found)
+    return every.join(names.select("query_id", "name"), "query_id").select("name", "source", "doc_id", "similarity", "score", "place")
+
+
 def question_of(title: str, *lists: str):
     """One search text out of a title and lists of names: the lists first, nulls left out."""
     parts = [F.nullif(F.array_join(F.col(c), " "), F.lit("")) for c in lists]

@@ -250,6 +250,17 @@ def drug_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return context.profiles(named, _terms(spark, sf)).withColumn("rank", F.round("rank", 6))
 
 
+def drug_profiles_fused(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels, reports and recalls about the same brands, by vector and terms fused."""
+    docs = table(spark, sf, "documents")
+    brand = F.get_json_object("structured", "$.brand_name[0]")
+    labels = docs.where((F.col("source") == "openfda_label") & (F.col("doc_id") % 20 == 0)).select("doc_id", brand.alias("name")).where(F.col("name").isNotNull())
+    named = labels.groupBy("name").agg(F.min("doc_id").alias("query_id")).withColumn("terms", F.array_distinct(text.plain_terms(F.col("name"))))
+    bodies = docs.select("doc_id", "source", F.concat_ws(" ", "title", "text").alias("body")).withColumn("terms", text.plain_terms(F.col("body")))
+    found = context.fused_profiles(named, bodies)
+    return found.withColumn("similarity", F.round("similarity", 6)).withColumn("score", F.round("score", 6))
+
+
 def trial_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Articles for every trial whose id is divisible by 20, by its conditions, interventions and title."""
     docs = table(spark, sf, "documents")
@@ -345,5 +356,5 @@ def label_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (case_current, case_current_kept, grain, grain_orders, conservation_runs, conservation_tables, dedup_conservation, integrity, integrity_orders, reject_summary, reject_reasons, reject_totals, date_precision, inventory, parse_dates, parse_numbers, delimited_split, part_lines, normalize_applications, payload_fields, event_props, text_scalars, knn, knn_per_label, fts_and, fts_or, fts_language, hybrid, trial_context, drug_profiles, trial_evidence, ingest_counts, source_state, retrieval_eval, corpus_status, usage_7d, rolling_30d, due_sources, upsert_documents, first_documents, newest_documents, demo_selection, label_vectors)
+    for f in (case_current, case_current_kept, grain, grain_orders, conservation_runs, conservation_tables, dedup_conservation, integrity, integrity_orders, reject_summary, reject_reasons, reject_totals, date_precision, inventory, parse_dates, parse_numbers, delimited_split, part_lines, normalize_applications, payload_fields, event_props, text_scalars, knn, knn_per_label, fts_and, fts_or, fts_language, hybrid, trial_context, drug_profiles, drug_profiles_fused, trial_evidence, ingest_counts, source_state, retrieval_eval, corpus_status, usage_7d, rolling_30d, due_sources, upsert_documents, first_documents, newest_documents, demo_selection, label_vectors)
 }

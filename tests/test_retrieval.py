@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sedimenta.functions import vectors
 from sedimenta.operators import context, search, status
 from sedimenta.streaming import refresh as streaming
 
@@ -97,6 +98,33 @@ def test_profiles_take_so_many_of_each_source(spark):
     assert {(r["name"], r["source"]): r["count"] for r in got} == {("Drug X", "a"): 2, ("Drug X", "b"): 5}
 
 
+def test_fused_profiles_rank_every_source_to_its_number(spark):
+    rnd = random.Random(6)
+    words = ["drug", "x", "drugs", "xy", "pain", "label", "recall", "dose"]
+    docs = {d: (rnd.choice("abc"), [rnd.choice(words) for _ in range(rnd.randrange(1, 9))]) for d in range(90)}
+    docs |= {100 + i: ("d", ["pain", "drugs"][: 1 + i % 2]) for i in range(4)} | {200: ("e", ["drug", "x"])}
+    asked = {7: "Drug X", 8: "nothing", 9: "dose pain recall label"}
+    names = spark.createDataFrame([(q, n, n.lower().split()) for q, n in asked.items()], "query_id bigint, name string, terms array<string>")
+    df = spark.createDataFrame([(d, s, " ".join(t), t) for d, (s, t) in docs.items()], "doc_id bigint, source string, body string, terms array<string>").repartition(3)
+    wanted = {"a": 2, "b": 5, "d": 3}
+    got = {(r["name"], r["source"], r["place"]): r["doc_id"] for r in context.fused_profiles(names, df, wanted).collect()}
+    unit = dict(zip(docs, vectors.embed([" ".join(t) for _, t in docs.values()]).astype(float)))
+    unit = {d: v / np.linalg.norm(v) for d, v in unit.items()}
+    expected = {}
+    for name in asked.values():
+        q, need = vectors.embed([name])[0].astype(float), name.lower().split()
+        for source, k in wanted.items():
+            sim = {d: round(float(unit[d] @ q / np.linalg.norm(q)), 9) for d, (s, _) in docs.items() if s == source}
+            rank = {d: round(sum(1 + np.log(docs[d][1].count(t)) for t in need) / (1 + np.log(1 + len(docs[d][1]))), 9) for d in sim if set(need) <= set(docs[d][1])}
+            score = {d: 1 / (60 + i) for i, d in enumerate(sorted(sim, key=lambda d: (-sim[d], d)), 1)}
+            for i, d in enumerate(sorted(rank, key=lambda d: (-rank[d], d)), 1):
+                score[d] += 1 / (60 + i)
+            best = sorted(sim, key=lambda d: (-round(score[d], 12), -sim[d], d))[:k]
+            assert len(best) == k
+            expected |= {(name, source, i): d for i, d in enumerate(best, 1)}
+    assert got == expected
+
+
 def test_evidence_and_citations(spark):
     articles = spark.createDataFrame([(1, "asthma in children", "asthma children".split()), (2, "liver disease", "liver disease".split()), (3, "treatment of asthma", "treatment of asthma".split())], "doc_id bigint, body string, terms array<string>")
     trials = spark.createDataFrame([(9, "A study", ["asthma"], None)], "query_id bigint, title string, conditions array<string>, interventions array<string>")
