@@ -93,7 +93,7 @@ def question_of(title: str, *lists: str):
 
 
 def evidence(questions: DataFrame, articles: DataFrame, k: int = 8) -> DataFrame:
-    """(query_id, doc_id, similarity, score, place): articles for each question, found by vector and by any shared term.
+    """(query_id, doc_id, similarity, score, place): articles for each question, found by vector and, lexically, by all of its terms but stop words.
 
     ``questions`` has (query_id, question), ``articles`` (doc_id, body, terms); both are embedded alike.
     """
