@@ -33,7 +33,18 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_ingredients(spark: SparkSession, sf: str) -> DataFrame:
     """The flat table of ingredients joined to the product each belongs to, by the links alone."""
-    flat = shred.shred(table(spark, sf, "openfda_drugsfda"), "record_id", ["products", "submissions"], APPLICATION_LAYOUT)
+    return _ingredients(shred.shred(table(spark, sf, "openfda_drugsfda"), "record_id", ["products", "submissions"], APPLICATION_LAYOUT))
+
+
+def p1_ingredients_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The same table over both sources: applications, and the payloads of documents."""
+    applications = p1_ingredients(spark, sf).withColumn("source_table", F.lit("openfda_drugsfda"))
+    payloads = spread(table(spark, sf, "documents").select("doc_id", "structured").where(F.col("structured").isNotNull()))
+    documents = _ingredients(shred.shred(payloads, "doc_id", "structured", APPLICATION_LAYOUT))
+    return applications.unionByName(documents.withColumn("source_table", F.lit("documents")))
+
+
+def _ingredients(flat: DataFrame) -> DataFrame:
     products = shred.flat_table(flat, APPLICATION_LAYOUT, "products").select(F.col("record_key").alias("_r"), F.col("pos").alias("_p"), "product_number", "brand_name")
     parts = shred.flat_table(flat, APPLICATION_LAYOUT, "products.active_ingredients")
     joined = parts.join(products, (F.col("record_key") == F.col("_r")) & (F.col("parent_pos") == F.col("_p")))
@@ -135,4 +146,4 @@ def p6_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return judged.where(F.col("cause").isNull()).select("load_id", "table_name", "line_no", F.to_json("values").alias("fields"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ingredients, p2_found, p2_history, p2_store, p3_found, p3_cascade, p4_found, p4_fields, p6_found, p6_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ingredients, p1_ingredients_all, p2_found, p2_history, p2_store, p3_found, p3_cascade, p4_found, p4_fields, p6_found, p6_loaded)}

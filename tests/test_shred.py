@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sedimenta.operators import shred
+from sedimenta.plans import problems
 
 LAYOUT = {"a": [{"x": None, "b": [{"y": None, "c": [{"z": None}]}]}], "o": {"p": None, "q": [{"r": None}]}}
 
@@ -99,3 +100,16 @@ def test_typed_records_with_slices(spark):
     layout = {"a": [{"x": None, "b": [{"y": None}]}]}
     out = shred.shred(typed, "id", ["a"], layout, with_fields=False).groupBy("path").count().collect()
     assert {r["path"]: r["count"] for r in out} == {"a": 50, "a.b": sum(i % 3 for i in range(50))}
+
+
+def test_ingredients_of_both_sources(spark, sf_dir, tmp_path):
+    kind = "record_id bigint, products array<struct<product_number:string,brand_name:string,dosage_form:string,route:string,marketing_status:string,active_ingredients:array<struct<name:string,strength:string>>>>, submissions array<struct<submission_type:string,submission_number:string,submission_status:string,submission_status_date:string,submission_class_code_description:string,application_docs:array<struct<id:string,date:string,type:string>>>>"
+    spark.createDataFrame([(3, [("1", "Brand", None, None, None, [("x", "5")])], None)], kind).write.parquet(f"{tmp_path}/openfda_drugsfda.parquet")
+    payload = {"products": [{"product_number": "1"}, {"product_number": "2", "brand_name": "Other", "active_ingredients": [{"name": "y"}, 7, {"name": "z", "strength": "1 MG"}]}]}
+    spark.createDataFrame([(4, json.dumps(payload)), (5, None), (6, "{")], "doc_id bigint, structured string").write.parquet(f"{tmp_path}/documents.parquet")
+    columns = ("source_table", "record_key", "product_number", "brand_name", "pos", "name", "strength")
+    got = sorted(map(tuple, problems.p1_ingredients_all(spark, str(tmp_path)).select(*columns).collect()))
+    assert got == [("documents", 4, "2", "Other", 0, "y", None), ("documents", 4, "2", "Other", 2, "z", "1 MG"), ("openfda_drugsfda", 3, "1", "Brand", 0, "x", "5")]
+    links = ("source_table", "record_key", "pos")
+    found = problems.p1_found(spark, sf_dir).where("path = 'products.active_ingredients'").select(*links)
+    assert sorted(map(tuple, problems.p1_ingredients_all(spark, sf_dir).select(*links).collect())) == sorted(map(tuple, found.collect()))
