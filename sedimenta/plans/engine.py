@@ -232,11 +232,20 @@ def hybrid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trial_context(spark: SparkSession, sf: str) -> DataFrame:
-    """For each trial and drug it lists, the three best documents of every other source that name the drug."""
+    """For each trial and each of the first five drugs it lists, the three best documents of every other source that name the drug."""
+    return _trial_context(spark, sf, 5)
+
+
+def trial_context_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for every drug a trial lists, however many."""
+    return _trial_context(spark, sf, None)
+
+
+def _trial_context(spark: SparkSession, sf: str, most: int | None) -> DataFrame:
     docs = table(spark, sf, "documents")
     valid = docs.where((F.col("source") == "clinical") & F.col("structured").isNotNull())
     names = F.from_json(F.get_json_object("structured", "$.interventions"), "array<string>")
-    listed = context.mentioned(valid.select("doc_id", names.alias("names")).withColumnRenamed("doc_id", "trial"), "trial", "names", 5)
+    listed = context.mentioned(valid.select("doc_id", names.alias("names")).withColumnRenamed("doc_id", "trial"), "trial", "names", most)
     others = _terms(spark, sf).where(F.col("source").startswith("openfda_"))
     return context.context(listed, "trial", others, "doc_id", "source", "terms", 3).withColumn("rank", F.round("rank", 6))
 
@@ -356,5 +365,5 @@ def label_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (case_current, case_current_kept, grain, grain_orders, conservation_runs, conservation_tables, dedup_conservation, integrity, integrity_orders, reject_summary, reject_reasons, reject_totals, date_precision, inventory, parse_dates, parse_numbers, delimited_split, part_lines, normalize_applications, payload_fields, event_props, text_scalars, knn, knn_per_label, fts_and, fts_or, fts_language, hybrid, trial_context, drug_profiles, drug_profiles_fused, trial_evidence, ingest_counts, source_state, retrieval_eval, corpus_status, usage_7d, rolling_30d, due_sources, upsert_documents, first_documents, newest_documents, demo_selection, label_vectors)
+    for f in (case_current, case_current_kept, grain, grain_orders, conservation_runs, conservation_tables, dedup_conservation, integrity, integrity_orders, reject_summary, reject_reasons, reject_totals, date_precision, inventory, parse_dates, parse_numbers, delimited_split, part_lines, normalize_applications, payload_fields, event_props, text_scalars, knn, knn_per_label, fts_and, fts_or, fts_language, hybrid, trial_context, trial_context_all, drug_profiles, drug_profiles_fused, trial_evidence, ingest_counts, source_state, retrieval_eval, corpus_status, usage_7d, rolling_30d, due_sources, upsert_documents, first_documents, newest_documents, demo_selection, label_vectors)
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import vectors
 from sedimenta.operators import context, search, status
+from sedimenta.plans import engine
 from sedimenta.streaming import refresh as streaming
 
 
@@ -78,6 +79,16 @@ def test_context_skips_comparators_and_needs_all_terms(spark):
     assert context.summarize("H", ["p", "q"], "Q?") == "H\n\n[1] p\n[2] q\n\nQ?" and context.summarize("H", [], "Q", len) == len(context.prompt("H", [], "Q"))
 
 
+def test_trial_context_looks_up_every_drug(spark, tmp_path):
+    drugs = [f"drug{i}" for i in range(8)]
+    rows = [(1, "clinical", "a trial", None, json.dumps({"interventions": [*drugs, "Placebo"]}))]
+    rows += [(10 + i, "openfda_label", d, "text", None) for i, d in enumerate(drugs)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, title string, text string, structured string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = engine.trial_context_all(spark, str(tmp_path)).select("trial", "name", "source", "doc_id", "place").collect()
+    assert sorted(map(tuple, got)) == [(1, d, "openfda_label", 10 + i, 1) for i, d in enumerate(drugs)]
+    assert {r["name"] for r in engine.trial_context(spark, str(tmp_path)).collect()} == set(drugs[:5])
+
+
 def test_all_terms_through_the_rarest_equals_brute_force(spark):
     rnd = random.Random(8)
     docs = {d: [rnd.choice("aaaabbbccd") for _ in range(rnd.randrange(1, 8))] for d in range(200)}
