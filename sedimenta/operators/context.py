@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,8 +13,14 @@ from sedimenta.functions.vectors import embed_column
 from sedimenta.operators import search
 from sedimenta.session import cut
 
-# Fixed names of comparators that are no drug.
-NO_DRUG = r"(?i)\b(placebos?|sham|standard[- ]of[- ]care|best supportive care|no (intervention|treatment)|observation)\b"
+# Comparators that are no drug.
+COMPARATORS = ("placebo", "placebos", "sham", "standard of care", "best supportive care", "no intervention", "no treatment", "observation")
+
+
+def is_comparator(terms: Column) -> Column:
+    """Whether the terms of a name hold those of a comparator, one after the other."""
+    spoken = F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" "))
+    return reduce(lambda a, b: a | b, [spoken.contains(f" {c} ") for c in COMPARATORS])
 
 
 def mentioned(records: DataFrame, key: str, names: str, most: int | None = None) -> DataFrame:
@@ -23,7 +29,8 @@ def mentioned(records: DataFrame, key: str, names: str, most: int | None = None)
     ``most`` bounds the names looked up per record, counting drugs only; nth counts all names from 0.
     """
     listed = records.select(key, F.posexplode(names).alias("nth", "name")).where(F.col("name").isNotNull() & (F.trim("name") != ""))
-    listed = listed.withColumn("skipped", F.col("name").rlike(NO_DRUG)).withColumn("terms", F.array_distinct(analysis.plain_terms(F.col("name"))))
+    spoken = analysis.plain_terms(F.col("name"))
+    listed = listed.withColumn("skipped", is_comparator(spoken)).withColumn("terms", F.array_distinct(spoken))
     if most is not None:
         order = W.partitionBy(key, "skipped").orderBy("nth")
         listed = listed.withColumn("_n", F.row_number().over(order)).where(F.col("skipped") | (F.col("_n") <= most)).drop("_n")

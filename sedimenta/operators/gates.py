@@ -31,7 +31,7 @@ class Gate:
 # ---------------------------------------------------------------- measurements
 
 
-def grain_profile(df: DataFrame, key: Sequence[str], name: str, unique: bool = False, note: str = "") -> DataFrame:
+def grain_profile(df: DataFrame, key: Sequence[str], name: str, unique: bool = False) -> DataFrame:
     """One row on how a table's key repeats; null keys group together, whole rows compare with nulls equal.
 
     Rows are first counted per (key, 128-bit row hash), map-side, then per key; no row content is shuffled.
@@ -50,12 +50,12 @@ def grain_profile(df: DataFrame, key: Sequence[str], name: str, unique: bool = F
         F.coalesce(F.max("n"), F.lit(0)).alias("worst_group"),
     )
     fan_out = F.round(safe_ratio(F.col("rows").cast("double"), F.col("distinct_keys").cast("double"), 1.0), 6)
-    return whole.select(F.lit(name).alias("table"), F.lit(" + ".join(key)).alias("key"), F.lit(unique).alias("unique"), F.lit(note).alias("note"), "rows", "distinct_keys", "repeated_keys", "excess_rows", "conflicting_keys", "identical_rows", "worst_group", fan_out.alias("fan_out"))
+    return whole.select(F.lit(name).alias("table"), F.lit(" + ".join(key)).alias("key"), F.lit(unique).alias("unique"), "rows", "distinct_keys", "repeated_keys", "excess_rows", "conflicting_keys", "identical_rows", "worst_group", fan_out.alias("fan_out"))
 
 
 def grain_profiles(tables: dict[str, DataFrame]) -> DataFrame:
     """Profiles of all tables with a declared grain; tables that are absent are skipped."""
-    return reduce(DataFrame.unionByName, [grain_profile(df, GRAINS[t].key, t, GRAINS[t].unique, GRAINS[t].note) for t, df in tables.items() if t in GRAINS])
+    return reduce(DataFrame.unionByName, [grain_profile(df, GRAINS[t].key, t, GRAINS[t].unique) for t, df in tables.items() if t in GRAINS])
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:

@@ -44,12 +44,12 @@ def case_current_kept(spark: SparkSession, sf: str) -> DataFrame:
 def grain(spark: SparkSession, sf: str) -> DataFrame:
     tables = _tables(spark, sf, (*CASE_TABLES, "aact_studies"))
     tables["faers_case_current"] = cases.current_cases(tables["faers_demo"], tables["faers_deleted_case"])
-    return gates.grain_profiles(tables).drop("note")
+    return gates.grain_profiles(tables)
 
 
 def grain_orders(spark: SparkSession, sf: str) -> DataFrame:
     parts = [gates.grain_profile(table(spark, sf, "orders"), ["o_orderkey"], "orders", True), gates.grain_profile(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], "lineitem")]
-    return parts[0].unionByName(parts[1]).drop("note")
+    return parts[0].unionByName(parts[1])
 
 
 def conservation_runs(spark: SparkSession, sf: str) -> DataFrame:

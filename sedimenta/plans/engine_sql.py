@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sedimenta.functions.text import analyze
+from sedimenta.operators.context import COMPARATORS
 from sedimenta.plans.engine import EVENTS_NOW, NOW, TOPICS
 
 CURRENT = """current AS (
@@ -190,12 +191,17 @@ SELECT query_id, doc_id, place::INT AS place, round(similarity, 6) AS similarity
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, similarity DESC, doc_id) AS place FROM f) WHERE place <= 10
 """
 
+def _comparator(name: str) -> str:
+    spoken = f"' ' || regexp_replace(lower({name}), '[^a-z0-9]+', ' ', 'g') || ' '"
+    return "(" + " OR ".join(f"contains({spoken}, ' {c} ')" for c in COMPARATORS) + ")"
+
+
 TRIAL_CONTEXT = f"""
 WITH {_index("SELECT doc_id, source, title, text FROM documents WHERE starts_with(source, 'openfda_')")},
 trials AS (SELECT doc_id AS trial, CASE WHEN json_valid(structured) THEN json_extract(json(structured), '$.interventions') END AS j FROM documents WHERE source = 'clinical' AND structured IS NOT NULL),
 names AS (SELECT trial, unnest(CAST(j AS VARCHAR[])) AS name, generate_subscripts(CAST(j AS VARCHAR[]), 1) AS nth FROM trials WHERE json_type(j) = 'ARRAY'),
 drugs AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY nth) AS n FROM names WHERE name IS NOT NULL AND trim(name) <> ''
-  AND NOT regexp_matches(name, '(?i)\\b(placebos?|sham|standard[- ]of[- ]care|best supportive care|no (intervention|treatment)|observation)\\b')),
+  AND NOT {_comparator('name')}),
 kept AS (SELECT DISTINCT trial, name FROM drugs WHERE n <= 5),
 terms AS (SELECT name, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM (SELECT DISTINCT name FROM kept)),
 wanted AS (SELECT name, len(t) AS wanted, unnest(t) AS term FROM terms),
