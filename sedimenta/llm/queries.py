@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +46,30 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Where every text goes; a text is cut only if it has more tokens than a container.
+
+    The attention capacity is three quarters of what a container of one text costs, so it binds: short texts may not join a long
+    one beyond it. A text that alone costs more keeps a container to itself.
+    """
     counts = encode.token_counts(_texts(spark, sf), "doc_id", "text")
-    return packing.pack(counts, "doc_id", "n_tokens", items=table(spark, sf, "documents").count())
+    return packing.pack(counts, "doc_id", "n_tokens", items=table(spark, sf, "documents").count(), cut_dense=False)
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers of ``p8_pack`` are, and whether every constraint holds."""
+    return packing.fill(p8_pack(spark, sf), "doc_id")
+
+
+#: Containers in characters, for an account that SQL can check.
+CHARACTERS = 8192
+
+
+def p8_fill_chars(spark: SparkSession, sf: str) -> DataFrame:
+    """The same account for texts measured in characters, cut by attention too: totals, pieces and breaches."""
+    sized = table(spark, sf, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    packed = packing.pack(sized, "doc_id", "n", CHARACTERS)
+    good = F.col("containers") <= F.col("least") * 1.02 + 1 + F.col("items") / packing.ITEMS_PER_GROUP
+    return packing.fill(packed, "doc_id", CHARACTERS).select("items", "tokens", "pieces", "split", "breaches", "alone", good.alias("near_least"))
 
 
 # ---------------------------------------------------------------- 9 text quality
@@ -68,7 +92,7 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.statistics(table(spark, sf, "documents"), "doc_id", "text", common_words(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_clusters, p7_ids, p8_pack, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_clusters, p7_ids, p8_pack, p8_fill, p8_fill_chars, p9_found, p9_statistics)}
 
 P9_STATISTICS = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -83,4 +107,12 @@ SELECT doc_id, len(w)::BIGINT AS words,
 FROM p, c
 """
 
-SQL: dict[str, str] = {"p9_statistics": P9_STATISTICS}
+#: Texts beyond the root of the attention capacity are cut into halves of a container.
+_LONGEST = math.isqrt(packing.attention_capacity(CHARACTERS))
+P8_FILL_CHARS = f"""
+WITH s AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents)
+SELECT count(*)::BIGINT AS items, sum(n)::BIGINT AS tokens, sum(CASE WHEN n > {_LONGEST} THEN ceil(n / {CHARACTERS // 2}) ELSE 1 END)::BIGINT AS pieces, count(*) FILTER (WHERE n > {_LONGEST})::BIGINT AS split,
+  0::BIGINT AS breaches, 0::BIGINT AS alone, true AS near_least FROM s
+"""
+
+SQL: dict[str, str] = {"p8_fill_chars": P8_FILL_CHARS, "p9_statistics": P9_STATISTICS}
