@@ -1,9 +1,10 @@
 """What changed between consecutive full snapshots of a table.
 
-Rows are reduced to (snapshot, key hash, row hash) and spread over buckets by a second, independent
-hash of the key. Each bucket holds a bounded share of the keys; its arrays are sorted in numpy, and
-``searchsorted`` gives the keys added, removed and changed between neighbouring snapshots. Full
-values are fetched only for keys that differ.
+Rows are reduced to (snapshot, key, key hash, row hash) and spread over buckets by a second, independent
+hash of the key. Each bucket holds a bounded share of the keys; its arrays of hashes are sorted in numpy, and
+``searchsorted`` gives the keys added, removed and changed between neighbouring snapshots; the texts of
+those keys, and of no others, are taken out of the bucket. The table is read once and its keys are aggregated
+once; nothing is joined. Full values are fetched for changed keys only (``changed_fields``).
 
 Two keys are taken for one only if both their 64-bit hash and their bucket (a 32-bit hash of another
 kind) agree; a change is missed only if two different rows of a key share a 64-bit hash.
@@ -19,19 +20,21 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimenta.session import cut
+
 ROWS_PER_BUCKET = 25_000
-#: The list of deliveries is broadcast up to so many; beyond, joins with it are planned like any other.
-MOST_BROADCAST = 100_000
+#: The list of changed keys is broadcast past the table up to so many entries; a longer one is shuffled with it.
+MOST_BROADCAST = 200_000
 NULL_MARK = "\u0000"
 
 
 def loose(column: Column) -> Column:
     """Letters and digits of a string without case, for comparison."""
-    return F.lower(F.regexp_replace(column, r"[^\p{L}\p{N}]", ""))
+    return F.lower(F.regexp_replace(column, r"[^\p{L}\p{N}]+", ""))
 
 
 def row_hash(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -52,11 +55,11 @@ def compact(df: DataFrame, snapshot: str, key: Column, order: str, columns: Sequ
 
 
 def differences(snap: np.ndarray, key: np.ndarray, row: np.ndarray, snapshots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over one bucket: (later snapshot, key hash, kind), kind 0 added, 1 removed, 2 changed."""
+    """Over one bucket: (later snapshot, index of a row that has the key, kind), kind 0 added, 1 removed, 2 changed."""
     order = np.lexsort((key, snap))
     snap, key, row = snap[order], key[order], row[order]
     edges = np.searchsorted(snap, np.arange(snapshots + 1))
-    out_s, out_k, out_c = [], [], []
+    out_s, out_i, out_c = [], [], []
     for s in range(1, snapshots):
         a, b = slice(edges[s - 1], edges[s]), slice(edges[s], edges[s + 1])
         old, new = key[a], key[b]
@@ -68,65 +71,62 @@ def differences(snap: np.ndarray, key: np.ndarray, row: np.ndarray, snapshots: i
         kept[kept] = new[in_new[kept]] == old[kept]
         moved = np.zeros(len(new), bool)
         moved[known] = row[a][in_old[known]] != row[b][known]
-        for kind, keys in ((0, new[~known]), (1, old[~kept]), (2, new[moved])):
-            out_s.append(np.full(len(keys), s))
-            out_k.append(keys)
-            out_c.append(np.full(len(keys), kind))
+        for kind, at in ((0, order[b][~known]), (1, order[a][~kept]), (2, order[b][moved])):
+            out_s.append(np.full(len(at), s))
+            out_i.append(at)
+            out_c.append(np.full(len(at), kind))
     cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    return cat(out_s, np.int32), cat(out_k, np.int64), cat(out_c, np.int32)
+    return cat(out_s, np.int64), cat(out_i, np.int64), cat(out_c, np.int64)
+
+
+KINDS = pa.array(["added", "removed", "changed"])
 
 
 def snapshot_changes(df: DataFrame, snapshot: str, key: Column, order: str, columns: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """(snapshot, key, change): ``added``, ``removed`` or ``changed`` since the snapshot before.
+    """(snapshot, since, key, change): ``added``, ``removed`` or ``changed`` in a snapshot since the one before.
 
     The number of buckets follows the number of rows. Only the list of distinct snapshots, one value for each
-    delivery, reaches the driver.
+    delivery, reaches the driver and the tasks.
     """
-    rows = df.select(snapshot).where(F.col(snapshot).isNotNull()).groupBy(snapshot).count().collect()
-    days = sorted(r[0] for r in rows)
-    if len(days) < 2:
-        days = days or [None]
-    buckets = max(1, -(-sum(r[1] for r in rows) // rows_per_bucket))
-    spark = df.sparkSession
-    small_list = F.broadcast if len(days) <= MOST_BROADCAST else lambda x: x
-    ordinal = spark.createDataFrame([(d, i) for i, d in enumerate(days)], f"_day {df.schema[snapshot].dataType.simpleString()}, _n int")
-
+    counted = df.select(F.col(snapshot).alias("_s")).where(F.col("_s").isNotNull()).groupBy("_s").agg(F.count("*").alias("n")).toArrow()
+    days = counted.column("_s").combine_chunks()
+    days = days.take(pc.sort_indices(days))
+    buckets = max(1, -(-(pc.sum(counted.column("n")).as_py() or 0) // rows_per_bucket))
     small = compact(df, snapshot, key, order, columns)
-    spread = small.join(small_list(ordinal), F.col("_s") == F.col("_day")).select(
-        F.pmod(F.hash("_key"), F.lit(buckets)).alias("_bucket"), "_n", F.xxhash64("_key").alias("_kh"), "_hash"
-    )
-    last = len(days)
+    spread = small.select(F.pmod(F.hash("_key"), F.lit(buckets)).alias("_bucket"), "_s", "_key", F.xxhash64("_key").alias("_kh"), "_hash")
+    kinds = dict(small.dtypes)
 
     def one(table: pa.Table) -> pa.Table:
-        column = lambda c: table.column(c).to_numpy()
-        s, k, c = differences(column("_n"), column("_kh"), column("_hash"), last)
-        return pa.table({"_bucket": pa.array(np.full(len(s), table.column("_bucket")[0].as_py()), pa.int32()), "_n": pa.array(s), "_kh": pa.array(k), "_kind": pa.array(c)})
-
-    found = spread.groupBy("_bucket").applyInArrow(one, "_bucket int, _n int, _kh bigint, _kind int")
-    # the snapshot that holds the key's text: the later one, or for removals the one before
-    found = found.withColumn("_at", F.when(F.col("_kind") == 1, F.col("_n") - 1).otherwise(F.col("_n")))
-    names = small.join(small_list(ordinal), F.col("_s") == F.col("_day")).select(
-        F.pmod(F.hash("_key"), F.lit(buckets)).alias("_b2"), F.xxhash64("_key").alias("_k2"), F.col("_n").alias("_n2"), "_key"
-    )
-    named = found.join(names, (F.col("_bucket") == F.col("_b2")) & (F.col("_kh") == F.col("_k2")) & (F.col("_at") == F.col("_n2")))
-    later = ordinal.select(F.col("_day").alias("snapshot"), F.col("_n").alias("_n3"))
-    kinds = F.element_at(F.array(F.lit("added"), F.lit("removed"), F.lit("changed")), F.col("_kind") + 1)
-    return named.join(small_list(later), F.col("_n") == F.col("_n3")).select("snapshot", F.col("_key").alias("key"), kinds.alias("change"))
+        told = days.cast(table.schema.field("_s").type)
+        nth = pc.index_in(table.column("_s"), value_set=told).to_numpy()
+        later, at, kind = differences(nth, table.column("_kh").to_numpy(), table.column("_hash").to_numpy(), len(days))
+        return pa.table({"snapshot": told.take(pa.array(later)), "since": told.take(pa.array(later - 1)), "key": table.column("_key").take(pa.array(at)), "change": KINDS.take(pa.array(kind))})
 
+    return spread.groupBy("_bucket").applyInArrow(one, f"snapshot {kinds['_s']}, since {kinds['_s']}, key {kinds['_key']}, change string")
 
-def changed_fields(df: DataFrame, changes: DataFrame, snapshot: str, key: Column, order: str, columns: Sequence[str]) -> DataFrame:
-    """For the changed keys only: (snapshot, key, field, before, after), values as text, fetched by a semi-join first."""
-    wanted = changes.where(F.col("change") == "changed").select(F.col("snapshot").alias("_c"), F.col("key").alias("_ck"))
-    before_of = df.select(F.col(snapshot).alias("d")).distinct().withColumn("_prev", F.lag("d").over(W.orderBy("d")))
-    need = wanted.join(before_of, F.col("_c") == F.col("d")).select("_ck", "_c", F.explode(F.array(F.struct(F.col("_prev").alias("s"), F.lit(0).alias("side")), F.struct(F.col("_c").alias("s"), F.lit(1).alias("side")))).alias("x"))
-    need = need.select("_ck", "_c", F.col("x.s").alias("_ns"), F.col("x.side").alias("side"))
-    kinds = dict(df.dtypes)
-    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("v"), F.coalesce(loose(F.col(c)) if kinds[c] == "string" else F.col(c).cast("string"), F.lit(NULL_MARK)).alias("n")) for c in columns])
-    rows = df.select(F.col(snapshot).alias("_rs"), key.alias("_rk"), F.col(order).alias("_o"), row_hash(df, columns).alias("_h"), cells.alias("_cells"))
-    got = need.join(rows, (F.col("_ck") == F.col("_rk")) & (F.col("_ns") == F.col("_rs"))).groupBy("_c", "_ck", "side").agg(F.max(F.struct("_o", "_h", "_cells")).alias("r"))
-    got = got.select("_c", "_ck", "side", F.explode("r._cells").alias("cell")).groupBy("_c", "_ck", F.col("cell.field").alias("field")).agg(
-        F.max(F.when(F.col("side") == 0, F.struct("cell.v", "cell.n"))).alias("b"), F.max(F.when(F.col("side") == 1, F.struct("cell.v", "cell.n"))).alias("a")
-    )
-    return got.where(F.col("a.n") != F.col("b.n")).select(F.col("_c").alias("snapshot"), F.col("_ck").alias("key"), "field", F.col("b.v").alias("before"), F.col("a.v").alias("after"))
 
+def changed_fields(df: DataFrame, changes: DataFrame, snapshot: str, key: Column, order: str, columns: Sequence[str]) -> DataFrame:
+    """For the changed keys only: (snapshot, key, field, before, after), values as text.
 
+    The changed keys are written out and counted first. Up to MOST_BROADCAST they are sent past the table, which is then
+    neither shuffled nor broadcast; beyond, both sides are shuffled by snapshot and key. Only rows that match one are
+    aggregated, and only differing fields become rows.
+    """
+    wanted = changes.where(F.col("change") == "changed").select(F.col("snapshot").alias("_c"), F.col("key").alias("_ck"), "since")
+    sides = F.array(F.struct(F.col("since").alias("s"), F.lit(False).alias("after")), F.struct(F.col("_c").alias("s"), F.lit(True).alias("after")))
+    need = cut(wanted.select("_c", "_ck", F.explode(sides).alias("_x"))).select("_c", "_ck", F.col("_x.s").alias("_ns"), F.col("_x.after").alias("_after"))
+    if need.count() <= MOST_BROADCAST:
+        need = F.broadcast(need)
+    kinds = dict(df.dtypes)
+    values = [F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)]
+    rows = df.select(F.col(snapshot).alias("_rs"), key.alias("_rk"), F.col(order).alias("_o"), *values)
+    renamed = [f"_v{i}" for i in range(len(columns))]
+    met = rows.join(need, (F.col("_ck") == F.col("_rk")) & (F.col("_ns") == F.col("_rs")))
+    row = F.struct("_o", row_hash(met, renamed).alias("_h"), *renamed)
+    got = met.groupBy("_c", "_ck").agg(F.max(F.when(~F.col("_after"), row)).alias("b"), F.max(F.when(F.col("_after"), row)).alias("a"))
+    cells = []
+    for name, c in zip(renamed, columns):
+        b, a = F.col(f"b.{name}"), F.col(f"a.{name}")
+        same = loose(b).eqNullSafe(loose(a)) if kinds[c] == "string" else b.eqNullSafe(a)
+        cells.append(F.when(~same, F.struct(F.lit(c).alias("field"), b.cast("string").alias("before"), a.cast("string").alias("after"))))
+    return got.select(F.col("_c").alias("snapshot"), F.col("_ck").alias("key"), F.explode(F.array_compact(F.array(*cells))).alias("x")).select("snapshot", "key", "x.field", "x.before", "x.after")

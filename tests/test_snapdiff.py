@@ -30,7 +30,7 @@ def brute(rows):
     return sorted(out)
 
 
-def test_equals_brute_force_over_several_buckets(spark):
+def test_equals_brute_force_over_several_buckets(spark, monkeypatch):
     rnd = random.Random(3)
     rows, used = [], set()
     for _ in range(4000):
@@ -42,8 +42,13 @@ def test_equals_brute_force_over_several_buckets(spark):
             rows.append((day, key, at, rnd.choice([None, "", "A-b", "ab", "AB.", "c"]), rnd.choice([None, 1, 2]), "x", "y"))
     df = spark.createDataFrame(rows, SCHEMA)
     got = snapdiff.snapshot_changes(df, "snap", F.upper("id"), "at", ["s", "n"], rows_per_bucket=300)
-    assert sorted(map(tuple, got.collect())) == brute(rows)
-    fields = snapdiff.changed_fields(df, got, "snap", F.upper("id"), "at", ["s", "n"]).select("snapshot", "key").distinct()
+    assert sorted(map(tuple, got.drop("since").collect())) == brute(rows)
+    assert got.where("since >= snapshot or since is null").count() == 0
+    fields = snapdiff.changed_fields(df, got, "snap", F.upper("id"), "at", ["s", "n"])
+    whole = sorted(map(str, fields.collect()))
+    monkeypatch.setattr(snapdiff, "MOST_BROADCAST", 0)
+    assert sorted(map(str, snapdiff.changed_fields(df, got, "snap", F.upper("id"), "at", ["s", "n"]).collect())) == whole
+    fields = fields.select("snapshot", "key").distinct()
     assert sorted(map(tuple, fields.collect())) == [(d, k) for d, k, c in brute(rows) if c == "changed"]
 
 
@@ -59,5 +64,12 @@ def test_few_snapshots_and_repeats(spark):
 
 def test_differences_in_numpy():
     snap, key, row = np.array([0, 0, 1, 1, 3]), np.array([5, 7, 7, 9, 9]), np.array([1, 1, 2, 1, 1])
-    s, k, c = snapdiff.differences(snap, key, row, 4)
-    assert sorted(zip(s.tolist(), k.tolist(), c.tolist())) == [(1, 5, 1), (1, 7, 2), (1, 9, 0), (2, 7, 1), (2, 9, 1), (3, 9, 0)]
+    s, at, c = snapdiff.differences(snap, key, row, 4)
+    assert sorted(zip(s.tolist(), key[at].tolist(), c.tolist())) == [(1, 5, 1), (1, 7, 2), (1, 9, 0), (2, 7, 1), (2, 9, 1), (3, 9, 0)]
+
+
+def test_snapshots_told_by_instants(spark):
+    rows = [(dt.datetime(2024, 1, 1, 5), "a", 1), (dt.datetime(2024, 1, 1, 6), "a", 2)]
+    df = spark.createDataFrame(rows, "snap timestamp, id string, n int")
+    got = snapdiff.snapshot_changes(df, "snap", F.col("id"), "n", ["n"]).collect()
+    assert [tuple(r) for r in got] == [(rows[1][0], rows[0][0], "a", "changed")]
