@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import scalars, text, vectors
 from sedimenta.operators import cases, context, gates, load, search, status
+from sedimenta.operators.orphans import Reference, profile
 from sedimenta.session import table
 from sedimenta.sources import delimited, records
 from sedimenta.sources.tables import TableSpec, spec_of
@@ -72,14 +73,10 @@ def integrity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def integrity_orders(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines by customer segment order: lines whose order, and orders whose customer, is missing, over the whole key graph."""
-    from sedimenta.operators.orphans import Reference, cascade
-
-    names = ("region", "nation", "customer", "orders", "lineitem")
-    graph = [Reference("nation", ("n_regionkey",), "region", ("r_regionkey",)), Reference("customer", ("c_nationkey",), "nation", ("n_nationkey",)), Reference("orders", ("o_custkey",), "customer", ("c_custkey",)), Reference("lineitem", ("l_orderkey",), "orders", ("o_orderkey",))]
-    tables = _tables(spark, sf, names)
-    tables["region"] = tables["region"].where(F.col("r_name") != "ASIA")
-    return cascade(tables, graph).drop("period")
+    """The whole key graph of order lines, orders, customers, suppliers and places: rows checked and orphans of every reference."""
+    graph = [Reference("nation", ("n_regionkey",), "region", ("r_regionkey",)), Reference("customer", ("c_nationkey",), "nation", ("n_nationkey",)), Reference("supplier", ("s_nationkey",), "nation", ("n_nationkey",))]
+    graph += [Reference("orders", ("o_custkey",), "customer", ("c_custkey",)), Reference("lineitem", ("l_orderkey",), "orders", ("o_orderkey",)), Reference("lineitem", ("l_partkey",), "part", ("p_partkey",)), Reference("lineitem", ("l_suppkey",), "supplier", ("s_suppkey",))]
+    return profile(_tables(spark, sf, {n for r in graph for n in (r.child, r.parent)}), graph)
 
 
 def reject_summary(spark: SparkSession, sf: str) -> DataFrame:

@@ -87,11 +87,30 @@ def p2_store(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- 3 orphans
 
 
-def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+def _orphans(spark: SparkSession, sf: str) -> DataFrame:
     children = {name: table(spark, sf, name) for name in ("faers_drug", "faers_reac")}
     return orphans.explain_orphans(children, table(spark, sf, "faers_demo"), table(spark, sf, "load_reject"), table(spark, sf, "faers_deleted_case"), "faers_demo", "quarter", "primaryid", "caseid")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The direct orphans of the cascade; ``p3_orphans`` reports the inherited ones beside them."""
+    return _orphans(spark, sf).where(F.col("kind") == "direct").drop("kind")
+
+
+def p3_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    """Orphan keys per child table, quarter, kind and cause, inherited ones being those whose report is of a withdrawn case."""
+    return _orphans(spark, sf).groupBy("child_table", "kind", "quarter", "cause").agg(F.count("*").alias("keys"))
+
+
+def p3_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Versions of a case refer to the version before them in the same table: chains broken by a missing one, by depth."""
+    demo = table(spark, sf, "faers_demo").where(F.col("caseid").isNotNull() & F.col("caseversion").isNotNull())
+    before = F.when(F.col("caseversion") > 1, F.col("caseversion") - 1)
+    versions = demo.select("caseid", "caseversion", before.alias("previous"))
+    graph = [orphans.Reference("version", ("caseid", "previous"), "version", ("caseid", "caseversion"), optional=True)]
+    return orphans.cascade({"version": versions}, graph).drop("period")
+
+
 def p3_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """Drug and reaction rows whose report is missing, and reports whose case was withdrawn, per quarter.
 
@@ -146,4 +165,4 @@ def p6_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return judged.where(F.col("cause").isNull()).select("load_id", "table_name", "line_no", F.to_json("values").alias("fields"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ingredients, p1_ingredients_all, p2_found, p2_history, p2_store, p3_found, p3_cascade, p4_found, p4_fields, p6_found, p6_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ingredients, p1_ingredients_all, p2_found, p2_history, p2_store, p3_found, p3_orphans, p3_tree, p3_cascade, p4_found, p4_fields, p6_found, p6_loaded)}

@@ -101,6 +101,22 @@ SELECT child_table, quarter, primaryid, CASE
 FROM cases c
 """
 
+P3_ORPHANS = f"""
+WITH direct AS ({P3_FOUND}),
+kids AS (SELECT DISTINCT 'faers_drug' AS child_table, quarter, primaryid FROM faers_drug UNION SELECT DISTINCT 'faers_reac', quarter, primaryid FROM faers_reac),
+gone AS (SELECT DISTINCT d.quarter, d.primaryid FROM faers_demo d JOIN faers_deleted_case x ON x.caseid = d.caseid)
+SELECT child_table, 'direct' AS kind, quarter, cause, count(*)::BIGINT AS keys FROM direct GROUP BY ALL
+UNION ALL SELECT child_table, 'inherited', k.quarter, 'withdrawn', count(*)::BIGINT FROM kids k JOIN gone g ON g.quarter = k.quarter AND g.primaryid = k.primaryid GROUP BY ALL
+"""
+
+P3_TREE = """
+WITH RECURSIVE v AS (SELECT caseid, caseversion, count(*) AS n FROM faers_demo WHERE caseid IS NOT NULL AND caseversion IS NOT NULL GROUP BY ALL),
+lost AS (
+  SELECT v.*, 0 AS depth FROM v WHERE caseversion > 1 AND NOT EXISTS (SELECT 1 FROM v b WHERE b.caseid = v.caseid AND b.caseversion = v.caseversion - 1)
+  UNION ALL SELECT v.*, depth + 1 FROM v JOIN lost b ON b.caseid = v.caseid AND b.caseversion = v.caseversion - 1 WHERE v.caseversion > 1)
+SELECT 'version' AS child_table, 'version' AS parent_table, CASE WHEN depth = 0 THEN 'direct' ELSE 'inherited' END AS kind, depth::INT AS depth, sum(n)::BIGINT AS orphan_rows, count(*)::BIGINT AS orphan_keys FROM lost GROUP BY depth
+"""
+
 P3_CASCADE = """
 WITH bad_demo AS (SELECT *, 0 AS depth FROM faers_demo d WHERE d.caseid IS NULL OR d.caseid IN (SELECT caseid FROM faers_deleted_case WHERE caseid IS NOT NULL)),
 kids AS (SELECT 'faers_drug' AS child_table, quarter, primaryid FROM faers_drug UNION ALL SELECT 'faers_reac', quarter, primaryid FROM faers_reac),
@@ -186,6 +202,8 @@ SQL = {
     "p2_history": p2(DEMO_ATTRIBUTES),
     "p2_store": p2_store(),
     "p3_found": P3_FOUND,
+    "p3_orphans": P3_ORPHANS,
+    "p3_tree": P3_TREE,
     "p3_cascade": P3_CASCADE,
     "p4_found": p4_found(),
     "p4_fields": p4_fields(),
