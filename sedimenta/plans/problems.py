@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.operators import history, orphans, shred, snapdiff
-from sedimenta.session import spread, table
+from sedimenta.session import scratch, spread, table
 from sedimenta.sources import delimited_rejects
 
 INGREDIENT = {"name": None, "strength": None}
@@ -54,12 +54,16 @@ def _ingredients(flat: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- 2 history
 
 
-def demo_versions(spark: SparkSession, sf: str, attributes: tuple[str, ...]) -> DataFrame:
+def _deliveries(spark: SparkSession, sf: str, attributes: tuple[str, ...]) -> DataFrame:
+    """(caseid, caseversion, quarter, start, attributes) of every delivered row."""
     demo = table(spark, sf, "faers_demo").where(F.col("caseid").isNotNull() & F.col("caseversion").isNotNull())
     start = history.start_of(F.col("fda_dt_raw"), F.col("fda_dt_prec"), F.col("fda_dt"), F.col("quarter"))
     code = F.coalesce(F.nullif(F.upper(F.trim("i_f_code")), F.lit("")), F.lit("?"))
-    rows = demo.select("caseid", "caseversion", "quarter", start.alias("start"), *[code.alias(a) if a == "i_f_code" else F.col(a) for a in attributes])
-    return history.latest_delivery(rows, ["caseid", "caseversion"], ["quarter"])
+    return demo.select("caseid", "caseversion", "quarter", start.alias("start"), *[code.alias(a) if a == "i_f_code" else F.col(a) for a in attributes])
+
+
+def demo_versions(spark: SparkSession, sf: str, attributes: tuple[str, ...]) -> DataFrame:
+    return history.latest_delivery(_deliveries(spark, sf, attributes), ["caseid", "caseversion"], ["quarter"])
 
 
 def _days(df: DataFrame) -> DataFrame:
@@ -77,11 +81,35 @@ def p2_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_store(spark: SparkSession, sf: str) -> DataFrame:
-    """How the history is stored: rows, checkpoints and attribute values kept, per case."""
-    valid = history.intervals(demo_versions(spark, sf, DEMO_ATTRIBUTES), "caseid", "caseversion", "start")
-    kept = history.store(valid, "caseid", "caseversion", DEMO_ATTRIBUTES)
-    values = sum(F.col("patch")[a].isNotNull().cast("int") for a in DEMO_ATTRIBUTES)
-    return kept.groupBy("caseid").agg(F.count("*").alias("versions"), F.sum((F.col("kind") == "full").cast("long")).alias("checkpoints"), F.sum(values).alias("values_kept"))
+    """How the history is stored: versions, checkpoints and attribute values kept, per case."""
+    chains = history.stripe(demo_versions(spark, sf, DEMO_ATTRIBUTES), "caseid", "caseversion", ["start"], DEMO_ATTRIBUTES)
+    values = F.aggregate("chain", F.lit(0), lambda n, x: n + sum(x["patch"][a].isNotNull().cast("int") for a in DEMO_ATTRIBUTES))
+    return chains.groupBy(F.col("entity").alias("caseid")).agg(F.sum(F.size("chain").cast("long")).alias("versions"), F.count("*").alias("checkpoints"), F.sum(values.cast("long")).alias("values_kept"))
+
+
+def _appended(spark: SparkSession, sf: str) -> history.HistoryStore:
+    """A store written from the first half of the quarters, to which every later quarter is appended as it arrives."""
+    rows = _deliveries(spark, sf, DEMO_ATTRIBUTES)
+    quarters = sorted(r[0] or "" for r in rows.select("quarter").distinct().collect())  # one value for each delivery
+    begun = quarters[: max(1, len(quarters) // 2)]
+    kept = history.HistoryStore(spark, scratch(spark, "history"), "caseid", "caseversion", "start", ["quarter"], DEMO_ATTRIBUTES)
+    delivered = F.coalesce("quarter", F.lit(""))
+    for batch in [begun, *[[q] for q in quarters[len(begun) :]]]:
+        kept.append(rows.where(delivered.isin(*batch)))
+    return kept
+
+
+def p2_append(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole history out of a written store to which quarters were appended one by one."""
+    return _days(_appended(spark, sf).history())
+
+
+AS_OF = "2025-02-15"
+
+
+def p2_asof(spark: SparkSession, sf: str) -> DataFrame:
+    """The version of every case valid on a day, read from the written store."""
+    return _appended(spark, sf).as_of(F.lit(AS_OF).cast("date"))
 
 
 # ---------------------------------------------------------------- 3 orphans
@@ -165,4 +193,4 @@ def p6_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return judged.where(F.col("cause").isNull()).select("load_id", "table_name", "line_no", F.to_json("values").alias("fields"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ingredients, p1_ingredients_all, p2_found, p2_history, p2_store, p3_found, p3_orphans, p3_tree, p3_cascade, p4_found, p4_fields, p6_found, p6_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ingredients, p1_ingredients_all, p2_found, p2_history, p2_store, p2_append, p2_asof, p3_found, p3_orphans, p3_tree, p3_cascade, p4_found, p4_fields, p6_found, p6_loaded)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedimenta.plans.problems import DEMO_ATTRIBUTES
+from sedimenta.plans.problems import AS_OF, DEMO_ATTRIBUTES
 
 # ---------------------------------------------------------------- 1 nested records
 
@@ -76,16 +76,20 @@ def p2(attributes: tuple[str, ...]) -> str:
 
 
 def p2_store() -> str:
-    every, block = 16, 1024
     flags = " + ".join(f"CASE WHEN full_row OR {a} IS DISTINCT FROM lag({a}) OVER w THEN 1 ELSE 0 END" for a in DEMO_ATTRIBUTES)
     return f"""
 WITH {_valid(DEMO_ATTRIBUTES)},
-placed AS (SELECT *, floor(caseversion / {block}) AS block, (row_number() OVER (PARTITION BY caseid, floor(caseversion / {block}) ORDER BY caseversion) - 1) % {every} = 0 AS full_row FROM valid),
-counted AS (SELECT caseid, full_row, {flags} AS kept FROM placed WINDOW w AS (PARTITION BY caseid, block ORDER BY caseversion))
+spans AS (SELECT *, floor(caseversion / 16) AS span FROM ended),
+placed AS (SELECT *, row_number() OVER (PARTITION BY caseid, span ORDER BY caseversion) = 1 AS full_row FROM spans),
+counted AS (SELECT caseid, full_row, {flags} AS kept FROM placed WINDOW w AS (PARTITION BY caseid, span ORDER BY caseversion))
 SELECT caseid, count(*)::BIGINT AS versions, sum(full_row::INT)::BIGINT AS checkpoints, sum(kept)::BIGINT AS values_kept FROM counted GROUP BY caseid
 """
 
 
+def p2_asof() -> str:
+    return f"WITH {_valid(DEMO_ATTRIBUTES)} SELECT caseid, caseversion, {', '.join(DEMO_ATTRIBUTES)} FROM valid WHERE start <= DATE '{AS_OF}' AND (stop IS NULL OR stop > DATE '{AS_OF}')"
+
+
 # ---------------------------------------------------------------- 3 orphans
 
 P3_FOUND = """
@@ -201,6 +205,8 @@ SQL = {
     "p2_found": p2(("i_f_code",)),
     "p2_history": p2(DEMO_ATTRIBUTES),
     "p2_store": p2_store(),
+    "p2_append": p2(DEMO_ATTRIBUTES),
+    "p2_asof": p2_asof(),
     "p3_found": P3_FOUND,
     "p3_orphans": P3_ORPHANS,
     "p3_tree": P3_TREE,

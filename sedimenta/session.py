@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +42,7 @@ def ship(spark: SparkSession) -> None:
         return
     _SHIPPED.add(context.applicationId)
     home = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="sedimenta-"), "sedimenta.zip")
+    path = os.path.join(_local_folder(), "sedimenta.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
         for module in sorted(home.rglob("*.py")):
             archive.write(module, module.relative_to(home.parent))
@@ -64,18 +68,36 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a single
-    machine) a temporary folder is used, since a machine-local folder cannot serve a cluster.
+    Only where that is unset (tests, a single machine) a temporary folder is used, which goes when the process
+    ends; a machine-local folder cannot serve a cluster.
     """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _local_folder()
+    return folder
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="sedimenta-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = os.path.join(tempfile.gettempdir(), "sedimenta-checkpoints")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

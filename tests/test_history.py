@@ -43,13 +43,36 @@ def test_history_equals_brute_force(spark):
 def test_patches_hold_only_changes_and_nulls_are_values(spark):
     day = dt.date(2024, 1, 1)
     data = [(1, v, day + dt.timedelta(days=v), a, "p", "", "") for v, a in enumerate(["x", "x", None, None, "x"])]
-    valid = history.intervals(spark.createDataFrame(data, SCHEMA), "case", "version", "start")
-    kept = history.store(valid, "case", "version", ["a", "b"], every=16).orderBy("version").collect()
-    assert [r["kind"] for r in kept] == ["full", "patch", "patch", "patch", "patch"]
-    assert [r["patch"]["a"] is not None for r in kept] == [True, False, True, False, True]
-    assert [r["patch"]["b"] is not None for r in kept] == [True, False, False, False, False]
-    whole = history.replay(history.store(valid, "case", "version", ["a", "b"]), "case", "version", ["a", "b"]).orderBy("version").collect()
-    assert [r["a"] for r in whole] == ["x", "x", None, None, "x"]
+    chains = history.stripe(spark.createDataFrame(data, SCHEMA), "case", "version", ["start"], ["a", "b"], every=16)
+    (row,) = chains.collect()
+    assert [x["patch"]["a"] is not None for x in row["chain"]] == [True, False, True, False, True]
+    assert [x["patch"]["b"] is not None for x in row["chain"]] == [True, False, False, False, False]
+    whole = history.fold(chains, "case", "version", ["start"], ["a", "b"]).orderBy("version").collect()
+    assert [(r["version"], r["start"], r["a"], r["b"]) for r in whole] == [(v, r[2], r[3], "p") for v, r in enumerate(data)]
+
+
+def test_store_appends_and_reads_as_of(spark, tmp_path):
+    rnd = random.Random(4)
+    schema = "case bigint, version int, start date, q string, a string, chain string"
+    every, data = 4, []
+    for i in range(1500):
+        data.append((rnd.choice([None, *range(40)]), rnd.choice([None, *range(-3, 30)]), rnd.choice([None, *(dt.date(2024, 1, 1) + dt.timedelta(days=d) for d in range(60))]), f"q{i // 300}", rnd.choice([None, "x", "y"]), "z"))
+    store = history.HistoryStore(spark, str(tmp_path / "h"), "case", "version", "start", ["q"], ["a"], every)
+    written = []
+    for q in ("q0", "q2", "q1", "q3"):  # late deliveries too
+        written.append(store.append(spark.createDataFrame([r for r in data if r[3] == q], schema)))
+    written.append(store.append(spark.createDataFrame([(7, 50, dt.date(2024, 5, 1), "q4", "n", "z")], schema)))
+    assert store.generations() == [1, 2, 3, 4, 5] and written[-1] == 1
+    best = {}
+    for r in [r for r in data if r[3] != "q4"] + [(7, 50, dt.date(2024, 5, 1), "q4", "n", "z")]:
+        if None not in r[:3] and (r[:2] not in best or (r[3], r[2], r[4] or "", r[4] is not None) > (best[r[:2]][3], best[r[:2]][2], best[r[:2]][4] or "", best[r[:2]][4] is not None)):
+            best[r[:2]] = r
+    expected = brute([(c, v, s, a, None) for (c, v), (_, _, s, _, a, _) in best.items()])
+    got = store.history().select("case", "version", "valid_from", "valid_to", "a").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([r[:5] for r in expected], key=str)
+    for day in (dt.date(2023, 12, 31), dt.date(2024, 1, 9), dt.date(2024, 2, 20), dt.date(2025, 1, 1)):
+        there = {(r["case"], r["version"], r["a"]) for r in store.as_of(F.lit(day)).collect()}
+        assert there == {(c, v, a) for c, v, f, t, a, _ in expected if f <= day and (t is None or day < t)}
 
 
 def test_empty_and_latest_delivery(spark):
