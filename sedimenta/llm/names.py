@@ -1,17 +1,23 @@
 """Variant spellings of names typed by people, linked to the entity they mean.
 
-Names are reduced to distinct spellings with their counts, then to a core: folded case and accents,
-without strengths, dosage forms, salts, legal forms and the like, tokens in order of spelling. Spellings
-with one core are one node. Nodes meet by MinHash banding over padded q-grams of their tokens, the
-number of bands taken from the collision curve for a wanted recall; pairs that meet are verified by
-Monge-Elkan similarity, whose inner measure weighs slips of the hand against real differences, and
-nodes are clustered by star clustering: a rarer spelling joins the star of a much more frequent one.
-
-Two spellings that are both frequent are two entities however alike they look, and so are spellings
-that differ in a vowel that no slip explains. That keeps look-alikes apart where string distance cannot.
+1. **Words.** A name is folded (case, accents), quantities and brackets are taken off, and the rest falls into words. Words that
+   name nothing (forms, salts, legal suffixes and their shortenings) are learned from the corpus (``additions``): they stand
+   beside many different names and hardly ever alone. No list of them is written down.
+2. **Nodes.** Spellings with the same remaining words, in any order, are one node with the sum of their counts.
+3. **Candidates.** Nodes meet by MinHash banding over padded q-grams of their words, the number of bands taken from the
+   collision curve for a wanted recall; short names also meet by the names with one letter less.
+4. **Verification.** Monge-Elkan similarity over words, whose inner measure weighs slips of the hand.
+5. **Decision.** Alike is not the same: real names differ by a letter too. Two classes of verified pairs, same and different, are told
+   apart by a mixture over three features of a pair (``FEATURES``) in the manner of Fellegi and Sunter, estimated from the corpus by
+   expectation maximization, with a stated prior that decides where there is little data (``PRIOR``).
+6. **Clusters.** Star clustering: a spelling joins the most similar more frequent one.
+
+Candidates lead from a spelling to one ``DOMINANCE`` times as frequent; what such a one does not claim is compared with whatever
+else is left, whatever its frequency. So two rare spellings are linked as well, yet the many slips of one name are not
+paired with each other.
 
 Defined results: null and blank names are left out; repeated rows only add to a spelling's count; a name of
-which nothing is left as core keeps its whole folded text; ties go to the greater count, then the lesser id.
+which nothing is left keeps its whole folded text; ties go to the greater count, then the lesser id.
 """
 
 from __future__ import annotations
@@ -30,21 +36,14 @@ from pyspark.sql import functions as F
 
 from sedimenta.session import cut
 
-# ---------------------------------------------------------------- cores
-
-# Fixed words that name no product, ingredient or sender.
-FORMS = {"tab", "tabs", "tablet", "tablets", "cap", "caps", "capsule", "capsules", "susp", "suspension", "inj", "injection", "injectable", "cream", "ointment", "gel", "oral", "sol", "soln", "solution", "syrup", "film", "coated", "filmcoated", "powder", "patch", "spray", "drops", "extended", "release", "er", "xr", "sr", "cr", "brand", "generic", "unspec", "unspecified", "unknown", "nos"}
-DOSING = {"mg", "mcg", "ug", "g", "gm", "kg", "ml", "l", "iu", "unit", "units", "meq", "mmol", "mgml", "qd", "bid", "tid", "qid", "prn", "daily", "weekly", "once", "twice", "every", "day", "week", "hours", "po", "iv", "im", "sc"}
-SALTS = {"hydrochloride", "hydrochlor", "hcl", "cl", "h", "sulfate", "sulf", "mesylate", "mesilate", "mesyl", "tartrate", "tart", "potassium", "pot", "k", "sodium", "sod", "na", "anhydrous", "as", "base", "salt", "and"}
-LEGAL = {"inc", "incorporated", "corp", "corporation", "ltd", "limited", "llc", "gmbh", "sa", "ag", "co", "company", "plc", "bv", "nv", "and"}
-# (folded as names are: ph written f)
-SECTORS = {"farmaceuticals", "farmaceutical", "farma", "farm", "farms", "therapeutics", "thera", "ther", "biologics", "bio", "biol", "laboratories", "laboratory", "labs", "lab", "medicines", "meds", "med", "generics", "generic", "gen", "healthcare", "health", "care", "hc", "life", "sciences", "science", "sci", "lifesci", "lifesciences"}
+# ---------------------------------------------------------------- words
 
-_BRACKETS = re.compile(r"\([^)]*\)|\[[^\]]*\]|/\d+/")
-_DOSE = re.compile(r"\d[\d.,]*\s*(?:mg|mcg|ug|g|ml|l|iu|%)?(?:\s*/\s*[\d.,]*\s*(?:mg|mcg|ug|g|ml|l|h|hr))?\b")
+_BRACKETS = re.compile(r"\([^)]*\)|\[[^\]]*\]")
+_RATIO = re.compile(r"\d[\d.,]*\s*[a-z%]{0,4}\s*/\s*[\d.,]*\s*[a-z]{1,4}\b")
 _DOTTED = re.compile(r"\b(?:[a-z]\.){1,}[a-z]{1,4}\b\.?")
 _INNER = re.compile(r"(?<=[a-z])['’\-](?=[a-z])")
-_WORD = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[\\/+&;,]|\band\b")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def fold(name: str) -> str:
@@ -53,39 +52,105 @@ def fold(name: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c)).lower().strip().replace("ph", "f")
 
 
-def core(field: str, name: str) -> list[str]:
-    """Tokens that name the entity, in order of spelling. ``field`` is product, ingredient or sender."""
-    text = fold(name)
-    plain = _DOTTED.sub(lambda m: m[0].replace(".", ""), text)
-    plain = _INNER.sub("", plain)
-    if field == "product":
-        plain = _DOSE.sub(" ", _BRACKETS.sub(" ", plain))
-        words = [w for w in _WORD.findall(plain) if w not in FORMS and w not in DOSING and not w.isdigit()]
-        tokens = ["".join(words)] if words else []
-    elif field == "ingredient":
-        words = [w for w in _WORD.findall(_BRACKETS.sub(" ", plain)) if w not in SALTS]
-        tokens = sorted(set(words))
-    else:
-        words = [w for w in _WORD.findall(plain) if w not in LEGAL and w not in SECTORS]
-        tokens = sorted(words)
-    return tokens or [re.sub(r"\s+", "", text)]
+def parts_of(name: str) -> list[list[str]]:
+    """Words of a name in order, part by part; parts are divided by commas, slashes, ``and`` and the like.
 
+    Words that begin with a digit are quantities and left out.
+    """
+    text = _INNER.sub("", _DOTTED.sub(lambda m: m[0].replace(".", ""), fold(name)))
+    for plain in (_RATIO.sub(" ", _BRACKETS.sub(" ", text)), text):
+        parts = [[w for w in _WORD.findall(p) if not w[0].isdigit()] for p in _PART.split(plain)]
+        parts = [p for p in parts if p]
+        if parts:
+            return parts
+    return []
+
+
+# ---------------------------------------------------------------- words that name nothing
+
+#: A word's company: words of the same part so far to either side.
+NEAR = 6
+#: Company is counted by first letters, so that misspelled company counts once.
+STEM = 3
+#: Company that belongs to the word alone: the sum over its companions of one divided by their own companions.
+COMMON_COMPANY = 2.4
+#: A rarer addition has so many different companions, evenly counted (leaving out one that it may form a phrase with), is seldom
+#: without one, and these are often seen without it and keep less company themselves.
+LEAST_COMPANY, LEAST_ACCOMPANIED, LEAST_APART = 2.5, 0.5, 0.2
+#: Longest word that shortens another by leaving out letters; longer ones do by their end.
+LONGEST_SHORT = 6
+
+
+def shortens(short: str, long: str) -> bool:
+    """Whether a word is a shortening of another: its beginning, or, up to LONGEST_SHORT, letters of it in order, the first one kept."""
+    if not short or len(short) >= len(long) or short[0] != long[0]:
+        return False
+    if len(short) > LONGEST_SHORT:
+        return long.startswith(short)
+    rest = iter(long)
+    return all(c in rest for c in short)
 
-def short_forms(tokens: list[str]) -> list[str]:
-    """Names of two words drawn together: the first four letters of either, with all or four of the other."""
-    if len(tokens) != 2 or min(map(len, tokens)) < 4:
-        return []
-    out = []
-    for a, b in (tokens, tokens[::-1]):
-        out += [a[:4] + b[:4], a[:4] + b]
-    return out
+
+def additions(names: DataFrame) -> DataFrame:
+    """(field, word): words that name nothing, learned from the distinct spellings (field, name, n, parts) of a field.
+
+    First the plain ones: what stands beside many different words that keep no other company. Then the rarer ones: what, these
+    taken away, is still mostly accompanied, and by different words. Then short forms of either.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for field, n, parts in zip(b.column("field").to_pylist(), b.column("n").to_pylist(), b.column("parts").to_pylist()):
+                for part in parts:
+                    if len(part) == 1 and len(parts) > 1:  # neither alone nor beside a word
+                        continue
+                    for i, w in enumerate(part):
+                        if len(w) == 1:  # an initial may stand for anything
+                            continue
+                        out.append((field, w, None, n))
+                        out += [(field, w, v, n) for v in {*part[max(0, i - NEAR) : i], *part[i + 1 : i + 1 + NEAR]} if v != w and len(v) > 1]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["field", "word", "beside", "n"])
+
+    seen = names.mapInArrow(run, "field string, word string, beside string, n bigint")
+    seen = cut(seen.groupBy("field", "word", "beside").agg(F.sum("n").alias("n"), F.count("*").alias("spellings")))
+    total = seen.where("beside is null").select("field", "word", F.col("n").alias("total"), "spellings")
+    pairs = seen.where("beside is not null").withColumn("near", F.left("beside", F.lit(STEM)))
+    reach = pairs.groupBy("field", F.left("word", F.lit(STEM)).alias("near")).agg(F.count_distinct("near").alias("reach"))
+    own = pairs.select("field", "word", "near").distinct().join(reach, ["field", "near"]).groupBy("field", "word").agg(F.sum(1.0 / F.col("reach")).alias("own"))
+    plain = cut(own.where(F.col("own") >= COMMON_COMPANY).select("field", "word"))
+    left = pairs.join(plain.withColumnRenamed("word", "beside"), ["field", "beside"], "left_anti")
+    left = left.join(total.select("field", F.col("word").alias("beside"), F.col("total").alias("_all")), ["field", "beside"])
+    by_stem = left.groupBy("field", "word", "near").agg(F.sum("spellings").alias("x"), F.sum("n").alias("with"), F.sum(F.col("n") * (1 - F.col("n") / F.col("_all"))).alias("apart"))
+    company = by_stem.groupBy("field", "word").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.max("x").alias("top"), F.sum("with").alias("with"), (F.sum("apart") / F.sum("with")).alias("apart"))
+    told = company.join(total, ["field", "word"]).withColumn("accompanied", F.least(F.lit(1.0), F.col("with") / F.col("total")))
+    rest = F.col("x") - F.col("top")
+    evenly = F.when(4 * rest >= F.col("spellings"), F.try_divide(F.pow(rest, 2), F.col("xx") - F.col("top") * F.col("top")))
+    told = told.withColumn("company", F.greatest(F.pow("x", 2) / F.col("xx"), F.coalesce(evenly, F.lit(1.0))))
+    told = cut(told.select("field", "word", "company", "accompanied", "apart", "spellings"))
+    theirs = left.select("field", "word", "beside", left["spellings"].alias("_n")).join(told.select("field", F.col("word").alias("beside"), F.col("company").alias("_c")), ["field", "beside"])
+    theirs = theirs.groupBy("field", "word").agg((F.sum(F.col("_n") * F.col("_c")) / F.sum("_n")).alias("theirs"))
+    kept = told.join(theirs, ["field", "word"]).where(F.col("accompanied") >= LEAST_ACCOMPANIED)
+    rarer = kept.where((F.col("company") > F.col("theirs")) & (F.col("apart") >= LEAST_APART) & (F.least(F.col("company"), F.col("spellings").cast("double")) >= LEAST_COMPANY))
+    known = cut(plain.unionByName(rarer.select("field", "word")).distinct())
+    short = kept.select("field", "word", F.left("word", F.lit(1)).alias("first"))
+    pairs_of_forms = short.join(known.select("field", F.col("word").alias("long"), F.left("word", F.lit(1)).alias("first")), ["field", "first"]).select("field", "word", "long")
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [shortens(w, x) for w, x in zip(b.column("word").to_pylist(), b.column("long").to_pylist())]
+            yield b.filter(pa.array(keep, pa.bool_())).select(["field", "word"])
+
+    return cut(known.unionByName(pairs_of_forms.mapInArrow(forms, "field string, word string")).distinct())
 
 
 # ---------------------------------------------------------------- MinHash banding
 
-GRAM = 2
-ROWS = 3
-WANTED_SIMILARITY, WANTED_RECALL = 0.42, 0.99
+GRAM = 3
+ROWS = 4
+WANTED_SIMILARITY, WANTED_RECALL = 0.36, 0.95
+#: Names shorter than this also meet by what is left of them without one letter, as one slip changes most of their q-grams.
+SHORT_NAME = 9
 
 
 def collision(similarity: float, rows: int, bands: int) -> float:
@@ -107,31 +172,61 @@ def grams(tokens: list[str], q: int = GRAM) -> set[str]:
     return out
 
 
-_PRIME = (1 << 31) - 1
-_RANDOM = np.random.default_rng(20240607)
-_A = _RANDOM.integers(1, _PRIME, 4096).astype(np.int64)
-_B = _RANDOM.integers(0, _PRIME, 4096).astype(np.int64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def band_hashes(tokens: list[str], bands: int, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit hash per band."""
-    x = np.array([zlib.crc32(g.encode()) & 0x3FFFFFFF for g in grams(tokens)], np.int64)
-    k = bands * rows
-    low = ((x[None, :] * _A[:k, None] + _B[:k, None]) % _PRIME).min(axis=1).reshape(bands, rows)
-    out = np.zeros(bands, np.uint64)
+@lru_cache(maxsize=4)
+def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng(20240607)
+    draw = lambda: random.integers(0, 1 << 63, count, dtype=np.uint64)[:, None]
+    return draw() | np.uint64(1), draw()
+
+
+def band_hashes(tokens: list[str], bands: int, rows: int = ROWS, salt: int = 0) -> np.ndarray:
+    """One 64-bit hash per band, different for every band and salt. A row is the least multiply-shift hash of the q-grams."""
+    x = np.array([zlib.crc32(g.encode()) for g in grams(tokens)], np.uint64)
+    a, b = _functions(bands * rows)
+    low = ((x[None, :] * a + b) >> np.uint64(32)).min(axis=1).reshape(bands, rows)
+    out = np.arange(bands, dtype=np.uint64) + np.uint64((salt * int(_MIX)) & 0xFFFFFFFFFFFFFFFF)
     for j in range(rows):
-        out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ low[:, j].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        out = (out ^ low[:, j]) * _MIX
+        out ^= out >> np.uint64(29)
     return out.view(np.int64)
 
 
+def deletions(word: str, salt: int = 0) -> np.ndarray:
+    """Hashes of a short word and of what is left of it without one letter."""
+    left = {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+    return np.array([(zlib.crc32(w.encode(), salt & 0xFFFFFFFF) << 31) ^ zlib.crc32(w[::-1].encode()) for w in sorted(left)], np.int64)
+
+
+def meeting_keys(tokens: list[str], joined: str, bands: int, rows: int = ROWS, salt: int = 0) -> np.ndarray:
+    """All keys by which a name meets others: bands of its words, of the words drawn into one, and of its short forms."""
+    forms = [tokens, *([[joined]] if len(tokens) > 1 else []), *([x] for x in short_forms(tokens))]
+    keys = [band_hashes(f, bands, rows, salt) for f in forms]
+    if len(joined) < SHORT_NAME:
+        keys.append(deletions(joined, salt))
+    return np.unique(np.concatenate(keys))
+
+
+def short_forms(tokens: list[str]) -> list[str]:
+    """Names of two words drawn together: the first four letters of either, with all or four of the other."""
+    if len(tokens) != 2 or min(map(len, tokens)) < 4:
+        return []
+    out = []
+    for a, b in (tokens, tokens[::-1]):
+        out += [a[:4] + b[:4], a[:4] + b]
+    return out
+
+
 # ---------------------------------------------------------------- Monge-Elkan with slips of the hand
 
 _KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 _PLACE = {c: (r, i + 0.5 * r) for r, row in enumerate(_KEYS) for i, c in enumerate(row)}
 _SOUND = {frozenset(p) for p in ("ck", "iy", "bv", "vw", "sz", "mn", "fv", "dt", "cs", "gj", "kq", "td")}
 VOWELS = set("aeiou")
-#: Cost of changes: a slip (neighbouring key, like sound, swap, letter lost or added), another consonant, another vowel.
-SLIP, DOUBLED, CONSONANT, VOWEL = 1.0, 0.6, 1.5, 4.0
+#: Cost of changes: a slip (neighbouring key, like sound, swap, letter lost or added), a doubled letter or silent h, any other letter.
+SLIP, DOUBLED, OTHER = 1.0, 0.6, 1.5
 
 
 def neighbours(a: str, b: str) -> bool:
@@ -146,7 +241,7 @@ def change_cost(a: str, b: str) -> float:
         return 0.0
     if neighbours(a, b) or frozenset((a, b)) in _SOUND:
         return SLIP
-    return VOWEL if a in VOWELS and b in VOWELS else CONSONANT
+    return OTHER
 
 
 def slip_distance(a: str, b: str, limit: float) -> float:
@@ -179,6 +274,7 @@ def allowed(n: int) -> float:
     return 1.0 if n < 6 else 1.6 if n < 8 else 2.2
 
 
+@lru_cache(maxsize=200_000)
 def word_similarity(a: str, b: str) -> float:
     """1 for equal words, falling with the cost of slips; a cut-off word counts as nearly equal."""
     if a == b:
@@ -195,142 +291,218 @@ def word_similarity(a: str, b: str) -> float:
 
 
 def monge_elkan(a: list[str], b: list[str]) -> float:
-    """The lesser of the two directed means of best word matches."""
+    """The lesser of the two directed means of best word matches, words weighed by their letters."""
 
     def directed(x: list[str], y: list[str]) -> float:
-        return sum(max(word_similarity(p, q) for q in y) for p in x) / len(x)
+        return sum(len(p) * max(word_similarity(p, q) for q in y) for p in x) / sum(map(len, x))
 
     forth = directed(a, b)
     return min(forth, directed(b, a)) if forth > 0 else 0.0
 
 
-def name_similarity(rare: list[str], frequent: list[str]) -> float:
-    """Monge-Elkan similarity of two cores, or of the rarer one with a drawn-together form of the other."""
-    best = monge_elkan(rare, frequent)
-    if len(rare) == 1 and len(frequent) == 2:
-        for form in short_forms(frequent):
-            limit = 1.0
-            cost = 0.0 if rare[0] == form else slip_distance(rare[0], form, limit)
-            best = max(best, 0.0 if cost == math.inf else 0.95 - 0.07 * cost)
+def name_similarity(a: list[str], b: list[str], joined_a: str | None = None, joined_b: str | None = None) -> float:
+    """Monge-Elkan similarity of two names, of the names drawn into one word, or of one with a short form of the other."""
+    best = monge_elkan(a, b)
+    if len(a) != len(b):
+        best = max(best, word_similarity(joined_a or "".join(a), joined_b or "".join(b)))
+        for x, y in ((a, b), (b, a)):
+            if len(x) == 1 and len(y) == 2:
+                for form in short_forms(y):
+                    cost = 0.0 if x[0] == form else slip_distance(x[0], form, SLIP)
+                    best = max(best, 0.0 if cost == math.inf else 0.95 - 0.07 * cost)
     return best
 
 
-def only_vowel(a: list[str], b: list[str]) -> tuple[str, str] | None:
-    """The two vowels, if the names have the same letters but for one vowel in place of another."""
-    x, y = "".join(a), "".join(b)
-    if len(x) != len(y):
-        return None
-    odd = [(p, q) for p, q in zip(x, y) if p != q]
-    return odd[0] if len(odd) == 1 and odd[0][0] in VOWELS and odd[0][1] in VOWELS else None
-
-
-#: A spelling joins another only if that one is so many times as frequent.
-DOMINANCE = 2.5
-#: A spelling that differs in a mere vowel joins only if it is rarer than this share of the usual entity.
-USUAL_SHARE = 0.4
-#: Slips of a very frequent name may be more frequent than a usual entity (over OFTEN times), but stay below this share of the name.
-SLIP_RATE, OFTEN = 0.06, 2.0
 LEAST_SIMILARITY = 0.80
-LEAST_OVERLAP = 0.2
-
-
-@lru_cache(maxsize=100_000)
-def gram_sets(core_text: str) -> tuple[frozenset, ...]:
-    """The q-gram sets of a core and of its drawn-together forms."""
-    tokens = core_text.split(" ")
-    return tuple(frozenset(grams(x)) for x in [tokens, *([f] for f in short_forms(tokens))])
 
+# ---------------------------------------------------------------- same or different
+
+#: How two names differ: not by letters; one letter by a neighbouring key, a neighbouring vowel, any vowel, any letter; one
+#: letter lost, added, doubled or swapped; more than that.
+KINDS = ("form", "key", "near vowel", "vowel", "letter", "slip", "slips")
+
+
+def difference(a: list[str], b: list[str]) -> int:
+    """Index into KINDS, by the words that are not in both names."""
+    x, y = "".join(w for w in a if w not in b), "".join(w for w in b if w not in a)
+    if not x or not y or x.startswith(y) or y.startswith(x) or "".join(a) == "".join(b):
+        return 0
+    if len(x) == len(y):
+        odd = [(p, q) for p, q in zip(x, y) if p != q]
+        if len(odd) == 1:
+            p, q = odd[0]
+            near = change_cost(p, q) == SLIP
+            return (2 if near else 3) if p in VOWELS and q in VOWELS else 1 if near else 4
+    return 5 if slip_distance(x, y, SLIP) <= SLIP else 6
+
+
+#: Share of the mentions of a name that one slip of it may well have. How far a spelling exceeds that is its surprise, in nats.
+SLIP_SHARE = 0.05
+SURPRISE = (0.0, 1.0, 2.0, 4.0, 8.0, 16.0, 64.0)
+#: Size of the rarer spelling against the usual entity of its field, in powers of two.
+SIZE = (-4.0, -2.0, -1.0, 0.0, 1.0, 2.0)
+FEATURES = ("kind", "surprise", "size")
+#: Before any data: chance of each value if two names are the same, and if they are different; how many pairs that is worth.
+PRIOR = {
+    "kind": ((0.45, 0.08, 0.02, 0.01, 0.04, 0.30, 0.10), (0.05, 0.07, 0.10, 0.30, 0.15, 0.08, 0.25)),
+    "surprise": ((0.80, 0.08, 0.05, 0.03, 0.02, 0.01, 0.007, 0.003), (0.25, 0.08, 0.08, 0.09, 0.10, 0.10, 0.15, 0.15)),
+    "size": ((0.40, 0.25, 0.12, 0.08, 0.07, 0.05, 0.03), (0.02, 0.06, 0.12, 0.30, 0.30, 0.12, 0.08)),
+}
+PRIOR_SAME, PRIOR_PAIRS, ROUNDS = 0.8, 60.0, 40
+
+
+def estimate(counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Chance of being the same for every cell of a table of pairs (kinds, surprises, sizes), by expectation maximization.
+
+    Features count as independent within a class; the prior stands for PRIOR_PAIRS pairs of each class.
+    """
+    tables = [np.array(PRIOR[f]) for f in FEATURES]
+    tables = [t / t.sum(axis=1, keepdims=True) for t in tables]
+    prior, share = [t.copy() for t in tables], PRIOR_SAME
+    for _ in range(rounds + 1):
+        odds = []
+        for c in (0, 1):
+            part = np.log(share if c == 0 else 1 - share)
+            odds.append(part + np.log(tables[0][c])[:, None, None] + np.log(tables[1][c])[None, :, None] + np.log(tables[2][c])[None, None, :])
+        same = 1 / (1 + np.exp(odds[1] - odds[0]))
+        for c, weight in enumerate((same, 1 - same)):
+            held = counts * weight
+            for k, others in enumerate(((1, 2), (0, 2), (0, 1))):
+                t = held.sum(axis=others) + PRIOR_PAIRS * prior[k][c]
+                tables[k][c] = t / t.sum()
+        total = counts.sum()
+        share = ((counts * same).sum() + PRIOR_PAIRS * PRIOR_SAME) / (total + PRIOR_PAIRS)
+    return same
 
-def overlap(rare: str, frequent: str) -> float:
-    """Greatest Jaccard similarity of the rarer core with any form of the other."""
-    a = gram_sets(rare)[0]
-    return max(len(a & b) / len(a | b) for b in gram_sets(frequent))
 
+# ---------------------------------------------------------------- Spark operator
 
-def accepts(rare: list[str], frequent: list[str]) -> tuple[float, bool]:
-    """Similarity if the rarer spelling may join the more frequent one, else 0; and whether only a vowel differs."""
-    vowels = only_vowel(rare, frequent)
-    if vowels and change_cost(*vowels) > SLIP:
-        return 0.0, True
-    value = name_similarity(rare, frequent)
-    return (value if value >= LEAST_SIMILARITY else 0.0), vowels is not None
+#: A spelling is first compared with those so many times as frequent.
+DOMINANCE = 2.5
+#: Nodes that share a key are compared in shares of so many.
+SHARE = 1000
 
 
-# ---------------------------------------------------------------- Spark operator
+def _wide(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread over every core for work that is heavier than its bytes tell; adaptive execution leaves a stated number as it is."""
+    session = df.sparkSession
+    return df.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
-def spellings(df: DataFrame, column: str, field: str, kind: str) -> DataFrame:
-    """(field, kind, name, n): distinct spellings with their counts, counted map-side first."""
+def spellings(df: DataFrame, column: str, field: str) -> DataFrame:
+    """(field, name, n): distinct spellings with their counts, counted map-side first."""
     named = df.where(F.col(column).isNotNull() & (F.trim(column) != ""))
-    return named.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n")).select(F.lit(field).alias("field"), F.lit(kind).alias("kind"), "name", "n")
-
+    return named.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n")).select(F.lit(field).alias("field"), "name", "n")
 
-def with_core(names: DataFrame) -> DataFrame:
-    """Adds the core (tokens joined by a blank) and the node id."""
 
+def with_parts(names: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cores = [" ".join(core(k, x)) for k, x in zip(b.column("kind").to_pylist(), b.column("name").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("field"), b.column("name"), b.column("n"), pa.array(cores, pa.string())], names=["field", "name", "n", "core"])
+            parts = pa.array([parts_of(x) for x in b.column("name").to_pylist()], pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([b.column("field"), b.column("name"), b.column("n"), parts], names=["field", "name", "n", "parts"])
+
+    return _wide(names, "field", "name").mapInArrow(run, "field string, name string, n bigint, parts array<array<string>>")
+
 
-    cored = names.mapInArrow(run, "field string, name string, n bigint, core string")
+def with_core(parted: DataFrame, dropped: DataFrame) -> DataFrame:
+    """(field, name, n, core, joined, node): the words that name the entity, sorted, and drawn into one in their own order."""
+    words = parted.select("field", "name", F.posexplode(F.flatten("parts")).alias("at", "word")).join(dropped, ["field", "word"], "left_anti")
+    left = words.groupBy("field", "name").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("_w"))
+    whole = F.flatten("parts")
+    told = parted.join(left, ["field", "name"], "left").withColumn("_w", F.coalesce(F.transform("_w", lambda x: x["word"]), whole))
+    bare = F.regexp_replace(F.lower("name"), r"(?U)\s+", "")
+    told = told.withColumn("_w", F.when(F.size("_w") > 0, F.col("_w")).otherwise(F.array(bare)))
+    cored = told.select("field", "name", "n", F.array_join(F.array_sort(F.array_distinct("_w")), " ").alias("core"), F.array_join("_w", "").alias("joined"))
     return cored.withColumn("node", F.xxhash64("field", "core"))
 
 
-def candidates(nodes: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
-    """(rare, frequent) node ids that share a band, the second DOMINANCE times as frequent; each pair once."""
+def meetings(nodes: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
+    """(key, node, weight): the keys by which each node meets others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, band, value, own = [], [], [], []
-            for i, text in zip(b.column("node").to_pylist(), b.column("core").to_pylist()):
-                tokens = text.split(" ")
-                for form in [tokens, *([x] for x in short_forms(tokens))]:
-                    h = band_hashes(form, bands, rows)
-                    node.append(np.full(bands, i))
-                    band.append(np.arange(bands))
-                    value.append(h)
-                    own.append(np.full(bands, form is tokens))
-            if node:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(node), pa.int64()), pa.array(np.concatenate(band), pa.int32()), pa.array(np.concatenate(value), pa.int64()), pa.array(np.concatenate(own), pa.bool_())],
-                    names=["node", "band", "value", "own"],
-                )
-
-    signed = nodes.select("node", "core").mapInArrow(run, "node bigint, band int, value bigint, own boolean")
-    signed = signed.join(nodes.select("node", "field", "weight"), "node")
-    rare = signed.where("own").select("field", "band", "value", F.col("node").alias("rare"), F.col("weight").alias("_w"))
-    frequent = signed.where(F.col("weight") > DOMINANCE).select("field", "band", "value", F.col("node").alias("frequent"), F.col("weight").alias("_v"))
-    met = rare.join(frequent, ["field", "band", "value"]).where((F.col("_v") >= F.col("_w") * DOMINANCE) & (F.col("rare") != F.col("frequent")))
-    return met.select("rare", "frequent").distinct()
+            salts = [zlib.crc32(f.encode()) for f in b.column("field").to_pylist()]
+            keys = [meeting_keys(c.split(" "), j, bands, rows, s) for c, j, s in zip(b.column("core").to_pylist(), b.column("joined").to_pylist(), salts)]
+            if not keys:
+                continue
+            owner = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column("node").take(owner), b.column("weight").take(owner)], names=["key", "node", "weight"])
 
+    return _wide(nodes.select("field", "core", "joined", "node", "weight"), "node").mapInArrow(run, "key bigint, node bigint, weight bigint")
 
-def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(rare, frequent, similarity, weight) of the pairs that Monge-Elkan accepts; weight is that of the frequent node.
 
-    Pairs that differ in one vowel count only where the rarer spelling is much rarer than an entity of its field usually
-    is, that being the median weight of nodes that no other pair binds to a more frequent one; or where it is clearly more
-    frequent than that, yet a small share of the other: then it is a slip of a very frequent name.
+def candidates(met: DataFrame, dominance: float | None) -> DataFrame:
+    """(rare, frequent): nodes that share a key, each pair once.
+
+    With ``dominance`` the second is so many times as frequent; without, it is more frequent, or as frequent with a lesser id. Keys of
+    one node are left out first. The rare side of a key that more than SHARE nodes share is cut into shares, to each of which the
+    frequent side is sent, so the key is spread over tasks.
     """
-    left = nodes.select(F.col("node").alias("rare"), F.col("core").alias("a"), F.col("weight").alias("wa"), "field")
-    right = nodes.select(F.col("node").alias("frequent"), F.col("core").alias("b"), F.col("weight").alias("weight"))
-    full = pairs.join(left, "rare").join(right, "frequent").select("rare", "frequent", "a", "b", "wa", "weight", "field")
+    by_key = met.repartition("key")
+    sizes = by_key.groupBy("key").agg(F.count("*").alias("_c")).where(F.col("_c") > 1)
+    shared = by_key.join(sizes, "key").withColumn("_shares", F.ceil(F.col("_c") / SHARE).cast("int"))
+    rare = shared.select("key", F.pmod(F.xxhash64("node"), "_shares").cast("int").alias("_share"), F.col("node").alias("rare"), F.col("weight").alias("_w"))
+    frequent = shared.where(F.col("weight") >= dominance) if dominance else shared
+    frequent = frequent.select("key", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"), F.col("node").alias("frequent"), F.col("weight").alias("_v"))
+    ahead = F.col("_v") >= F.col("_w") * dominance if dominance else (F.col("_v") > F.col("_w")) | ((F.col("_v") == F.col("_w")) & (F.col("frequent") < F.col("rare")))
+    pairs = rare.join(frequent, ["key", "_share"]).where(ahead & (F.col("rare") != F.col("frequent")))
+    return pairs.select("rare", "frequent").distinct()
+
+
+def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(rare, frequent, field, similarity, kind, wa, weight) of the pairs that Monge-Elkan accepts; weight is that of the frequent node."""
+    left = nodes.select(F.col("node").alias("rare"), F.col("core").alias("a"), F.col("joined").alias("ja"), F.col("weight").alias("wa"), "field")
+    right = nodes.select(F.col("node").alias("frequent"), F.col("core").alias("b"), F.col("joined").alias("jb"), "weight")
+    full = _wide(pairs.join(left, "rare").join(right, "frequent"), "rare", "frequent").select("rare", "frequent", "field", "a", "b", "ja", "jb", "wa", "weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # names that slips can explain share far more q-grams than LEAST_OVERLAP
-            scores = [accepts(a.split(" "), b.split(" ")) if overlap(a, b) >= LEAST_OVERLAP else (0.0, False) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
-            keep = pa.array([s > 0 for s, _ in scores], pa.bool_())
-            columns = [batch.column("rare"), batch.column("frequent"), pa.array([s for s, _ in scores], pa.float64()), batch.column("weight"), batch.column("field"), batch.column("wa"), pa.array([v for _, v in scores], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["rare", "frequent", "similarity", "weight", "field", "wa", "vowel"]).filter(keep)
+            names = [[x.split(" ") for x in batch.column(c).to_pylist()] for c in ("a", "b")]
+            scores = [name_similarity(a, b, ja, jb) for a, b, ja, jb in zip(*names, batch.column("ja").to_pylist(), batch.column("jb").to_pylist())]
+            kinds = [difference(a, b) if s >= LEAST_SIMILARITY else 0 for a, b, s in zip(*names, scores)]
+            keep = pa.array([s >= LEAST_SIMILARITY for s in scores], pa.bool_())
+            columns = [batch.column(c) for c in ("rare", "frequent", "field")] + [pa.array(scores, pa.float64()), pa.array(kinds, pa.int32()), batch.column("wa"), batch.column("weight")]
+            yield pa.RecordBatch.from_arrays(columns, names=["rare", "frequent", "field", "similarity", "kind", "wa", "weight"]).filter(keep)
+
+    return full.mapInArrow(run, "rare bigint, frequent bigint, field string, similarity double, kind int, wa bigint, weight bigint")
+
+
+def unclaimed(nodes: DataFrame, verified: DataFrame) -> DataFrame:
+    """Nodes without a far more frequent one that they differ from by more than a vowel."""
+    claimed = verified.where(~F.col("kind").isin(KINDS.index("near vowel"), KINDS.index("vowel"))).select(F.col("rare").alias("node")).distinct()
+    return nodes.join(claimed, "node", "left_anti")
 
-    scored = cut(full.mapInArrow(run, "rare bigint, frequent bigint, similarity double, weight bigint, field string, wa bigint, vowel boolean"))
-    sure = scored.where(~F.col("vowel"))
-    free = nodes.join(sure.select(F.col("rare").alias("node")), "node", "left_anti")
-    usual = free.groupBy("field").agg(F.percentile_approx("weight", 0.5).alias("usual"))
-    slips = scored.where("vowel").join(usual, "field").where((F.col("wa") < F.col("usual") * USUAL_SHARE) | ((F.col("wa") > F.col("usual") * OFTEN) & (F.col("wa") < F.col("weight") * SLIP_RATE)))
-    columns = ["rare", "frequent", "similarity", "weight"]
-    return sure.select(*columns).unionByName(slips.select(*columns))
+
+def _bin(value, edges: tuple[float, ...]):
+    out = F.lit(len(edges))
+    for i, edge in reversed(list(enumerate(edges))):
+        out = F.when(value <= edge, i).otherwise(out)
+    return out
+
+
+def with_features(verified: DataFrame, usual: DataFrame) -> DataFrame:
+    """Adds surprise and size, as bins; ``usual`` has (field, usual), the usual weight of an entity."""
+    n = F.col("wa") + F.col("weight")
+    x = F.col("wa") / n
+    nats = F.when(x > SLIP_SHARE, n * (x * F.log(x / SLIP_SHARE) + (1 - x) * F.log((1 - x) / (1 - SLIP_SHARE)))).otherwise(0.0)
+    told = verified.join(usual, "field", "left")
+    size = F.log2(F.col("wa") / F.greatest(F.coalesce("usual", F.col("weight")), F.lit(1)))
+    return told.withColumn("surprise", _bin(nats, SURPRISE)).withColumn("size", _bin(size, SIZE)).drop("usual")
+
+
+def decide(featured: DataFrame) -> DataFrame:
+    """The pairs that are more likely the same: (rare, frequent, similarity, weight).
+
+    Only the table of counts by feature values, a few hundred cells whatever the number of pairs, reaches the driver.
+    """
+    shape = tuple(len(PRIOR[f][0]) for f in FEATURES)
+    counts = np.zeros(shape)
+    for r in featured.groupBy(*FEATURES).count().collect():
+        counts[r[0], r[1], r[2]] = r[3]
+    same = estimate(counts) >= 0.5
+    yes = F.lit("".join("1" if v else "0" for v in same.ravel()))
+    place = (F.col("kind") * shape[1] + F.col("surprise")) * shape[2] + F.col("size") + 1
+    return featured.where(F.substring(yes, place.cast("int"), F.lit(1)) == "1").select("rare", "frequent", "similarity", "weight")
 
 
 def stars(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -364,10 +536,17 @@ def link_spellings(names: DataFrame, similarity: float = WANTED_SIMILARITY, reca
 
     ``names`` is a union of ``spellings``. The cluster is named by the core of its centre.
     """
-    cored = cut(with_core(names))
-    nodes = cut(cored.groupBy("field", "core", "node").agg(F.sum("n").alias("weight")))
-    links = cut(verify(candidates(nodes, bands_for(similarity, recall)), nodes))
-    placed = stars(nodes, links)
+    parted = cut(with_parts(names))
+    cored = cut(with_core(parted, additions(parted)))
+    nodes = cut(cored.groupBy("field", "core", "node").agg(F.sum("n").alias("weight"), F.max_by("joined", F.struct("n", "joined")).alias("joined")))
+    met = cut(meetings(nodes, bands_for(similarity, recall)))
+    first = cut(verify(candidates(met, DOMINANCE), nodes))
+    rest = cut(unclaimed(nodes, first))
+    usual = rest.groupBy("field").agg(F.percentile_approx("weight", 0.5).alias("usual"))
+    second = verify(candidates(met.join(rest.select("node"), "node", "left_semi"), None), nodes)
+    second = second.where(F.col("weight") < F.col("wa") * DOMINANCE)
+    featured = cut(with_features(first.unionByName(second), usual))
+    placed = stars(nodes, cut(decide(featured)))
     centre = nodes.select(F.col("node").alias("centre"), F.col("core").alias("cluster"))
     return cored.join(placed, "node").join(centre, "centre").select("field", "name", "n", "core", "cluster")
 

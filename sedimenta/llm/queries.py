@@ -16,8 +16,8 @@ from sedimenta.session import spread, table
 
 def _linked(spark: SparkSession, sf: str) -> DataFrame:
     drug, demo = table(spark, sf, "faers_drug"), table(spark, sf, "faers_demo")
-    fields = names.spellings(drug, "drugname", "drugname", "product").unionByName(names.spellings(drug, "prod_ai", "prod_ai", "ingredient"))
-    return names.link_spellings(fields.unionByName(names.spellings(demo, "mfr_sndr", "mfr_sndr", "sender")))
+    fields = names.spellings(drug, "drugname", "drugname").unionByName(names.spellings(drug, "prod_ai", "prod_ai"))
+    return names.link_spellings(fields.unionByName(names.spellings(demo, "mfr_sndr", "mfr_sndr")))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
