@@ -32,6 +32,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sedimenta.session import cut
@@ -431,16 +432,19 @@ def meetings(nodes: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
     return _wide(nodes.select("field", "core", "joined", "node", "weight"), "node").mapInArrow(run, "key bigint, node bigint, weight bigint")
 
 
-def candidates(met: DataFrame, dominance: float | None) -> DataFrame:
+def shared_keys(met: DataFrame) -> DataFrame:
+    """(key, node, weight, shares) of the keys that several nodes have, and how many shares of SHARE nodes that makes."""
+    counted = met.withColumn("_c", F.count("*").over(W.partitionBy("key"))).where(F.col("_c") > 1)
+    return counted.select("key", "node", "weight", F.ceil(F.col("_c") / SHARE).cast("int").alias("_shares"))
+
+
+def candidates(shared: DataFrame, dominance: float | None) -> DataFrame:
     """(rare, frequent): nodes that share a key, each pair once.
 
-    With ``dominance`` the second is so many times as frequent; without, it is more frequent, or as frequent with a lesser id. Keys of
-    one node are left out first. The rare side of a key that more than SHARE nodes share is cut into shares, to each of which the
-    frequent side is sent, so the key is spread over tasks.
+    With ``dominance`` the second is so many times as frequent; without, it is more frequent, or as frequent with a lesser id. The rare side
+    of a key that more than SHARE nodes share is cut into shares, to each of which the frequent side is sent, so the key is
+    spread over tasks.
     """
-    by_key = met.repartition("key")
-    sizes = by_key.groupBy("key").agg(F.count("*").alias("_c")).where(F.col("_c") > 1)
-    shared = by_key.join(sizes, "key").withColumn("_shares", F.ceil(F.col("_c") / SHARE).cast("int"))
     rare = shared.select("key", F.pmod(F.xxhash64("node"), "_shares").cast("int").alias("_share"), F.col("node").alias("rare"), F.col("weight").alias("_w"))
     frequent = shared.where(F.col("weight") >= dominance) if dominance else shared
     frequent = frequent.select("key", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"), F.col("node").alias("frequent"), F.col("weight").alias("_v"))
@@ -539,7 +543,7 @@ def link_spellings(names: DataFrame, similarity: float = WANTED_SIMILARITY, reca
     parted = cut(with_parts(names))
     cored = cut(with_core(parted, additions(parted)))
     nodes = cut(cored.groupBy("field", "core", "node").agg(F.sum("n").alias("weight"), F.max_by("joined", F.struct("n", "joined")).alias("joined")))
-    met = cut(meetings(nodes, bands_for(similarity, recall)))
+    met = cut(shared_keys(meetings(nodes, bands_for(similarity, recall))))
     first = cut(verify(candidates(met, DOMINANCE), nodes))
     rest = cut(unclaimed(nodes, first))
     usual = rest.groupBy("field").agg(F.percentile_approx("weight", 0.5).alias("usual"))

@@ -125,11 +125,13 @@ def test_linking(spark):
     assert names.pairs_of(empty).count() == 0
 
 
-def test_a_key_that_all_share_is_spread(spark):
+def test_a_key_that_all_share_is_spread(spark, monkeypatch):
     nodes = spark.createDataFrame([(1, i, 1 if i else 500) for i in range(400)], "key bigint, node bigint, weight bigint")
-    assert names.candidates(nodes, names.DOMINANCE).count() == 399
-    few = nodes.where("node < 9")
-    assert names.candidates(few, None).count() == 36
+    monkeypatch.setattr(names, "SHARE", 50)
+    shared = names.shared_keys(nodes.union(spark.createDataFrame([(2, 7, 1)], "key bigint, node bigint, weight bigint")))
+    assert shared.count() == 400 and {r["_shares"] for r in shared.collect()} == {8}
+    assert names.candidates(shared, names.DOMINANCE).count() == 399
+    assert names.candidates(shared.where("node < 9"), None).count() == 36
 
 
 def test_stars_take_the_nearest_centre(spark):
