@@ -75,21 +75,18 @@ def p8_fill_chars(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- 9 text quality
 
 
-def common_words(spark: SparkSession, sf: str) -> list[str]:
-    """The frequent words of all languages: a fixed table of a few hundred rows, whose size is checked."""
-    rows = table(spark, sf, "common_word").select("word").where(F.col("word").isNotNull()).distinct().limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("common_word is no small fixed table any more")
-    return sorted(r[0] for r in rows)
+def _common(spark: SparkSession, sf: str) -> DataFrame:
+    """The frequent words of all languages."""
+    return table(spark, sf, "common_word").select("word")
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = quality.label_corpus(_texts(spark, sf), "doc_id", "text", common_words(spark, sf))
+    labelled = quality.label_corpus(_texts(spark, sf), "doc_id", "text", _common(spark, sf))
     return labelled.where(F.col("kind") != "prose").select("doc_id", "kind")
 
 
 def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.statistics(table(spark, sf, "documents"), "doc_id", "text", common_words(spark, sf))
+    return quality.statistics(_texts(spark, sf), "doc_id", "text", _common(spark, sf))
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_clusters, p7_ids, p8_pack, p8_fill, p8_fill_chars, p9_found, p9_statistics)}
