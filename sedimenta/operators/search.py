@@ -1,9 +1,13 @@
 """Retrieval over a document table: nearest vectors, full text, and both fused by reciprocal rank.
 
 Batch forms take many queries at once; ranks are windows per query, pruned to candidates first. Vectors
-are compared by blocked matrix products: each task holds one block of queries (bounded, its size is
-checked) and streams its own rows, keeping its best k per query, so that only k rows per query and task
-are shuffled.
+are compared by blocked matrix products: each task holds one block of queries (at most ``QUERY_BLOCK``, fewer if many results
+are kept for each) and streams its own rows, keeping its best k per query, so that only k rows per query and task
+are shuffled. One scan of the rows serves a whole block.
+
+Fused search needs two such scans whatever the number of matches: one for the first V rows by vector, one that counts the exact
+place by vector of the first lexical hits. V follows from the fused score (``fuse_depth``): a row further down in both lists cannot
+reach the result.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ from sedimenta.functions import text as analysis
 from sedimenta.session import cut
 
 RRF_K = 60
-QUERY_BLOCK = 4096
-PAIR_BLOCK = 4096
+QUERY_BLOCK = 65_536
+#: Queries of a block times results kept for each, and queries compared with a batch of rows at once.
+MOST_KEPT, AT_ONCE = 2_000_000, 512
 MOST_RESULTS = 50
 
 
@@ -44,7 +49,7 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return m, good
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str = "query_id", key: str = "doc_id", vector: str = "embedding", within: str | None = None, exclude_self: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str = "query_id", key: str = "doc_id", vector: str = "embedding", within: str | None = None, exclude_self: bool = True, block: int | None = None) -> DataFrame:
     """The k nearest rows of each query by cosine similarity: (query_key, [within,] key, similarity, place).
 
     Ties go to the lesser key; null and zero vectors are left out; with ``within`` the k best are found per value
@@ -55,7 +60,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str = "query
     scope = [F.col(within).cast("string").alias("w")] if within else [F.lit("").alias("w")]
     data = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("k"), *scope, F.col(vector).cast("array<double>").alias("v"))
     found = []
-    for matrix, names in _blocks(asked, block):
+    for matrix, names in _blocks(asked, block or max(1, min(QUERY_BLOCK, MOST_KEPT // max(1, k)))):
         sent = spark.sparkContext.broadcast((matrix, names))
         found.append(data.mapInArrow(_scan(sent, k, exclude_self), "q bigint, w string, k bigint, s double"))
     if not found:
@@ -68,68 +73,76 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str = "query
     return top.select(*out)
 
 
-def places(queries: DataFrame, rows: DataFrame, pairs: DataFrame, query_key: str = "query_id", key: str = "doc_id", vector: str = "embedding", block: int = PAIR_BLOCK) -> DataFrame:
+def pair_similarities(queries: DataFrame, rows: DataFrame, pairs: DataFrame, query_key: str = "query_id", key: str = "doc_id", vector: str = "embedding") -> DataFrame:
+    """(q, k, s) of given (query, row) pairs, by joining both vectors to each pair; pairs without a real vector are left out."""
+    wanted = pairs.select(F.col(query_key).cast("bigint").alias("q"), F.col(key).cast("bigint").alias("k")).distinct()
+    left = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("a"))
+    right = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("b"))
+    joined = wanted.join(right, "k").join(left, "q").select("q", "k", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (x, good), (y, fine) = _matrix(batch.column("a")), _matrix(batch.column("b"))
+            s = np.round(np.einsum("ij,ij->i", x, y), 9)
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("k"), pa.array(s)], names=["q", "k", "s"]).filter(pa.array(good & fine))
+
+    return joined.mapInArrow(run, "q bigint, k bigint, s double")
+
+
+def places(queries: DataFrame, rows: DataFrame, pairs: DataFrame, query_key: str = "query_id", key: str = "doc_id", vector: str = "embedding", block: int | None = None) -> DataFrame:
     """Exact similarity and place among all rows of given (query, row) pairs: (query_key, key, similarity, place).
 
-    Pairs go in blocks of bounded size; for each block one scan finds the pairs' similarities and another counts, per
-    task, the rows that come before each pair. Nothing but the pairs is shuffled, however many rows there are.
+    ``pairs`` has a bounded number of rows for each query. One scan of the rows serves a block of queries: per task it counts the rows
+    that come before each pair of the block. Nothing but the pairs is shuffled, however many rows there are.
     """
     spark = rows.sparkSession
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    scored = cut(pair_similarities(queries, rows, pairs, query_key, key, vector))
+    lists = scored.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("s", "k"))).alias("_t"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v")).join(lists, "q")
     data = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    wanted = pairs.select(F.col(query_key).cast("bigint").alias("q"), F.col(key).cast("bigint").alias("k")).distinct()
     found = []
-    for chunk in _chunks(wanted.orderBy("q", "k"), block):
-        ids = sorted({r["q"] for r in chunk})
-        matrix, names = _unit(asked.where(F.col("q").between(ids[0], ids[-1])).join(wanted.select("q"), "q", "left_semi").collect())
-        row_of = {q: i for i, q in enumerate(names.tolist())}
-        lookup: dict[int, list[int]] = {}
-        for r in chunk:
-            if r["q"] in row_of:
-                lookup.setdefault(r["k"], []).append(row_of[r["q"]])
-        if not lookup:
-            continue
-        sent = spark.sparkContext.broadcast((matrix, names, lookup))
-        scored = data.mapInArrow(_pair_scores(sent), "q bigint, k bigint, s double").collect()
-        marks: dict[int, list[tuple[float, int]]] = {}
-        for r in scored:
-            marks.setdefault(row_of[r["q"]], []).append((-r["s"], r["k"]))
-        marked = spark.sparkContext.broadcast((matrix, names, {i: sorted(m) for i, m in marks.items()}))
-        found.append(data.mapInArrow(_pair_counts(marked), "q bigint, k bigint, s double, n bigint"))
+    for chunk in _chunks(asked, block or QUERY_BLOCK // 8):
+        matrix, names = _unit(chunk)
+        marks = {r["q"]: (np.array([x["s"] for x in r["_t"]]), np.array([x["k"] for x in r["_t"]], np.int64)) for r in chunk}
+        sent = spark.sparkContext.broadcast((matrix, names, [marks[q] for q in names.tolist()]))
+        found.append(data.mapInArrow(_count_before(sent), "q bigint, k bigint, s double, n bigint"))
     if not found:
         return spark.createDataFrame([], f"{query_key} bigint, {key} bigint, similarity double, place bigint")
     counted = reduce(DataFrame.unionByName, found).groupBy("q", "k", "s").agg((F.sum("n") + 1).alias("place"))
     return counted.select(F.col("q").alias(query_key), F.col("k").alias(key), F.col("s").alias("similarity"), "place")
 
 
-def _similarities(matrix: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Rounded similarities (queries, rows) and row keys of the real vectors of a batch."""
-    m, good = _matrix(batch.column("v"))
-    return np.round(matrix @ m[good].T, 9), batch.column("k").to_numpy(zero_copy_only=False)[good]
+def _before(levels: np.ndarray, owners: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For every (level, owner) in ascending order of level: how many (value, key) come before it, greater first, ties by lesser key."""
+    at = np.searchsorted(levels, values, side="left")
+    n = len(levels)
+    counts = np.bincount(at, minlength=n + 1)[::-1].cumsum()[::-1][1:]
+    tied = np.flatnonzero((at < n) & (levels[np.minimum(at, n - 1)] == values))
+    for i in tied.tolist():
+        for j in range(int(at[i]), n):
+            if levels[j] != values[i]:
+                break
+            counts[j] += keys[i] < owners[j]
+    return counts
 
 
-def _pair_scores(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, names, lookup = sent.value
-        for batch in batches:
-            s, keys = _similarities(matrix, batch)
-            hits = [(i, j) for j, k in enumerate(keys.tolist()) for i in lookup.get(k, ())]
-            yield pa.RecordBatch.from_arrays([pa.array([int(names[i]) for i, _ in hits], pa.int64()), pa.array([int(keys[j]) for _, j in hits], pa.int64()), pa.array([float(s[i, j]) for i, j in hits], pa.float64())], names=["q", "k", "s"])
-
-    return run
-
-
-def _pair_counts(sent):
+def _count_before(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, names, marks = sent.value
-        counts = {i: np.zeros(len(m), np.int64) for i, m in marks.items()}
+        counts = [np.zeros(len(levels), np.int64) for levels, _ in marks]
         for batch in batches:
-            s, keys = _similarities(matrix, batch)
-            for i, m in marks.items():
-                for p, (minus, k) in enumerate(m):
-                    counts[i][p] += int(((-s[i] < minus) | ((-s[i] == minus) & (keys < k))).sum())
-        out = [(int(names[i]), k, -minus, int(counts[i][p])) for i, m in marks.items() for p, (minus, k) in enumerate(m)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["q", "k", "s", "n"])
+            m, good = _matrix(batch.column("v"))
+            m, keys = m[good], batch.column("k").to_numpy(zero_copy_only=False)[good]
+            for begin in range(0, len(names), AT_ONCE):
+                s = np.round(matrix[begin : begin + AT_ONCE] @ m.T, 9)
+                for i, row in enumerate(s, begin):
+                    counts[i] += _before(*marks[i], row, keys)
+        sizes = [len(c) for c in counts]
+        if sum(sizes):
+            columns = [np.repeat(names, sizes), np.concatenate([k for _, k in marks]), np.concatenate([s for s, _ in marks]), np.concatenate(counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "k", "s", "n"])
 
     return run
 
@@ -147,7 +160,7 @@ def _chunks(df: DataFrame, size: int) -> Iterator[list]:
 
 def _blocks(asked: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Query vectors in blocks of at most ``block`` rows, one at a time on the driver."""
-    for chunk in _chunks(asked.orderBy("q"), block):
+    for chunk in _chunks(asked, block):
         yield _unit(chunk)
 
 
@@ -163,24 +176,25 @@ def _unit(batch: list) -> tuple[np.ndarray, np.ndarray]:
 def _scan(sent, k: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, names = sent.value
-        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        best: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             m, good = _matrix(batch.column("v"))
             keys = batch.column("k").to_numpy(zero_copy_only=False)
             scope = np.array(batch.column("w").to_pylist(), object)
             for w in set(scope[good].tolist()):
                 pick = good & (scope == w)
-                s = np.round(matrix @ m[pick].T, 9)
-                own = np.broadcast_to(keys[pick], s.shape)
-                if exclude_self:
-                    s = np.where(own == names[:, None], -np.inf, s)
-                if w in best:
-                    s, own = np.hstack([best[w][0], s]), np.hstack([best[w][1], own])
-                order = np.lexsort((own, -s), axis=1)[:, :k]
-                best[w] = np.take_along_axis(s, order, 1), np.take_along_axis(own, order, 1)
-        for w, (s, own) in best.items():
+                for begin in range(0, len(names), AT_ONCE):
+                    s = np.round(matrix[begin : begin + AT_ONCE] @ m[pick].T, 9)
+                    own = np.broadcast_to(keys[pick], s.shape)
+                    if exclude_self:
+                        s = np.where(own == names[begin : begin + AT_ONCE, None], -np.inf, s)
+                    if (begin, w) in best:
+                        s, own = np.hstack([best[begin, w][0], s]), np.hstack([best[begin, w][1], own])
+                    order = np.lexsort((own, -s), axis=1)[:, :k]
+                    best[begin, w] = np.take_along_axis(s, order, 1), np.take_along_axis(own, order, 1)
+        for (begin, w), (s, own) in best.items():
             real = np.isfinite(s)
-            q = np.broadcast_to(names[:, None], s.shape)
+            q = np.broadcast_to(names[begin : begin + AT_ONCE, None], s.shape)
             yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array([w] * int(real.sum()), pa.string()), pa.array(own[real].astype(np.int64)), pa.array(s[real])], names=["q", "w", "k", "s"])
 
     return run
@@ -244,14 +258,26 @@ def top(scored: DataFrame, k: int, score: str, key: str, group: list[str], offse
     return scored.withColumn("place", F.row_number().over(order)).where((F.col("place") > offset) & (F.col("place") <= offset + k))
 
 
+#: Lexical hits of each query, in multiples of the results asked for, whose place by vector is counted exactly.
+EXACT_HITS = 5
+
+
+def fuse_depth(k: int, hits: int) -> int:
+    """How far down the vector list a row may lie that is not among the first ``hits`` lexical ones, and still be among the k best.
+
+    The k best by vector alone score 1 / (RRF_K + k) at least; beside its vector place v, the row scores 1 / (RRF_K + hits + 1) at most.
+    """
+    room = 1.0 / (RRF_K + k) - 1.0 / (RRF_K + hits + 1)
+    return max(k, int(1.0 / room - RRF_K) + 1)
+
+
 def fuse(vector: DataFrame, lexical: DataFrame, key: str, group: list[str], k: int, offset: int = 0) -> DataFrame:
     """Reciprocal rank fusion: (group, key, similarity, score, place).
 
-    ``vector`` has (group, key, similarity, place) by vector of the first offset + k documents of each query and of every
-    document that matches it; ``lexical`` (group, key, rank) of the matching ones. A document that neither matches nor is
-    among the first offset + k by vector cannot reach the result, so it need not be given.
+    ``vector`` has (group, key, similarity, place) by vector of every document that can reach the result, ``lexical`` (group, key, nth)
+    the lexical place of the matching ones.
     """
-    x = lexical.withColumn("_x", F.row_number().over(W.partitionBy(*group).orderBy(F.desc("rank"), key))).select(*group, key, "_x")
+    x = lexical.select(*group, key, F.col("nth").alias("_x"))
     both = vector.withColumnRenamed("place", "_v").join(x, [*group, key], "left")
     score = F.lit(1.0) / (F.lit(float(RRF_K)) + F.col("_v")) + F.coalesce(F.lit(1.0) / (F.lit(float(RRF_K)) + F.col("_x")), F.lit(0.0))
     both = both.withColumn("score", F.round(score, 12))
@@ -260,14 +286,16 @@ def fuse(vector: DataFrame, lexical: DataFrame, key: str, group: list[str], k: i
 
 
 def hybrid(queries: DataFrame, rows: DataFrame, lexical: DataFrame, k: int, offset: int = 0) -> DataFrame:
-    """Both arms fused: the nearest by vector, the matches in ``lexical`` with their exact place by vector.
+    """Both arms fused: the nearest by vector, and the first lexical hits with their exact place by vector.
 
     Both arms are used several times, so each is written once to the checkpoint folder.
     """
-    near, lexical = cut(search_nearest(queries, rows, offset + k)), cut(lexical)
-    placed = places(queries, rows, lexical)
-    vector = near.unionByName(placed.join(near.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"))
-    return fuse(vector, lexical, "doc_id", ["query_id"], k, offset)
+    hits = EXACT_HITS * (offset + k)
+    near = cut(search_nearest(queries, rows, fuse_depth(offset + k, hits)))
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rank"), "doc_id"))
+    lexical = cut(lexical.withColumn("nth", nth).select("query_id", "doc_id", "nth"))
+    first = lexical.where(F.col("nth") <= hits).join(near.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    return fuse(near.unionByName(places(queries, rows, first)), lexical, "doc_id", ["query_id"], k, offset)
 
 
 def search_nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:

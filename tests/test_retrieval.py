@@ -57,7 +57,8 @@ def test_fusion_prune_changes_nothing(spark):
             if place <= 7 or d in matched:
                 kept.append((q, d, s, place))
     v = spark.createDataFrame(kept, "query_id int, doc_id int, similarity double, place bigint")
-    x = spark.createDataFrame(lexical, "query_id int, doc_id int, rank double")
+    ranked = [(q, d, n) for q in (1, 2) for n, (_, d, _) in enumerate(sorted((r for r in lexical if r[0] == q), key=lambda r: (-r[2], r[1])), 1)]
+    x = spark.createDataFrame(ranked, "query_id int, doc_id int, nth int")
     got = {(r["query_id"], r["place"]): r["doc_id"] for r in search.fuse(v, x, "doc_id", ["query_id"], 5, offset=2).collect()}
     for q in (1, 2):
         by_v = [d for _, d, _ in sorted((r for r in vector if r[0] == q), key=lambda r: (-r[2], r[1]))]
@@ -69,6 +70,25 @@ def test_fusion_prune_changes_nothing(spark):
     assert search.clamp(0) == 1 and search.clamp(99) == 50
 
 
+def test_hybrid_equals_ranking_everything(spark):
+    rng, rnd = np.random.default_rng(8), random.Random(8)
+    vectors = {d: [float(x) for x in rng.normal(size=3).round(1)] for d in range(900)}
+    df = spark.createDataFrame(list(vectors.items()), "doc_id bigint, embedding array<double>").repartition(4)
+    queries = df.where("doc_id in (3, 400)").withColumnRenamed("doc_id", "query_id")
+    lexical = [(q, d, rnd.randrange(50) / 10) for q in (3, 400) for d in rnd.sample(range(900), 700)]
+    k = 4
+    assert search.fuse_depth(k, search.EXACT_HITS * k) < 700
+    got = search.hybrid(queries, df, spark.createDataFrame(lexical, "query_id bigint, doc_id bigint, rank double"), k, offset=1)
+    for q in (3, 400):
+        unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1)
+        sim = {d: round(float(unit(vectors[q]) @ unit(v)), 9) for d, v in vectors.items() if any(v)}
+        by_v = {d: i for i, d in enumerate(sorted(sim, key=lambda d: (-sim[d], d)), 1)}
+        by_x = {d: i for i, (_, d, _) in enumerate(sorted((r for r in lexical if r[0] == q), key=lambda r: (-r[2], r[1])), 1)}
+        score = {d: round(1 / (60 + by_v[d]) + (1 / (60 + by_x[d]) if d in by_x else 0), 12) for d in sim}
+        best = sorted(score, key=lambda d: (-score[d], -sim[d], d))[1 : 1 + k]
+        assert [r["doc_id"] for r in got.where(F.col("query_id") == q).orderBy("place").collect()] == best
+
+
 def test_context_skips_comparators_and_needs_all_terms(spark):
     trials = spark.createDataFrame([(1, ["Drug A", "Placebo", None, " ", "sham procedure", "Drug B", "Drug C"]), (2, ["Drug A"]), (3, None)], "trial bigint, names array<string>")
     listed = context.mentioned(trials, "trial", "names", 2)
