@@ -105,8 +105,8 @@ def analyze(text: str | None, stem: bool = True) -> list[str]:
 
 
 def plain_terms(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits, JVM-side: the analyzer without stop words and stems."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
+    """Lower-case runs of letters and digits of any script, JVM-side: the analyzer without stop words and stems."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
 @F.pandas_udf(ArrayType(StringType()))

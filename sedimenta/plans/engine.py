@@ -147,6 +147,68 @@ def normalize_applications(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", "title", "embed_text", "url", j("application_type"), j("is_approved"), j("marketing_statuses"), j("latest_submission_status_date"), j("has_products"), F.col("updated_at").cast("date").cast("string").alias("updated"))
 
 
+def _payloads(spark: SparkSession, sf: str, source: str) -> tuple[DataFrame, object]:
+    """Documents of a source whose payload is JSON, and a function that reads a path of it."""
+    docs = table(spark, sf, "documents").where((F.col("source") == source) & F.try_parse_json("structured").isNotNull())
+    return docs, lambda path: F.get_json_object("structured", f"$.{path}")
+
+
+def _list(path) -> object:
+    return F.from_json(path, "array<string>")
+
+
+def normalize_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """Trials, written as records of the registry out of the payloads, and normalized again."""
+    docs, j = _payloads(spark, sf, "clinical")
+    names = F.transform(_list(j("interventions")), lambda x: F.struct(x.alias("name")))
+    record = F.struct(
+        F.struct(j("nct_id").alias("nctId"), F.col("title").alias("briefTitle")).alias("identificationModule"),
+        F.struct(j("status").alias("overallStatus"), F.col("updated_at").cast("date").cast("string").alias("lastUpdateSubmitDate")).alias("statusModule"),
+        F.struct(F.array(j("phase")).alias("phases")).alias("designModule"),
+        F.struct(_list(j("conditions")).alias("conditions")).alias("conditionsModule"),
+        F.struct(names.alias("interventions")).alias("armsInterventionsModule"),
+    )
+    out = records.trials(docs.select(F.to_json(F.struct(record.alias("protocolSection"))).alias("raw")), _now())
+    k = lambda path: F.get_json_object("structured", f"$.{path}")
+    return out.select("doc_id", "title", "url", F.col("updated_at").cast("date").cast("string").alias("updated"), k("status").alias("status"), k("phase").alias("phase"), F.size(_list(k("conditions"))).alias("conditions"), F.size(_list(k("interventions"))).alias("interventions"))
+
+
+def normalize_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels, written as records out of the payloads, and normalized again."""
+    docs, j = _payloads(spark, sf, "openfda_label")
+    harmonized = F.struct(_list(j("brand_name")).alias("brand_name"), _list(j("generic_name")).alias("generic_name"), _list(j("route")).alias("route"))
+    boxed = F.when(j("has_boxed_warning") == "true", F.array(F.lit("boxed")))
+    record = F.struct(F.col("native_id").alias("id"), j("set_id").alias("set_id"), j("version").alias("version"), F.date_format("updated_at", "yyyyMMdd").alias("effective_time"), boxed.alias("boxed_warning"), F.array("title").alias("spl_product_data_elements"), harmonized.alias("openfda"))
+    out = records.labels(docs.where(F.size(F.coalesce(_list(j("brand_name")), F.array().cast("array<string>"))) > 0).select(F.to_json(record).alias("raw")), _now())
+    k = lambda path: F.get_json_object("structured", f"$.{path}")
+    return out.select("doc_id", "title", "url", F.col("updated_at").cast("date").cast("string").alias("updated"), k("version").alias("version"), k("has_boxed_warning").alias("boxed"))
+
+
+def normalize_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of adverse events, written as records out of the payloads, and normalized again: roles by code, titles by drug and reaction."""
+    docs, j = _payloads(spark, sf, "openfda_event")
+    code = lambda role: F.when(role == "suspect", "1").when(role == "concomitant", "2").when(role == "interacting", "3")
+    # elements that are no objects are left out
+    objects = F.filter(_list(j("drugs")), lambda d: d.startswith("{"))
+    given = F.transform(objects, lambda d: F.from_json(d, "struct<name:string,role:string,indication:string,authorization_number:string>"))
+    arms = F.transform(given, lambda d: F.struct(d["name"].alias("medicinalproduct"), code(d["role"]).alias("drugcharacterization"), d["indication"].alias("drugindication"), d["authorization_number"].alias("drugauthorizationnumb")))
+    reactions = F.transform(_list(j("reactions")), lambda x: F.struct(x.alias("reactionmeddrapt")))
+    record = F.struct(j("safetyreportid").alias("safetyreportid"), j("serious").alias("serious"), F.date_format("updated_at", "yyyyMMdd").alias("receivedate"), F.struct(j("patient.age").alias("patientonsetage"), reactions.alias("reaction"), arms.alias("drug")).alias("patient"))
+    out = records.events(docs.where(j("drugs").startswith("[") & j("reactions").startswith("[")).select(F.to_json(record).alias("raw")), _now())
+    k = lambda path: F.get_json_object("structured", f"$.{path}")
+    roles = F.transform(F.from_json(k("drugs"), "array<struct<role:string>>"), lambda d: d["role"])
+    return out.select("doc_id", "title", "url", F.col("updated_at").cast("date").cast("string").alias("updated"), k("serious").alias("serious"), F.array_join(roles, ",").alias("roles"))
+
+
+def normalize_recalls(spark: SparkSession, sf: str) -> DataFrame:
+    """Recalls, written as records out of the payloads, and normalized again."""
+    docs, j = _payloads(spark, sf, "openfda_enforcement")
+    record = F.struct(*[j(x).alias(x) for x in ("recall_number", "classification", "status", "recalling_firm")], F.date_format("updated_at", "yyyyMMdd").alias("report_date"), F.col("title").alias("reason_for_recall"))
+    out = records.recalls(docs.select(F.to_json(record).alias("raw")), _now())
+    k = lambda path: F.get_json_object("structured", f"$.{path}")
+    return out.select("doc_id", "title", "url", F.col("updated_at").cast("date").cast("string").alias("updated"), k("status").alias("status"), k("recalling_firm").alias("firm"))
+
+
 def payload_fields(spark: SparkSession, sf: str) -> DataFrame:
     """JSON paths projected out of the documents' payloads."""
     docs = table(spark, sf, "documents").where(F.col("source") == "clinical")
@@ -212,6 +274,16 @@ def fts_language(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_text(docs, '"heart failure" or asthma -placebo treated', 20).select("doc_id", "rank")
 
 
+LANGUAGE = '"heart failure" or asthma -placebo dose'
+
+
+def fts_plain_language(spark: SparkSession, sf: str) -> DataFrame:
+    """One query with phrase, alternative and exclusion over unstemmed terms: every document that matches."""
+    parsed = text.parse_query(LANGUAGE, stem=False)
+    docs = _terms(spark, sf)
+    return docs.where(text.matches(parsed, F.col("terms"))).select("doc_id")
+
+
 def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Vector and lexical arms fused, for the vectors whose id is divisible by 20, over documents that have one.
 
@@ -256,6 +328,15 @@ def drug_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return context.profiles(named, _terms(spark, sf)).withColumn("rank", F.round("rank", 6))
 
 
+def safety_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of every profile with their title, an excerpt and the flags that their payload sets."""
+    docs = table(spark, sf, "documents")
+    j = lambda path: F.get_json_object("structured", f"$.{path}")
+    flags = scalars.set_flags({"boxed warning": F.when(j("has_boxed_warning") == "true", "1"), "serious": j("serious")})
+    told = docs.select("doc_id", "title", scalars.excerpt(F.col("text"), "take", 0, 160).alias("excerpt"), F.array_join(flags, ",").alias("flags"))
+    return drug_profiles(spark, sf).select("name", "source", "doc_id", "place").join(told, "doc_id")
+
+
 def drug_profiles_fused(spark: SparkSession, sf: str) -> DataFrame:
     """Labels, reports and recalls about the same brands, by vector and terms fused."""
     docs = table(spark, sf, "documents")
@@ -316,6 +397,16 @@ def usage_7d(spark: SparkSession, sf: str) -> DataFrame:
     return status.usage(_calls(spark, sf), _now(EVENTS_NOW), 7)
 
 
+def access_ladder(spark: SparkSession, sf: str) -> DataFrame:
+    """Why calls are refused, by tool: keys are customers, plans their segments, inactive ones in debt; every tenth user sends no key."""
+    calls = _calls(spark, sf)
+    sent = calls.select("tool", F.when(F.col("key").cast("bigint") % 10 != 0, F.col("key")).alias("key"))
+    keys = table(spark, sf, "customer").where(F.col("c_custkey") % 7 != 0).select(scalars.key_digest(F.col("c_custkey").cast("string")).alias("key_hash"), F.col("c_mktsegment").alias("plan"), (F.col("c_acctbal") >= 0).alias("active"))
+    used = status.rolling_use(calls.withColumn("key_hash", scalars.key_digest(F.col("key"))), _now(EVENTS_NOW), F.lit(None), 30, "key_hash").select("key_hash", "used")
+    told = status.decide_access(sent, keys, used, {"AUTOMOBILE": 60, "BUILDING": 40, "MACHINERY": None}, "BUILDING", ("signup",), ("purchase",), ("AUTOMOBILE",))
+    return told.groupBy("tool", "reason").agg(F.count("*").alias("calls"))
+
+
 def rolling_30d(spark: SparkSession, sf: str) -> DataFrame:
     return status.rolling_use(_calls(spark, sf), _now(EVENTS_NOW), F.lit(60), 30)
 
@@ -362,5 +453,5 @@ def label_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (case_current, case_current_kept, grain, grain_orders, conservation_runs, conservation_tables, dedup_conservation, integrity, integrity_orders, reject_summary, reject_reasons, reject_totals, date_precision, inventory, parse_dates, parse_numbers, delimited_split, part_lines, normalize_applications, payload_fields, event_props, text_scalars, knn, knn_per_label, fts_and, fts_or, fts_language, hybrid, trial_context, trial_context_all, drug_profiles, drug_profiles_fused, trial_evidence, ingest_counts, source_state, retrieval_eval, corpus_status, usage_7d, rolling_30d, due_sources, upsert_documents, first_documents, newest_documents, demo_selection, label_vectors)
+    for f in (case_current, case_current_kept, grain, grain_orders, conservation_runs, conservation_tables, dedup_conservation, integrity, integrity_orders, reject_summary, reject_reasons, reject_totals, date_precision, inventory, parse_dates, parse_numbers, delimited_split, part_lines, normalize_applications, normalize_trials, normalize_labels, normalize_events, normalize_recalls, payload_fields, event_props, text_scalars, knn, knn_per_label, fts_and, fts_or, fts_language, fts_plain_language, hybrid, trial_context, trial_context_all, drug_profiles, safety_profiles, drug_profiles_fused, trial_evidence, ingest_counts, source_state, retrieval_eval, corpus_status, usage_7d, access_ladder, rolling_30d, due_sources, upsert_documents, first_documents, newest_documents, demo_selection, label_vectors)
 }

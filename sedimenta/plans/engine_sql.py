@@ -135,6 +135,49 @@ SELECT n AS doc_id, coalesce(brands[1], nullif(o.brand_name[1], ''), nullif(o.ge
 FROM b
 """
 
+def _payloads(source: str) -> str:
+    return f"d AS (SELECT *, json(structured) AS j FROM documents WHERE source = '{source}' AND json_valid(structured))"
+
+
+def _opened(name: str) -> str:
+    """A member of a payload; JSON written inside a string counts as what it says."""
+    return f"CASE WHEN json_type(j, '$.{name}') = 'VARCHAR' AND json_valid(j ->> '$.{name}') THEN json(j ->> '$.{name}') ELSE json_extract(j, '$.{name}') END"
+
+
+_UPDATED = f"coalesce(strftime(updated_at, '%Y-%m-%d'), '{NOW[:10]}')"
+_TITLE = "coalesce(nullif(title, ''), '(no title)')"
+
+NORMALIZE_TRIALS = f"""
+WITH {_payloads("clinical")}
+SELECT coalesce(j ->> '$.nct_id', '') AS doc_id, {_TITLE} AS title, CASE WHEN coalesce(j ->> '$.nct_id', '') <> '' THEN 'https://clinicaltrials.gov/study/' || (j ->> '$.nct_id') ELSE '' END AS url, {_UPDATED} AS updated,
+  j ->> '$.status' AS status, j ->> '$.phase' AS phase, coalesce(CASE WHEN json_type(j, '$.conditions') = 'ARRAY' THEN json_array_length(j, '$.conditions') END, 0)::INT AS conditions,
+  coalesce(CASE WHEN json_type(j, '$.interventions') = 'ARRAY' THEN len(list_filter(CAST(json_extract(j, '$.interventions') AS VARCHAR[]), lambda x: x IS NOT NULL AND x <> '')) END, 0)::INT AS interventions FROM d
+"""
+
+NORMALIZE_LABELS = f"""
+WITH {_payloads("openfda_label")}
+SELECT coalesce(native_id, '') AS doc_id, coalesce(nullif(j ->> '$.brand_name[0]', ''), nullif(j ->> '$.generic_name[0]', ''), nullif(title, ''), '(unnamed label)') AS title,
+  CASE WHEN coalesce(j ->> '$.set_id', '') <> '' THEN 'https://dailymed.nlm.nih.gov/dailymed/drugInfo.cfm?setid=' || (j ->> '$.set_id') ELSE '' END AS url, {_UPDATED} AS updated, j ->> '$.version' AS version,
+  CASE WHEN (j ->> '$.has_boxed_warning') = 'true' THEN 'true' ELSE 'false' END AS boxed FROM d WHERE json_array_length(j, '$.brand_name') > 0
+"""
+
+NORMALIZE_EVENTS = f"""
+WITH {_payloads("openfda_event")},
+o AS (SELECT *, {_opened("drugs")} AS dj, {_opened("reactions")} AS rj FROM d),
+e AS (SELECT *, CAST(dj AS JSON[]) AS ds, CAST(rj AS VARCHAR[]) AS rs FROM o WHERE json_type(dj) = 'ARRAY' AND json_type(rj) = 'ARRAY'),
+f AS (SELECT *, list_filter(ds, lambda x: json_type(x) = 'OBJECT') AS arms FROM e)
+SELECT coalesce(j ->> '$.safetyreportid', '') AS doc_id,
+  coalesce(list_filter(list_transform(arms, lambda x: x ->> '$.name'), lambda x: x IS NOT NULL AND trim(x) <> '')[1], '(unknown drug)') || ' → ' || coalesce(list_filter(rs, lambda x: x IS NOT NULL AND trim(x) <> '')[1], '(unspecified reaction)') AS title,
+  'https://api.fda.gov/drug/event.json?search=safetyreportid:"' || coalesce(j ->> '$.safetyreportid', '') || '"' AS url, {_UPDATED} AS updated, j ->> '$.serious' AS serious,
+  array_to_string(list_transform(arms, lambda x: CASE WHEN (x ->> '$.role') IN ('suspect', 'concomitant', 'interacting') THEN x ->> '$.role' ELSE 'unknown' END), ',') AS roles FROM f
+"""
+
+NORMALIZE_RECALLS = f"""
+WITH {_payloads("openfda_enforcement")}
+SELECT coalesce(j ->> '$.recall_number', '') AS doc_id, coalesce(nullif(j ->> '$.classification', ''), '(unclassified)') || ' — ' || coalesce(nullif(j ->> '$.recalling_firm', ''), '(unknown firm)') AS title,
+  'https://api.fda.gov/drug/enforcement.json?search=recall_number:"' || coalesce(j ->> '$.recall_number', '') || '"' AS url, {_UPDATED} AS updated, j ->> '$.status' AS status, j ->> '$.recalling_firm' AS firm FROM d
+"""
+
 PAYLOAD_FIELDS = r"""
 WITH d AS (SELECT doc_id, native_id, CASE WHEN json_valid(structured) THEN json(structured) END AS j FROM documents WHERE source = 'clinical')
 SELECT doc_id, j ->> '$.nct_id' AS nct_id, j ->> '$.status' AS status, j ->> '$.interventions[0]' AS first_intervention, regexp_full_match(native_id, 'NCT[0-9]{8}') AS good_id FROM d
@@ -158,7 +201,7 @@ SELECT query_id{label}, doc_id, round(s, 6) AS similarity, place::INT AS place F
     FROM embeddings q JOIN embeddings d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id)) WHERE place <= {k}"""
 
 
-_TERMS = "list_filter(regexp_split_to_array(lower(concat_ws(' ', title, text)), '[^a-z0-9]+'), lambda x: x <> '')"
+_TERMS = "list_filter(regexp_split_to_array(lower(concat_ws(' ', title, text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _RANK = "round(sum(1.0 + ln(tf)) / (1.0 + ln(1.0 + max(length))), 9)"
 
 
@@ -185,7 +228,7 @@ WITH {_index("SELECT doc_id, source, title, text FROM documents WHERE doc_id IN
 asked AS (SELECT d.doc_id AS query_id, e.embedding AS qe, d.title FROM docs d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.doc_id % 20 = 0),
 near AS (SELECT query_id, d.doc_id, round(list_cosine_similarity(qe::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity FROM asked CROSS JOIN docs d JOIN embeddings e ON e.vec_id = d.doc_id),
 v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rv FROM near),
-q AS (SELECT query_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM asked),
+q AS (SELECT query_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS t FROM asked),
 wanted AS (SELECT query_id, len(t) AS wanted, unnest(t) AS term FROM q),
 lex AS (SELECT query_id, doc_id, {_RANK} AS rank FROM postings JOIN wanted USING (term) GROUP BY query_id, doc_id HAVING count(*) = max(wanted)),
 x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, doc_id) AS rx FROM lex),
@@ -195,7 +238,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, si
 """
 
 def _comparator(name: str) -> str:
-    spoken = f"' ' || regexp_replace(lower({name}), '[^a-z0-9]+', ' ', 'g') || ' '"
+    spoken = f"' ' || regexp_replace(lower({name}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
     return "(" + " OR ".join(f"contains({spoken}, ' {c} ')" for c in COMPARATORS) + ")"
 
 
@@ -206,7 +249,7 @@ names AS (SELECT trial, unnest(CAST(j AS VARCHAR[])) AS name, generate_subscript
 drugs AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY nth) AS n FROM names WHERE name IS NOT NULL AND trim(name) <> ''
   AND NOT {_comparator('name')}),
 kept AS (SELECT DISTINCT trial, name FROM drugs WHERE n <= 5),
-terms AS (SELECT name, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM (SELECT DISTINCT name FROM kept)),
+terms AS (SELECT name, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS t FROM (SELECT DISTINCT name FROM kept)),
 wanted AS (SELECT name, len(t) AS wanted, unnest(t) AS term FROM terms),
 met AS (SELECT name, doc_id, {_RANK} AS rank FROM postings JOIN wanted USING (term) GROUP BY name, doc_id HAVING count(*) = max(wanted)),
 best AS (SELECT name, d.source, m.doc_id, rank, row_number() OVER (PARTITION BY name, d.source ORDER BY rank DESC, m.doc_id) AS place FROM met m JOIN docs d USING (doc_id))
@@ -216,13 +259,36 @@ SELECT trial, name, source, doc_id, round(rank, 6) AS rank, place::INT AS place
 DRUG_PROFILES = f"""
 WITH {_index("SELECT doc_id, source, title, text FROM documents WHERE source IN ('openfda_label', 'openfda_event', 'openfda_enforcement')")},
 names AS (SELECT DISTINCT json_extract_string(json(structured), '$.brand_name[0]') AS name FROM documents WHERE source = 'openfda_label' AND doc_id % 20 = 0 AND json_valid(structured)),
-terms AS (SELECT name, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM names WHERE name IS NOT NULL),
+terms AS (SELECT name, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS t FROM names WHERE name IS NOT NULL),
 wanted AS (SELECT name, len(t) AS wanted, unnest(t) AS term FROM terms),
 met AS (SELECT name, doc_id, {_RANK} AS rank FROM postings JOIN wanted USING (term) GROUP BY name, doc_id HAVING count(*) = max(wanted)),
 best AS (SELECT name, d.source, m.doc_id, rank, row_number() OVER (PARTITION BY name, d.source ORDER BY rank DESC, m.doc_id) AS place FROM met m JOIN docs d USING (doc_id))
 SELECT name, source, doc_id, round(rank, 6) AS rank, place::INT AS place FROM best WHERE place <= CASE source WHEN 'openfda_event' THEN 5 ELSE 3 END
 """
 
+_WHITE = r"[\p{Z}\s\x0B\x{0085}]"
+SAFETY_PROFILES = f"""
+WITH p AS ({DRUG_PROFILES}),
+t AS (SELECT doc_id, title, structured, regexp_replace(text, '{_WHITE}+', ' ', 'g') AS t FROM documents)
+SELECT p.name, p.source, p.doc_id, p.place, title, regexp_replace(substr(t, greatest(instr(lower(t), 'take'), 1), 160), '^{_WHITE}+|{_WHITE}+$', '', 'g') AS excerpt,
+  concat_ws(',', CASE WHEN json_valid(structured) AND (json(structured) ->> '$.has_boxed_warning') = 'true' THEN 'boxed warning' END, CASE WHEN json_valid(structured) AND (json(structured) ->> '$.serious') = '1' THEN 'serious' END) AS flags
+FROM p JOIN t ON p.doc_id = t.doc_id
+"""
+
+FTS_PLAIN_LANGUAGE = f"""
+WITH t AS (SELECT doc_id, ' ' || array_to_string({_TERMS}, ' ') || ' ' AS t FROM documents)
+SELECT doc_id FROM t WHERE contains(t, ' heart ') AND (contains(t, ' failure ') OR contains(t, ' asthma ')) AND NOT contains(t, ' placebo ') AND contains(t, ' dose ') AND contains(t, ' heart failure ')
+"""
+
+ACCESS_LADDER = f"""
+WITH used AS (SELECT user_id, count(*) AS used FROM events WHERE ts > TIMESTAMP '{EVENTS_NOW}' - INTERVAL 30 DAYS GROUP BY 1),
+calls AS (SELECT event_type AS tool, user_id, user_id % 10 <> 0 AS sent, c_custkey IS NOT NULL AS known, c_acctbal >= 0 AS active, CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY') THEN c_mktsegment ELSE 'BUILDING' END AS plan
+  FROM events LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON user_id = c_custkey)
+SELECT tool, CASE WHEN tool = 'signup' THEN NULL WHEN sent IS NOT TRUE THEN 'missing_key' WHEN NOT known OR NOT active THEN 'invalid_key' WHEN tool = 'purchase' AND plan <> 'AUTOMOBILE' THEN 'not_permitted'
+  WHEN coalesce(used, 0) >= CASE plan WHEN 'AUTOMOBILE' THEN 60 WHEN 'BUILDING' THEN 40 END THEN 'rate_limit' END AS reason, count(*)::BIGINT AS calls
+FROM calls LEFT JOIN used USING (user_id) GROUP BY ALL
+"""
+
 INGEST_COUNTS = r"""
 SELECT count(*)::BIGINT AS fetched, count(*) FILTER (WHERE NOT ok)::BIGINT AS skipped, count(DISTINCT CASE WHEN ok THEN source || '/' || native_id END)::BIGINT AS "unique",
   (count(*) FILTER (WHERE ok) - count(DISTINCT CASE WHEN ok THEN source || '/' || native_id END))::BIGINT AS duplicates
@@ -290,7 +356,14 @@ SQL = {
     "delimited_split": DELIMITED_SPLIT,
     "part_lines": PART_LINES,
     "normalize_applications": NORMALIZE_APPLICATIONS,
+    "normalize_trials": NORMALIZE_TRIALS,
+    "normalize_labels": NORMALIZE_LABELS,
+    "normalize_events": NORMALIZE_EVENTS,
+    "normalize_recalls": NORMALIZE_RECALLS,
     "payload_fields": PAYLOAD_FIELDS,
+    "safety_profiles": SAFETY_PROFILES,
+    "fts_plain_language": FTS_PLAIN_LANGUAGE,
+    "access_ladder": ACCESS_LADDER,
     "event_props": "SELECT event_type, count(*)::BIGINT AS n, sum((props::JSON ->> '$.k')::BIGINT)::BIGINT AS sum_k, max((props::JSON ->> '$.k')::BIGINT) AS max_k FROM events GROUP BY event_type",
     "text_scalars": TEXT_SCALARS,
     "knn": _knn(10, False),

@@ -176,7 +176,7 @@ def _judged() -> str:
         e = "\\" + d
         one = f'(?:"(?:[^"]|"")*"|[^"{e}][^{e}]*|)'
         cell = f'{e}("(?:[^"]|"")*"|[^"{e}][^{e}]*|)'
-        return f"""SELECT load_id, line_no, list_transform(string_split(header, '{d}'), lambda x: lower(trim(x, ' \t"'))) AS names,
+        return f"""SELECT load_id, table_name, line_no, list_transform(string_split(header, '{d}'), lambda x: lower(trim(x, ' \t"'))) AS names,
   regexp_full_match(line, '{one}(?:{e}{one})*') AS quoted, regexp_extract_all('{d}' || line, '{cell}', 1) AS cells FROM paired WHERE {where}"""
 
     return f"""
@@ -184,20 +184,29 @@ lines AS (SELECT load_id, table_name, line_no, regexp_replace(regexp_replace(raw
 heads AS (SELECT load_id, table_name, min(line_no) AS header_no, arg_min(line, line_no) AS header FROM lines GROUP BY 1, 2),
 paired AS (SELECT l.*, h.header FROM lines l JOIN heads h ON l.load_id = h.load_id AND l.table_name = h.table_name WHERE l.line_no > h.header_no),
 split AS ({member('$', "NOT starts_with(table_name, 'aact_')")} UNION ALL {member('|', "starts_with(table_name, 'aact_')")}),
-plain AS (SELECT load_id, line_no, names, quoted, list_transform(cells, lambda x: trim(CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END, ' \t')) AS cells FROM split)"""
+plain AS (SELECT load_id, table_name, line_no, names, quoted, list_transform(cells, lambda x: trim(CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END, ' \t')) AS cells FROM split)"""
 
 
-def p6_found() -> str:
+def _bad() -> str:
     real = "len(v) = 8 AND regexp_full_match(v, '(19[0-9]{2}|20[0-9]{2}|2100)[0-9]{4}') AND try_strptime(v, '%Y%m%d') IS NOT NULL OR regexp_full_match(v, '(19[0-9]{2}|20[0-9]{2}|2100)((0[1-9]|1[0-2]))?')"
     return f"""
 WITH {_judged()},
 cells AS (SELECT load_id, line_no, unnest(names) AS n, unnest(cells) AS v FROM plain WHERE quoted AND len(names) = len(cells)),
 bad AS (SELECT DISTINCT load_id, line_no FROM cells WHERE (n IN ('primaryid', 'caseid', 'id') AND NOT regexp_full_match(v, '[0-9]+')) OR (n = 'nct_id' AND NOT regexp_full_match(v, 'NCT[0-9]{{8}}')) OR (ends_with(n, '_dt') AND v <> '' AND NOT ({real})))
+"""
+
+
+P6_FOUND = f"""{_bad()}
 SELECT load_id, line_no, 'quoting' AS cause FROM plain WHERE NOT quoted
 UNION ALL SELECT load_id, line_no, 'columns' FROM plain WHERE quoted AND len(names) <> len(cells)
 UNION ALL SELECT load_id, line_no, 'value' FROM bad
 """
 
+P6_LOADED = f"""{_bad()}
+SELECT load_id, table_name, line_no, to_json(map(names, list_transform(cells, lambda x: nullif(x, ''))))::VARCHAR AS fields FROM plain
+WHERE quoted AND len(names) = len(cells) AND (load_id, line_no) NOT IN (SELECT (load_id, line_no) FROM bad)
+"""
+
 
 SQL = {
     "p1_found": p1_found(),
@@ -213,5 +222,6 @@ SQL = {
     "p3_cascade": P3_CASCADE,
     "p4_found": p4_found(),
     "p4_fields": p4_fields(),
-    "p6_found": p6_found(),
+    "p6_found": P6_FOUND,
+    "p6_loaded": P6_LOADED,
 }
