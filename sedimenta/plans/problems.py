@@ -23,12 +23,22 @@ DEMO_ATTRIBUTES = ("i_f_code", "rept_cod", "mfr_num", "mfr_sndr", "age", "age_co
 # ---------------------------------------------------------------- 1 nested records
 
 
-def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    applications = shred.shred(table(spark, sf, "openfda_drugsfda"), "record_id", ["products", "submissions"], APPLICATION_LAYOUT, with_fields=False)
+def _shredded(spark: SparkSession, sf: str, with_fields: bool) -> DataFrame:
+    """Every object of every list of both sources, with its source_table."""
+    applications = shred.shred(table(spark, sf, "openfda_drugsfda"), "record_id", ["products", "submissions"], APPLICATION_LAYOUT, with_fields)
     payloads = spread(table(spark, sf, "documents").select("doc_id", "structured").where(F.col("structured").isNotNull()))
-    documents = shred.shred(payloads, "doc_id", "structured", PAYLOAD_LAYOUT, with_fields=False)
-    named = applications.withColumn("source_table", F.lit("openfda_drugsfda")).unionByName(documents.withColumn("source_table", F.lit("documents")))
-    return named.select("source_table", "record_key", "path", "parent_pos", "pos")
+    documents = shred.shred(payloads, "doc_id", "structured", PAYLOAD_LAYOUT, with_fields)
+    return applications.withColumn("source_table", F.lit("openfda_drugsfda")).unionByName(documents.withColumn("source_table", F.lit("documents")))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _shredded(spark, sf, False).select("source_table", "record_key", "path", "parent_pos", "pos")
+
+
+def p1_values(spark: SparkSession, sf: str) -> DataFrame:
+    """All five flat tables with every value they hold: products, ingredients, submissions, application documents and event drugs."""
+    cells = _shredded(spark, sf, True).select("source_table", "record_key", "path", "parent_pos", "pos", F.explode("fields").alias("field", "value"))
+    return cells.where(F.col("value").isNotNull())
 
 
 def p1_ingredients(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,4 +203,4 @@ def p6_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return judged.where(F.col("cause").isNull()).select("load_id", "table_name", "line_no", F.to_json("values").alias("fields"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ingredients, p1_ingredients_all, p2_found, p2_history, p2_store, p2_append, p2_asof, p3_found, p3_orphans, p3_tree, p3_cascade, p4_found, p4_fields, p6_found, p6_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_ingredients, p1_ingredients_all, p2_found, p2_history, p2_store, p2_append, p2_asof, p3_found, p3_orphans, p3_tree, p3_cascade, p4_found, p4_fields, p6_found, p6_loaded)}

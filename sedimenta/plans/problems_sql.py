@@ -10,7 +10,8 @@ from sedimenta.plans.problems import AS_OF, DEMO_ATTRIBUTES
 _OPEN = "CASE WHEN json_type({0}) = 'VARCHAR' AND json_valid({0} ->> '$') THEN json({0} ->> '$') ELSE {0} END"
 
 
-def p1_found() -> str:
+def _p1_rows() -> str:
+    """Common table expressions with every object of every list: top_rows, sub_rows (JSON), prods, subm, ings, apps (typed)."""
     once = lambda x: _OPEN.format(x)
 
     def layers(source: str, keep: str) -> str:
@@ -37,6 +38,10 @@ prods AS (SELECT record_id, unnest(products) AS p, generate_subscripts(products,
 subm AS (SELECT record_id, unnest(submissions) AS s, generate_subscripts(submissions, 1) - 1 AS pos FROM openfda_drugsfda),
 ings AS (SELECT record_id, pos AS parent_pos, unnest(p.active_ingredients) AS x, generate_subscripts(p.active_ingredients, 1) - 1 AS pos FROM prods),
 apps AS (SELECT record_id, pos AS parent_pos, unnest(s.application_docs) AS x, generate_subscripts(s.application_docs, 1) - 1 AS pos FROM subm)
+"""
+
+
+P1_FOUND = f"""{_p1_rows()}
 SELECT 'documents' AS source_table, record_key, path, parent_pos::INT AS parent_pos, pos::INT AS pos FROM (SELECT record_key, path, parent_pos, pos FROM top_rows UNION ALL SELECT record_key, path, parent_pos, pos FROM sub_rows)
 UNION ALL SELECT 'openfda_drugsfda', record_id, 'products', -1, pos::INT FROM prods WHERE p IS NOT NULL
 UNION ALL SELECT 'openfda_drugsfda', record_id, 'submissions', -1, pos::INT FROM subm WHERE s IS NOT NULL
@@ -44,6 +49,26 @@ UNION ALL SELECT 'openfda_drugsfda', record_id, 'products.active_ingredients', p
 UNION ALL SELECT 'openfda_drugsfda', record_id, 'submissions.application_docs', parent_pos::INT, pos::INT FROM apps WHERE x IS NOT NULL
 """
 
+#: Leaves of every list, and where its typed objects are.
+_LEAVES = {
+    "products": ("prods", "p", "-1", ("product_number", "brand_name", "dosage_form", "route", "marketing_status")),
+    "submissions": ("subm", "s", "-1", ("submission_type", "submission_number", "submission_status", "submission_status_date", "submission_class_code_description")),
+    "products.active_ingredients": ("ings", "x", "parent_pos", ("name", "strength")),
+    "submissions.application_docs": ("apps", "x", "parent_pos", ("id", "date", "type")),
+    "drugs": (None, None, None, ("name", "role", "indication", "authorization_number")),
+}
+
+
+def p1_values() -> str:
+    parts = []
+    for path, (typed, x, parent, leaves) in _LEAVES.items():
+        rows = "sub_rows" if "." in path else "top_rows"
+        for leaf in leaves:
+            parts.append(f"SELECT 'documents' AS source_table, record_key, path, parent_pos::INT AS parent_pos, pos::INT AS pos, '{leaf}' AS field, v ->> '$.{leaf}' AS value FROM {rows} WHERE path = '{path}'")
+            if typed:
+                parts.append(f"SELECT 'openfda_drugsfda', record_id, '{path}', {parent}::INT, pos::INT, '{leaf}', {x}.{leaf} FROM {typed} WHERE {x} IS NOT NULL")
+    return f"{_p1_rows()} SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE value IS NOT NULL"
+
 
 P1_INGREDIENTS = """
 WITH prods AS (SELECT record_id, unnest(products) AS p FROM openfda_drugsfda),
@@ -209,7 +234,8 @@ WHERE quoted AND len(names) = len(cells) AND (load_id, line_no) NOT IN (SELECT (
 
 
 SQL = {
-    "p1_found": p1_found(),
+    "p1_found": P1_FOUND,
+    "p1_values": p1_values(),
     "p1_ingredients": P1_INGREDIENTS,
     "p2_found": p2(("i_f_code",)),
     "p2_history": p2(DEMO_ATTRIBUTES),
