@@ -45,6 +45,11 @@ def key_state(events: DataFrame) -> DataFrame:
     return hashed.groupBy("key_hash").agg(F.max(F.struct("created_at", *rest)).alias("r")).select("key_hash", F.left("key_hash", F.lit(12)).alias("key_id"), "r.*")
 
 
+def list_keys(events: DataFrame, now: Column) -> DataFrame:
+    """(key_id, plan, active, since): every key by the first letters of its digest, newest first; keys themselves are never stored."""
+    return key_state(events).select("key_id", "plan", "active", age_of(F.col("created_at"), now).alias("since"), "created_at").orderBy(F.desc("created_at"), "key_id").drop("created_at")
+
+
 def decide_access(calls: DataFrame, keys: DataFrame, used: DataFrame, limits: dict[str, int | None], default: str, exempt: tuple[str, ...] = (), restricted: tuple[str, ...] = (), may_restricted: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``reason`` to calls (tool, key): null if allowed, else missing_key, invalid_key, not_permitted or rate_limit, the first that holds.
 

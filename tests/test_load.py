@@ -131,3 +131,22 @@ def test_command_line_checks():
     with pytest.raises(argparse.ArgumentTypeError):
         cli.quarter("2024Q5")
     assert cli.previous_month(dt.date(2024, 1, 15)) == "2023-12-01"
+
+
+def test_command_line_refresh_search_and_keys(spark, tmp_path, capsys):
+    import json
+
+    landing = tmp_path / "land"
+    landing.mkdir()
+    trial = {"protocolSection": {"identificationModule": {"nctId": "NCT1", "briefTitle": "Treated asthma"}, "statusModule": {"lastUpdateSubmitDate": "2024-01-01"}}}
+    (landing / "1.json").write_text(json.dumps(trial))
+    home = ["--warehouse", str(tmp_path / "w")]
+    assert cli.main([*home, "search", "asthma"], spark) == 1
+    assert cli.main([*home, "refresh", f"clinical={landing}"], spark) == 0 and cli.main([*home, "refresh", f"clinical={landing}", "--full"], spark) == 0
+    assert cli.main([*home, "search", "asthma treatment or treating", "-k", "3"], spark) == 0
+    assert "NCT1" in capsys.readouterr().out
+    assert cli.main([*home, "keys", "issue", "--plan", "big"], spark) == 0
+    key = capsys.readouterr().out.strip()
+    assert cli.main([*home, "keys", "list"], spark) == 0 and "big active" in capsys.readouterr().out
+    assert cli.main([*home, "keys", "revoke", "--key", key], spark) == 0 and cli.main([*home, "keys", "revoke", "--key", key], spark) == 1
+    assert cli.main([*home, "keys", "list"], spark) == 0 and "big revoked" in capsys.readouterr().out

@@ -224,6 +224,32 @@ def test_refresh_takes_new_files_once_and_upserts(spark, tmp_path):
     (landing / "2.json").write_text(trial("NCT2", "two again", "2020-01-01") + "\n" + trial("NCT3", "three"))
     assert go() == 1
     assert {r["doc_id"]: r["title"] for r in store.all().collect()} == {"NCT1": "one", "NCT2": "two again", "NCT3": "three"}
+    assert streaming.refresh(spark, store, "clinical", str(landing), str(tmp_path / "cp"), as_of, full=True) == 1
+    assert {r["doc_id"]: r["title"] for r in store.all().collect()} == {"NCT1": "one", "NCT2": "two again", "NCT3": "three"}
+    state = store.state().first()
+    assert state["status"] == "success" and state["last_success"] is not None and go() == 0
+
+
+def test_store_grows_its_buckets_and_tidies(spark, tmp_path):
+    store = streaming.DocumentStore(spark, str(tmp_path / "docs"), buckets=2, rows_per_bucket=10)
+    docs = lambda a, b: spark.createDataFrame([("s", f"d{i}", a, i) for i in range(a, b)], "source_id string, doc_id string, title int, arrived int")
+    for step in range(5):
+        store.put("s", docs(step * 15, step * 15 + 20), ["arrived"])
+    got = {r["doc_id"]: r["title"] for r in store.read("s").collect()}
+    assert got == {f"d{i}": min(i // 15, 4) * 15 for i in range(80)}
+    pointer = store.pointer("s")
+    assert pointer.number == 5 and pointer.buckets == 8 and pointer.rows == 80
+    names = store._names(f"{store.path}/s")
+    assert len([n for n in names if n.startswith("POINTER-")]) == 2 and "v1" not in names
+    with pytest.raises(RuntimeError):
+        store._publish("s", pointer)
+
+
+def test_errors_leave_an_event(spark, tmp_path):
+    store = streaming.DocumentStore(spark, str(tmp_path / "docs"))
+    out = streaming.refresh_all(spark, store, {"clinical": str(tmp_path / "nowhere")}, str(tmp_path / "cp"), dt.datetime(2024, 1, 1))
+    assert out["clinical"].startswith("error") and store.state().first()["status"] == "error"
+    assert streaming.append_calls(spark, str(tmp_path / "calls"), [{"tool": "t"}]) and not streaming.append_calls(spark, "nofs://x/y", [{"tool": "t"}])
 
 
 def test_a_failed_batch_is_replayed(spark, tmp_path):
