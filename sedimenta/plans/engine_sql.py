@@ -201,6 +201,7 @@ SELECT query_id{label}, doc_id, round(s, 6) AS similarity, place::INT AS place F
     FROM embeddings q JOIN embeddings d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id)) WHERE place <= {k}"""
 
 
+_WORDS = r"[^\p{L}\p{N}]+"
 _TERMS = "list_filter(regexp_split_to_array(lower(concat_ws(' ', title, text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _RANK = "round(sum(1.0 + ln(tf)) / (1.0 + ln(1.0 + max(length))), 9)"
 
@@ -301,9 +302,12 @@ FROM (SELECT source || '/' || table_name AS source, status, notes, started_at, s
 """
 
 RETRIEVAL_EVAL = f"""
-WITH res AS ({_knn(10, False)}), own AS ({_knn(1, True)}),
-gold AS (SELECT o.query_id, o.doc_id FROM own o JOIN embeddings e ON e.vec_id = o.query_id AND e.label::VARCHAR = o.label),
-f AS (SELECT g.query_id, min(r.place) AS place FROM gold g LEFT JOIN res r ON g.query_id = r.query_id AND g.doc_id = r.doc_id GROUP BY 1)
+WITH {_index("SELECT doc_id, source, NULL::VARCHAR AS title, text FROM documents")},
+q AS (SELECT doc_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(title, '')), '{_WORDS}'), lambda x: x <> '')) AS t FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL),
+wanted AS (SELECT query_id, len(t) AS wanted, unnest(t) AS term FROM q),
+met AS (SELECT query_id, doc_id, {_RANK} AS rank FROM postings JOIN wanted USING (term) GROUP BY query_id, doc_id HAVING count(*) = max(wanted)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, doc_id) AS place FROM met),
+f AS (SELECT q.query_id, min(place) AS place FROM q LEFT JOIN placed p ON p.query_id = q.query_id AND p.doc_id = q.query_id AND place <= 10 WHERE len(t) > 0 GROUP BY 1)
 SELECT count(*)::BIGINT AS questions, {", ".join(f"round(avg(CASE WHEN place <= {k} THEN 1.0 ELSE 0.0 END), 6) AS hit_{k}" for k in (1, 3, 5, 10))}, round(avg(coalesce(1.0 / place, 0.0)), 6) AS mrr FROM f
 """
 

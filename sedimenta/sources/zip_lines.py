@@ -14,10 +14,14 @@ from __future__ import annotations
 import os
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CHUNK = 1 << 20
+BATCH = 8192
 
 
 class Member(InputPartition):
@@ -36,16 +40,23 @@ def find_member(names: list[str], wanted: str) -> str | None:
 
 
 def member_lines(archive: str, member: str) -> Iterator[tuple[int, str]]:
-    """(line_no, line) of a member, held in memory a chunk at a time."""
-    with zipfile.ZipFile(archive) as z, z.open(member) as stream:
-        number, rest = 0, b""
-        while chunk := stream.read(CHUNK):
-            *whole, rest = (rest + chunk).split(b"\n") if b"\n" in chunk else [rest + chunk]
-            for raw in whole:
-                number += 1
-                yield number, _text(raw, number)
-        if rest:
-            yield number + 1, _text(rest, number + 1)
+    """(line_no, line) of a member, held in memory a chunk at a time; a line longer than a chunk is put together once."""
+    with zipfile.ZipFile(archive) as z:
+        if z.getinfo(member).compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            raise ValueError(f"{member} in {archive} is neither stored nor deflated")
+        with z.open(member) as stream:
+            number, rest = 0, []
+            while chunk := stream.read(CHUNK):
+                first, *more = chunk.split(b"\n")
+                rest.append(first)
+                if more:
+                    *whole, last = [b"".join(rest), *more]
+                    for raw in whole:
+                        number += 1
+                        yield number, _text(raw, number)
+                    rest = [last] if last else []
+            if tail := b"".join(rest):
+                yield number + 1, _text(tail, number + 1)
 
 
 def _text(raw: bytes, number: int) -> str:
@@ -72,9 +83,12 @@ class ZipLinesReader(DataSourceReader):
             out += [Member(archive, m) for m in wanted if m]
         return out
 
-    def read(self, partition: Member) -> Iterator[tuple]:
-        for number, line in member_lines(partition.archive, partition.member):
-            yield partition.archive, partition.member, number, line
+    def read(self, partition: Member) -> Iterator[pa.RecordBatch]:
+        lines = member_lines(partition.archive, partition.member)
+        while batch := list(islice(lines, BATCH)):
+            numbers, texts = zip(*batch)
+            n = len(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([partition.archive] * n), pa.array([partition.member] * n), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], names=["archive", "member", "line_no", "line"])
 
 
 class ZipLines(DataSource):
