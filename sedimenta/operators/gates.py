@@ -36,8 +36,9 @@ def grain_profile(df: DataFrame, key: Sequence[str], name: str, unique: bool = F
 
     Rows are first counted per (key, 96-bit row hash), map-side, then per key; no row content is shuffled.
     """
-    cells = [x for c in df.columns for x in (F.col(c), F.col(c).isNull())]
-    hashed = df.select(*key, F.struct(F.xxhash64(*cells), F.hash(*cells)).alias("_row"))
+    # hashes pass over nulls, so which columns are null is hashed too
+    masks = [sum((F.when(F.col(c).isNull(), 1 << i).otherwise(0).cast("bigint") for i, c in enumerate(df.columns[k : k + 60])), F.lit(0).cast("bigint")) for k in range(0, len(df.columns), 60)]
+    hashed = df.select(*key, F.struct(F.xxhash64(*df.columns, *masks), F.hash(*df.columns, *masks)).alias("_row"))
     per_row = hashed.groupBy(*key, "_row").agg(F.count("*").alias("_n"))
     per_key = per_row.groupBy(*key).agg(F.sum("_n").alias("n"), F.count("*").alias("d"))
     whole = per_key.agg(
