@@ -1,7 +1,8 @@
 """Scalar conversions and small text expressions, all as JVM-side columns.
 
 Every function takes and returns columns; what cannot be read becomes null unless stated otherwise.
-White space means Unicode white space, as the sources strip it.
+White space means Unicode white space, as the sources strip it. ``clean`` says that a column is trimmed and not empty already, which
+keeps the pattern out of the plan.
 """
 
 from __future__ import annotations
@@ -25,17 +26,22 @@ def clean_field(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-def partial_date(c: Column) -> tuple[Column, Column, Column]:
+def day_of_digits(c: Column) -> Column:
+    """Date of eight digits yyyymmdd; null if there is no such day."""
+    return F.concat_ws("-", F.substring(c, 1, 4), F.substring(c, 5, 2), F.substring(c, 7, 2)).try_cast("date")
+
+
+def partial_date(c: Column, clean: bool = False) -> tuple[Column, Column, Column]:
     """(raw, precision, exact) of a date that may hold 8, 6 or 4 digits.
 
     precision is day, month, year or invalid, null for a blank; only a day gives an exact date. Years run from 1900 to 2100.
     """
-    raw = clean_field(c)
+    raw = c if clean else clean_field(c)
     year_ok = F.substring(raw, 1, 4).try_cast("int").between(1900, 2100)
     month_ok = F.substring(raw, 5, 2).try_cast("int").between(1, 12)
     digits = raw.rlike("^[0-9]+$")
     n = F.length(raw)
-    exact = F.when(digits & (n == 8) & year_ok, F.try_to_timestamp(raw, F.lit("yyyyMMdd")).cast("date"))
+    exact = F.when(digits & (n == 8) & year_ok, day_of_digits(raw))
     prec = (
         F.when(raw.isNull(), None)
         .when(exact.isNotNull(), "day")
@@ -46,36 +52,36 @@ def partial_date(c: Column) -> tuple[Column, Column, Column]:
     return raw, prec, exact
 
 
-def iso_date(c: Column) -> Column:
+def iso_date(c: Column, clean: bool = False) -> Column:
     """Date from the first ten characters."""
-    head = F.substring(strip(c), 1, 10)
-    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(head, F.lit("yyyy-MM-dd")).cast("date"))
+    head = F.substring(c if clean else strip(c), 1, 10)
+    return F.when(head.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), head.try_cast("date"))
 
 
-def iso_timestamp(c: Column) -> Column:
+def iso_timestamp(c: Column, clean: bool = False) -> Column:
     """Timestamp; text without zone is UTC (the session's zone is pinned to it)."""
-    return strip(c).try_cast("timestamp")
+    return (c if clean else strip(c)).try_cast("timestamp")
 
 
-def integer(c: Column) -> Column:
+def integer(c: Column, clean: bool = False) -> Column:
     """Whole number; a decimal is cut towards zero; infinities and words are null."""
-    text = strip(c)
+    text = c if clean else strip(c)
     return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
 
 
-def number(c: Column) -> Column:
-    return strip(c).try_cast("double")
+def number(c: Column, clean: bool = False) -> Column:
+    return (c if clean else strip(c)).try_cast("double")
 
 
-def boolean(c: Column) -> Column:
-    word = F.lower(strip(c))
+def boolean(c: Column, clean: bool = False) -> Column:
+    word = F.lower(c if clean else strip(c))
     return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 
 def compact_day(c: Column) -> Column:
     """Timestamp of a yyyymmdd day."""
     text = strip(c)
-    return F.when(text.rlike("^[0-9]{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+    return F.when(text.rlike("^[0-9]{8}$"), day_of_digits(text).cast("timestamp"))
 
 
 def day_or_month(c: Column) -> Column:

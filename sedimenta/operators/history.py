@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimenta.functions.scalars import day_of_digits
 from sedimenta.session import cut
 
 BLOCK = 1024
@@ -47,11 +48,12 @@ def latest_delivery(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 def start_of(raw: Column, prec: Column, exact: Column, quarter: Column) -> Column:
     """First day that a partial date can mean, else the first day of the quarter like ``2024Q3``."""
     digits = F.trim(raw)
-    of_quarter = F.try_to_timestamp(
-        F.concat(F.substring(quarter, 1, 4), F.lpad((F.substring(quarter, 6, 1).try_cast("int") * 3 - 2).cast("string"), 2, "0"), F.lit("01")), F.lit("yyyyMMdd")
-    ).cast("date")
-    partial = F.when(prec == "day", exact).when(prec == "month", F.try_to_timestamp(F.concat(digits, F.lit("01")), F.lit("yyyyMMdd")).cast("date")).when(
-        prec == "year", F.try_to_timestamp(F.concat(digits, F.lit("0101")), F.lit("yyyyMMdd")).cast("date")
+    month = F.lpad((F.substring(quarter, 6, 1).try_cast("int") * 3 - 2).cast("string"), 2, "0")
+    of_quarter = F.concat(F.substring(quarter, 1, 4), F.lit("-"), month, F.lit("-01")).try_cast("date")
+    partial = (
+        F.when(prec == "day", exact)
+        .when(prec == "month", day_of_digits(F.concat(digits, F.lit("01"))))
+        .when(prec == "year", day_of_digits(F.concat(digits, F.lit("0101"))))
     )
     return F.coalesce(partial, of_quarter)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sedimenta.functions.scalars import strip
-from sedimenta.session import cut
+from sedimenta.session import cut, spread
 from sedimenta.sources import delimited
 from sedimenta.sources.tables import TableSpec
 
@@ -83,7 +83,8 @@ class Warehouse:
         run = self.open_run(source, partition, spec.table)
         base = {"id": run, "source": source, "partition": partition, "table_name": spec.table, "started_at": dt.datetime.now()}
         try:
-            parsed = cut(delimited.parse(lines, spec, ["archive", "member"], limit))
+            # a member is read by one task; its lines are parsed by all
+            parsed = cut(delimited.parse(spread(lines), spec, ["archive", "member"], limit))
             counts = parsed.agg(F.count("*").alias("read"), F.count("reason").alias("rejected")).first()
             good = delimited.loadable(parsed).select(F.lit(partition).alias(spec.partition), *[c for c in spec.names if c != spec.partition])
             if good.isEmpty():

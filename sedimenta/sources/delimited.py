@@ -46,11 +46,16 @@ def parse(lines: DataFrame, spec: TableSpec, member: list[str], limit: int | Non
 
         order = Window.partitionBy(*member).orderBy("line_no")
         split = split.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
-    cell = F.map_from_arrays(F.col("header"), F.slice(F.concat("fields", F.array_repeat(F.lit(None).cast("string"), F.size("header"))), 1, F.size("header")))
+    n = F.size("header")
+    cell = F.map_from_arrays(F.col("header"), F.slice(F.concat("fields", F.array_repeat(F.lit(None).cast("string"), n)), F.lit(1), n))
     split = split.withColumn("_cells", F.when(F.col("reason").isNull(), cell))
-    field = lambda name: F.col("_cells")[name]
+    # a generator of one row keeps the cells from being written into every expression that reads them
+    texts = F.struct(F.try_element_at("fields", F.lit(1)).alias("key_hint"), F.col("reason").alias("reason"), *[F.col("_cells")[name].alias(f"c{i}") for i, (name, _) in enumerate(spec.columns)])
+    told = split.select(*member, "line_no", "line", F.explode(F.array(texts)).alias("_t")).select(*member, "line_no", "line", "_t.*")
+    place = {name: f"c{i}" for i, (name, _) in enumerate(spec.columns)}
+    field = lambda name: F.col(place[name])
     reason = F.coalesce(F.col("reason"), spec.identity_problem(field))
-    return split.select(*member, "line_no", "line", F.try_element_at("fields", F.lit(1)).alias("key_hint"), reason.alias("reason"), *spec.build(field))
+    return told.select(*member, "line_no", "line", "key_hint", reason.alias("reason"), *spec.build(field))
 
 
 def loadable(parsed: DataFrame) -> DataFrame:

@@ -40,12 +40,12 @@ class TableSpec:
         return out
 
     def build(self, field) -> list[Column]:
-        """Typed columns; ``field(name)`` is the trimmed text of a column."""
+        """Typed columns; ``field(name)`` is the trimmed text of a column, null if empty."""
         out: list[Column] = []
         for name, kind in self.columns:
             raw = field(name)
             if kind == "partial":
-                text, prec, exact = scalars.partial_date(raw)
+                text, prec, exact = scalars.partial_date(raw, clean=True)
                 out += [text.alias(f"{name}_raw"), prec.alias(f"{name}_prec"), exact.alias(name)]
             else:
                 out.append(PARSERS[kind](raw).alias(name))
@@ -56,18 +56,18 @@ class TableSpec:
         raw = field(self.identity)
         if dict(self.columns)[self.identity] in ("bigint", "int"):
             shown = F.coalesce(F.concat(F.lit("'"), raw, F.lit("'")), F.lit("None"))
-            return F.when(scalars.integer(raw).isNull(), F.concat(F.lit(f"{self.identity}="), shown, F.lit(" is not an integer")))
+            return F.when(scalars.integer(raw, clean=True).isNull(), F.concat(F.lit(f"{self.identity}="), shown, F.lit(" is not an integer")))
         return F.when(raw.isNull(), F.lit(f"{self.identity} is empty"))
 
 
 PARSERS = {
     "string": lambda c: c,
-    "bigint": scalars.integer,
-    "int": lambda c: scalars.integer(c).try_cast("int"),
-    "double": scalars.number,
-    "boolean": scalars.boolean,
-    "date": scalars.iso_date,
-    "timestamp": scalars.iso_timestamp,
+    "bigint": lambda c: scalars.integer(c, clean=True),
+    "int": lambda c: scalars.integer(c, clean=True).try_cast("int"),
+    "double": lambda c: scalars.number(c, clean=True),
+    "boolean": lambda c: scalars.boolean(c, clean=True),
+    "date": lambda c: scalars.iso_date(c, clean=True),
+    "timestamp": lambda c: scalars.iso_timestamp(c, clean=True),
 }
 
 
