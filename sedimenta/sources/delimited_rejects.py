@@ -26,7 +26,7 @@ import pyarrow.csv as pv
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 64
+SALTS = 16
 BLANK = r"^[\s\x{FEFF}]*$"
 
 

@@ -18,8 +18,9 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_without_sql_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+def test_query_without_sql_finds_rows(spark, sf_dir, name):
+    larger = sf_dir.replace("sf0.001", "sf0.01")  # the smallest tables hold no match for every written query
+    assert QUERIES[name](spark, larger).count() > 0
 
 
 def test_entry_has_rows(spark):
