@@ -104,8 +104,8 @@ def evidence(questions: DataFrame, articles: DataFrame, k: int = 8) -> DataFrame
 
     ``questions`` has (query_id, question), ``articles`` (doc_id, body, terms); both are embedded alike.
     """
-    asked = embed_column(questions.select("query_id", "question"), "query_id", "question")
-    rows = embed_column(articles.select("doc_id", "body"), "doc_id", "body")
+    asked = cut(embed_column(questions.select("query_id", "question"), "query_id", "question"))
+    rows = cut(embed_column(articles.select("doc_id", "body"), "doc_id", "body"))  # read by both scans and the join of pairs
     words = questions.select("query_id", F.array_distinct(analysis.plain_terms(F.col("question"))).alias("t"))
     stop = F.array(*[F.lit(w) for w in sorted(analysis.STOP_WORDS)])
     words = words.select("query_id", F.array_except("t", stop).alias("t")).select("query_id", F.size("t").alias("wanted"), F.explode("t").alias("term"))
