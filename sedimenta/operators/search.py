@@ -173,6 +173,17 @@ def _unit(batch: list) -> tuple[np.ndarray, np.ndarray]:
     return m[good] / size[good, None], np.array([r["q"] for r in batch], np.int64)[good]
 
 
+def _likely(s: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of each row that can be among its k best, ties at the k-th kept; rows are filled up with lesser ones."""
+    if s.shape[1] <= 4 * k:
+        return s, own
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    mask = s >= least[:, None]
+    most = int(mask.sum(axis=1).max())
+    keep = np.argsort(~mask, axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(s, keep, 1), np.take_along_axis(own, keep, 1)
+
+
 def _scan(sent, k: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, names = sent.value
@@ -190,6 +201,7 @@ def _scan(sent, k: int, exclude_self: bool):
                         s = np.where(own == names[begin : begin + AT_ONCE, None], -np.inf, s)
                     if (begin, w) in best:
                         s, own = np.hstack([best[begin, w][0], s]), np.hstack([best[begin, w][1], own])
+                    s, own = _likely(s, own, k)
                     order = np.lexsort((own, -s), axis=1)[:, :k]
                     best[begin, w] = np.take_along_axis(s, order, 1), np.take_along_axis(own, order, 1)
         for (begin, w), (s, own) in best.items():

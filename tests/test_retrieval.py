@@ -31,6 +31,17 @@ def test_nearest_equals_brute_force_in_blocks(spark):
     assert search.nearest(queries.limit(0), df, 2).count() == 0 and search.nearest(queries, df.limit(0), 2).count() == 0
 
 
+def test_likely_columns_hold_the_best_with_all_ties():
+    rng = np.random.default_rng(9)
+    s, own = rng.integers(0, 6, (7, 90)).astype(float), np.tile(rng.permutation(90), (7, 1))
+    s[0] = 3.0
+    order = np.lexsort((own, -s), axis=1)[:, :5]
+    x, y = search._likely(s, own, 5)
+    again = np.lexsort((y, -x), axis=1)[:, :5]
+    assert (np.take_along_axis(own, order, 1) == np.take_along_axis(y, again, 1)).all()
+    assert search._likely(s[:, :9], own[:, :9], 5)[0].shape == (7, 9)
+
+
 def test_exact_places_of_pairs(spark):
     rng = np.random.default_rng(2)
     data = [(i, rng.normal(size=4).tolist()) for i in range(80)] + [(90, None), (91, [0.0] * 4)]
