@@ -215,10 +215,36 @@ def _scan(sent, k: int, exclude_self: bool):
 # ---------------------------------------------------------------- full text
 
 
-def postings(docs: DataFrame, key: str, terms: str, only: list[str] | None = None) -> DataFrame:
-    """Inverted index: (term, key, tf, length) of every document; for a few known terms, only theirs is built."""
+#: Places of the table that tells which terms may be wanted; a byte each, however many terms there are.
+PLACES = 1 << 20
+
+
+def _place(term: str):
+    return F.pmod(F.xxhash64(term), F.lit(PLACES)).cast("int")
+
+
+def _places_of(terms: DataFrame) -> DataFrame:
+    """One row and column: a byte for every place, 1 where one of the terms falls."""
+    at = terms.select((_place("term") + 1).alias("p"))
+    bits = at.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    table = np.zeros(PLACES, np.uint8)
+    for b, m in bits.collect():
+        part = np.unpackbits(np.frombuffer(bytes(m), np.uint8), bitorder="little")
+        begin = (b - 1) * len(part)
+        table[begin : begin + len(part)] = part[: PLACES - begin]
+    return terms.sparkSession.createDataFrame([(bytearray(table.tobytes()),)], "places binary")
+
+
+def postings(docs: DataFrame, key: str, terms: str, only: list[str] | None = None, among: DataFrame | None = None) -> DataFrame:
+    """Inverted index: (term, key, tf, length) of every document; for a few known terms, only theirs is built.
+
+    ``among`` has any number of wanted terms (column ``term``): all of theirs are built, and of others hardly any, which are left out
+    before the shuffle by a table of bounded size.
+    """
     kept = F.col(terms) if only is None else F.filter(terms, lambda t: t.isin(only))
     exploded = docs.select(key, F.size(terms).alias("length"), F.explode(kept).alias("term"))
+    if among is not None:
+        exploded = exploded.where(F.substring(_places_of(among).scalar(), _place("term") + 1, F.lit(1)) == F.lit(bytearray(b"\x01")))
     return exploded.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions import scalars, text, vectors
 from sedimenta.operators import cases, context, gates, load, search, status
 from sedimenta.operators.orphans import Reference, profile
-from sedimenta.session import table
+from sedimenta.session import cut, table
 from sedimenta.sources import delimited, records
 from sedimenta.sources.tables import TableSpec, spec_of
 
@@ -373,7 +373,8 @@ def retrieval_eval(spark: SparkSession, sf: str) -> DataFrame:
     bodies = docs.select("doc_id", text.plain_terms(F.col("text")).alias("terms"))
     sought = docs.where((F.col("doc_id") % 20 == 0) & F.col("text").isNotNull()).select(F.col("doc_id").alias("query_id"), F.array_distinct(text.plain_terms(F.col("title"))).alias("q")).where(F.size("q") > 0)
     words = sought.select("query_id", F.size("q").alias("wanted"), F.explode("q").alias("term"))
-    ranked = search.top(search.term_matches(search.postings(bodies, "doc_id", "terms"), words, "doc_id", True), 10, "rank", "doc_id", ["query_id"])
+    index = cut(search.postings(bodies, "doc_id", "terms", among=words))
+    ranked = search.top(search.term_matches(index, words, "doc_id", True), 10, "rank", "doc_id", ["query_id"])
     return status.retrieval_scores(ranked.select("query_id", "doc_id", "place"), sought.select("query_id", F.col("query_id").alias("doc_id")))
 
 

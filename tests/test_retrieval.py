@@ -133,6 +133,16 @@ def test_all_terms_through_the_rarest_equals_brute_force(spark):
     assert some == {(q, d) for q, ts in asked.items() for d, have in docs.items() if set(ts) & set(have)}
 
 
+def test_postings_among_wanted_terms(spark):
+    docs = spark.createDataFrame([(i, [f"w{i % 50}", f"w{i % 7}", f"rare{i}", f"w{i % 7}"]) for i in range(300)] + [(300, None)], "doc_id int, terms array<string>")
+    wanted = spark.createDataFrame([(f"w{i}",) for i in range(9)] + [("nowhere",), (None,)], "term string")
+    whole, some = search.postings(docs, "doc_id", "terms"), search.postings(docs, "doc_id", "terms", among=wanted)
+    held = lambda df: sorted(map(tuple, df.join(wanted, "term", "left_semi").collect()))
+    assert held(some) == held(whole)
+    assert some.count() < whole.count() / 2
+    assert search.postings(docs, "doc_id", "terms", among=wanted.limit(0)).count() == 0
+
+
 def test_profiles_take_so_many_of_each_source(spark):
     docs = spark.createDataFrame([(i, s, ["drug", "x"]) for s in ("a", "b", "c") for i in range(hash(s) % 97 * 100, hash(s) % 97 * 100 + 9)], "doc_id bigint, source string, terms array<string>")
     names = spark.createDataFrame([("Drug X", ["drug", "x"]), ("nothing", ["q"]), ("", [])], "name string, terms array<string>")
