@@ -8,8 +8,10 @@ several states share a label, since a table may be ruled or aligned and junk com
 ``WINDOW`` words count as several.
 
 The parameters are estimated from the corpus itself, without labels: ``fit`` starts from ``STATES`` and re-estimates all
-distributions on a bounded sample (``FIT_TEXTS`` texts of up to ``FIT_CHARS`` characters) by Viterbi training, the starting values
-standing for ``PRIOR_LINES`` lines of every state, so that states keep their meaning and rare ones their values.
+distributions on every line of every text by Viterbi training, the starting values standing for ``PRIOR_LINES`` lines of
+every state, so that states keep their meaning and rare ones their values. The statistics of the lines are found once and written
+(11 bytes a line); a round decodes them where they lie and adds up whole numbers (``tally``), so the model depends neither on the order of
+texts nor on how they are divided among tasks.
 
 Lines are decoded with Viterbi for all texts of a batch at once; a text's label follows the shares of its words and lines under
 each label. Words are judged once per batch and distinct word, everything else is array arithmetic.
@@ -29,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.session import cut
+
 MIN_WORDS = 8
 WINDOW = 40
 NEAR = 24
@@ -444,42 +448,60 @@ def viterbi(model: Model, emission: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return states
 
 
-#: The sample that parameters are estimated from, how many rounds, and how many lines the starting values stand for.
-FIT_TEXTS, FIT_CHARS, FIT_ROUNDS, PRIOR_LINES = 2000, 20_000, 4, 200.0
+#: How many rounds parameters are estimated in, and how many lines the starting values stand for.
+FIT_ROUNDS, PRIOR_LINES = 4, 200.0
+#: One more than the most words of a line.
+SIZES = WINDOW + WINDOW // 2 + 1
 
 
-def fit(lines: Lines, rounds: int = FIT_ROUNDS, prior_lines: float = PRIOR_LINES) -> Model:
-    """Viterbi training: decode, then take every distribution from what each state was seen to emit and to be followed by."""
-    prior = model = initial()
-    total = lines.counts.sum(axis=1, keepdims=True)
-    share = lines.counts / np.maximum(total, 1)
-    ends = np.cumsum(lines.lengths)
-    begins = (ends - lines.lengths)[lines.lengths > 0]
-    follows = np.ones(len(lines.counts), bool)
+def tally(model: Model, lines: Lines) -> np.ndarray:
+    """How often lines decoded with a model begin a text in a state (states), move from one to another (states, states), are in
+    one (states), have so many words of a kind by state and words of the line (states, SIZES, kinds) and a shape (states, shapes); in one row."""
+    k, n = len(STATES), len(lines.counts)
+    state = viterbi(model, model.emission(lines), lines.lengths)
+    begins = (np.cumsum(lines.lengths) - lines.lengths)[lines.lengths > 0]
+    follows = np.ones(n, bool)
     follows[begins] = False
-    k = len(STATES)
-    for _ in range(rounds if len(lines.counts) else 0):
-        state = viterbi(model, model.emission(lines), lines.lengths)
-        seen = np.bincount(state, minlength=k)[:, None]
-        by_state = np.zeros((k, len(state)))
-        by_state[state, np.arange(len(state))] = 1
-        start = np.bincount(state[begins], minlength=k) + prior_lines * prior.start
-        moves = np.bincount(state[:-1][follows[1:]] * k + state[1:][follows[1:]], minlength=k * k).reshape(k, k) + prior_lines * prior.transition
-        words = by_state @ share + prior_lines * prior.words
-        shapes = (by_state @ lines.shapes + prior_lines * prior.shapes) / (seen + prior_lines)
-        model = Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), words / words.sum(axis=1, keepdims=True), shapes)
+    cell = state * SIZES + lines.words
+    words = [np.bincount(cell, c, k * SIZES) for c in lines.counts.T]
+    shapes = [np.bincount(state, y, k) for y in lines.shapes.T]
+    moves = np.bincount(state[:-1][follows[1:]] * k + state[1:][follows[1:]], minlength=k * k)
+    parts = [np.bincount(state[begins], minlength=k), moves, np.bincount(state, minlength=k), np.column_stack(words).ravel(), np.column_stack(shapes).ravel()]
+    return np.concatenate(parts).astype(np.int64)
+
+
+def estimate(tallied: np.ndarray, prior_lines: float = PRIOR_LINES) -> Model:
+    """Every distribution from what each state was seen to emit and to be followed by."""
+    prior, k = initial(), len(STATES)
+    start, moves, seen, words, shapes = np.split(tallied, np.cumsum([k, k * k, k, k * SIZES * len(WORD_KINDS)]))
+    start = start + prior_lines * prior.start
+    moves = moves.reshape(k, k) + prior_lines * prior.transition
+    # a line counts once, whatever its words
+    share = (words.reshape(k, SIZES, -1) / np.maximum(np.arange(SIZES), 1)[None, :, None]).sum(axis=1) + prior_lines * prior.words
+    shapes = (shapes.reshape(k, -1) + prior_lines * prior.shapes) / (seen[:, None] + prior_lines)
+    return Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), share / share.sum(axis=1, keepdims=True), shapes)
+
+
+def fit(lines: Lines, rounds: int = FIT_ROUNDS, prior_lines: float = PRIOR_LINES) -> Model:
+    """Viterbi training: decode, then estimate from what was found, and again."""
+    model = initial()
+    for _ in range(rounds):
+        model = estimate(tally(model, lines), prior_lines)
     return model
 
 
 def shares(texts: Sequence[str | None], common: frozenset, model: Model | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Share of words and of lines under each label, as (texts, labels); rows of texts without words are zero."""
-    model = model or initial()
-    lines = line_statistics(texts, common)
+    return shares_of(line_statistics(texts, common), model or initial())
+
+
+def shares_of(lines: Lines, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the statistics of the lines."""
+    n = len(lines.lengths)
     labels = STATE_LABEL[viterbi(model, model.emission(lines), lines.lengths)] if len(lines.counts) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(texts)), lines.lengths)
-    cell = owner * len(LABELS) + labels
-    by_word = np.bincount(cell, lines.words, len(texts) * len(LABELS)).reshape(len(texts), -1)
-    by_line = np.bincount(cell, minlength=len(texts) * len(LABELS)).reshape(len(texts), -1).astype(float)
+    cell = np.repeat(np.arange(n), lines.lengths) * len(LABELS) + labels
+    by_word = np.bincount(cell, lines.words, n * len(LABELS)).reshape(n, -1)
+    by_line = np.bincount(cell, minlength=n * len(LABELS)).reshape(n, -1).astype(float)
     norm = lambda m: m / np.maximum(m.sum(axis=1, keepdims=True), 1)
     return norm(by_word), norm(by_line)
 
@@ -495,27 +517,74 @@ def decide(by_word: np.ndarray, by_line: np.ndarray) -> np.ndarray:
     return np.where(other > NOT_PROSE, 1 + weight[:, 1:].argmax(axis=1), 0)
 
 
-def fit_corpus(body: DataFrame, sent: frozenset) -> Model:
-    """The model of a corpus (key, text, own), from the first FIT_TEXTS texts that are found; no more of the corpus is read for it."""
-    sample = body.where(F.length("text").between(1, FIT_CHARS)).select("text", "own").limit(FIT_TEXTS).collect()
-    return fit(line_statistics([r["text"] for r in sample], sent.union(*(r["own"] for r in sample if r["own"]))))
+def pack(lines: Lines) -> tuple[bytes, bytes]:
+    """Lengths and lines as bytes: a byte for each word count, a bit for each shape."""
+    rows = np.hstack([lines.counts.astype(np.uint8), np.packbits(lines.shapes.astype(bool), axis=1)])
+    return lines.lengths.astype(np.int64).tobytes(), rows.tobytes()
+
+
+def unpack(lengths: bytes, rows: bytes) -> Lines:
+    kinds, shapes = len(WORD_KINDS), len(SHAPES)
+    table = np.frombuffer(rows, np.uint8).reshape(-1, kinds + (shapes + 7) // 8)
+    counts = table[:, :kinds].astype(float)
+    return Lines(counts, np.unpackbits(table[:, kinds:], axis=1, count=shapes).astype(float), np.frombuffer(lengths, np.int64), counts.sum(axis=1).astype(np.int64))
+
+
+def observe(body: DataFrame, sent: frozenset) -> DataFrame:
+    """(keys, lengths, lines): line statistics of all texts of a corpus (key, text, own), up to BATCH texts a row."""
+    kind = body.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts, words in _batches(batch, sent):
+                lengths, lines = pack(line_statistics(texts, words))
+                keys = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([lengths], pa.binary()), pa.array([lines], pa.binary())], names=["keys", "lengths", "lines"])
+
+    return body.mapInArrow(run, f"keys array<{kind}>, lengths binary, lines binary")
+
+
+def fit_corpus(observed: DataFrame, rounds: int = FIT_ROUNDS) -> Model:
+    """The model of a corpus, from all its lines; a few thousand sums a round reach the driver, whatever the number of texts."""
+    model = initial()
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for lengths, lines in zip(batch.column("lengths"), batch.column("lines")):
+                    found = tally(model, unpack(lengths.as_py(), lines.as_py()))
+                    total = found if total is None else total + found
+            if total is not None:
+                cells = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "n"])
+
+        summed = observed.select("lengths", "lines").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n")).collect()
+        k = len(STATES)
+        tallied = np.zeros(k * (2 + k + SIZES * len(WORD_KINDS) + len(SHAPES)), np.int64)
+        for cell, n in summed:
+            tallied[cell] = n
+        model = estimate(tallied)
+    return model
 
 
 def label_corpus(df: DataFrame, key: str, text: str, common: DataFrame | Sequence[str]) -> DataFrame:
-    """(key, n_words, kind, share_prose, share_list, share_table, share_junk) of every text; one pass, no shuffle."""
+    """(key, n_words, kind, share_prose, share_list, share_table, share_junk) of every text; texts are read once, none is shuffled."""
     body, sent = _with_common(df, key, text, common)
     kind_of_key = df.schema[key].dataType.simpleString()
-    model = fit_corpus(body, sent)
+    observed = cut(observe(body, sent))
+    model = fit_corpus(observed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts, words in _batches(batch, sent):
-                by_word, by_line = shares(texts, words, model)
-                n = np.array([len(t.split()) if t else 0 for t in texts])
+            for keys, lengths, rows in zip(*(batch.column(c) for c in ("keys", "lengths", "lines"))):
+                lines = unpack(lengths.as_py(), rows.as_py())
+                by_word, by_line = shares_of(lines, model)
+                n = np.bincount(np.repeat(np.arange(len(lines.lengths)), lines.lengths), lines.words, len(lines.lengths)).astype(np.int64)
                 kind = np.where(n >= MIN_WORDS, decide(by_word, by_line), 0)
-                columns = [part.column(0), pa.array(n, pa.int64()), pa.array([LABELS[k] for k in kind])]
+                columns = [keys.values, pa.array(n), pa.array([LABELS[k] for k in kind], pa.string())]
                 columns += [pa.array(by_word[:, j]) for j in range(len(LABELS))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "n_words", "kind", *(f"share_{x}" for x in LABELS)])
 
     schema = f"key {kind_of_key}, n_words bigint, kind string, " + ", ".join(f"share_{x} double" for x in LABELS)
-    return body.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return observed.mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -69,6 +69,24 @@ def test_fit_follows_data_and_keeps_what_it_has_not_seen():
             assert quality.LABELS[quality.decide(*quality.shares([text], COMMON, fitted))[0]] == kind
 
 
+def test_packed_lines_come_back():
+    lines = quality.line_statistics([*TEXTS, None, "", "word " * 61, "word " * 60], COMMON)
+    again = quality.unpack(*quality.pack(lines))
+    assert all(np.array_equal(a, b) for a, b in zip(vars(lines).values(), vars(again).values()))
+
+
+def test_corpus_model_comes_from_every_line(spark):
+    """Texts of another kind far down, and long ones, count as much as the first; neither order nor tasks matter."""
+    texts = [PROSE.replace(". ", ".\n")] * 2500 + ["Dose | N | SD\n10 mg | 5 | 0.3\n20 mg | 7 | 0.4\n30 mg | 9 | 1.2"] * 400 + ["1.20   44   0.3\n" * 3000, None, ""]
+    whole = quality.fit(quality.line_statistics(texts, COMMON))
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    for order, tasks in ((rows, 1), (rows[::-1], 5)):
+        body = spark.createDataFrame(order, "key bigint, text string, own array<string>").coalesce(tasks)
+        found = quality.fit_corpus(quality.observe(body, COMMON))
+        assert all(np.array_equal(a, b) for a, b in zip(vars(found).values(), vars(whole).values()))
+    assert not np.allclose(whole.words, quality.fit(quality.line_statistics(texts[:2000], COMMON)).words)
+
+
 def test_repeated_pairs_equal_brute_force():
     rng = np.random.default_rng(6)
     codes, owner = rng.integers(0, 9, 400), np.repeat(np.arange(8), 50)
