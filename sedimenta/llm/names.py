@@ -4,8 +4,10 @@
    name nothing (forms, salts, legal suffixes and their shortenings) are learned from the corpus (``additions``): they stand
    beside many different names and hardly ever alone. No list of them is written down.
 2. **Nodes.** Spellings with the same remaining words, in any order, are one node with the sum of their counts.
-3. **Candidates.** Nodes meet by MinHash banding over padded q-grams of their words, the number of bands taken from the
-   collision curve for a wanted recall; short names also meet by the names with one letter less.
+3. **Candidates.** Names of several words, and long ones, meet by MinHash banding over padded q-grams of their words, the number of
+   bands taken from the collision curve for a wanted recall. Words of up to ``LONG_WORD`` letters, which are made of the same few
+   syllables and so share q-grams by chance, meet by what is left of them without the letters that verification may forgive
+   (``deletions``), and by their beginnings.
 4. **Verification.** Monge-Elkan similarity over words, whose inner measure weighs slips of the hand.
 5. **Decision.** Alike is not the same: real names differ by a letter too. Two classes of verified pairs, same and different, are told
    apart by a mixture over three features of a pair (``FEATURES``) in the manner of Fellegi and Sunter, estimated from the corpus by
@@ -28,6 +30,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -150,8 +153,10 @@ def additions(names: DataFrame) -> DataFrame:
 GRAM = 3
 ROWS = 4
 WANTED_SIMILARITY, WANTED_RECALL = 0.36, 0.95
-#: Names shorter than this also meet by what is left of them without one letter, as one slip changes most of their q-grams.
-SHORT_NAME = 9
+#: Words of up to so many letters meet by what is left without a few of them, longer ones by MinHash; those near the limit by both.
+LONG_WORD = 20
+#: A word with this share of a name's letters may stand for the name; what is left is an initial or too little to count.
+MAIN_WORD = 0.7
 
 
 def collision(similarity: float, rows: int, bands: int) -> float:
@@ -195,19 +200,66 @@ def band_hashes(tokens: list[str], bands: int, rows: int = ROWS, salt: int = 0)
     return out.view(np.int64)
 
 
-def deletions(word: str, salt: int = 0) -> np.ndarray:
-    """Hashes of a short word and of what is left of it without one letter."""
-    left = {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
-    return np.array([(zlib.crc32(w.encode(), salt & 0xFFFFFFFF) << 31) ^ zlib.crc32(w[::-1].encode()) for w in sorted(left)], np.int64)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+@lru_cache(maxsize=1)
+def _powers() -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(LONG_WORD + 2, _BASE)]), dtype=np.uint64)
+
+
+def plain_form(word: str) -> str:
+    """A word without what slips change at little cost: each ``h``, and letters doubled or more."""
+    return "".join(c for c, _ in groupby(word.replace("h", ""))) or word[:1]
+
+
+def deletions(word: str, salt: int = 0, most: int = 2) -> np.ndarray:
+    """Hashes of a word of up to LONG_WORD + 2 letters and of what is left of it without one letter, or up to two.
+
+    Two words that differ by so many letters lost, added or changed share one: each is left without the letters that differ.
+    """
+    n = len(word)
+    c, power = _mixed(np.fromiter(map(ord, word), np.uint64, n)), _powers()
+    # sums of letters by place, and by the place they have after one and two letters are gone
+    p0, p1, p2 = (np.concatenate([np.zeros(k + 1, np.uint64), np.cumsum(c[k:] * power[: max(0, n - k)], dtype=np.uint64)])[: n + 1] for k in range(3))
+    parts = [p0[n:], p0[:n] + p1[n] - p1[1:]]
+    if most > 1 and n > 1:
+        i, j = np.triu_indices(n, 1)
+        parts.append(p0[i] + p1[j] - p1[i + 1] + p2[n] - p2[j + 1])
+    return np.unique(_mixed(np.concatenate(parts) ^ _mixed(np.array([salt + 1], np.uint64)))).view(np.int64)
+
+
+def beginnings(word: str, salt: int = 0) -> np.ndarray:
+    """Hashes of a word and of its beginnings that ``word_similarity`` takes for the word cut off."""
+    least = max(5, math.ceil(0.55 * len(word)))
+    return np.array([(zlib.crc32(word[:i].encode(), (salt + 7) & 0xFFFFFFFF) << 31) ^ zlib.crc32(word[i - 1 :: -1].encode()) for i in range(least, len(word) + 1)], np.int64)
+
+
+def word_keys(word: str, bands: int, rows: int = ROWS, salt: int = 0) -> list[np.ndarray]:
+    """Keys by which a single word, or a name drawn into one, meets others."""
+    plain = plain_form(word)
+    if len(plain) > LONG_WORD:
+        return [band_hashes([word], bands, rows, salt)]
+    most = 2 if allowed(len(word)) >= 2 * SLIP else 1
+    # also as written: a slip between doubled letters counts more in the plain form
+    keys = [*(deletions(x, salt, most) for x in dict.fromkeys((plain, word)) if len(x) <= LONG_WORD + 2), beginnings(word, salt)]
+    return [*keys, band_hashes([word], bands, rows, salt)] if len(plain) > LONG_WORD - 2 else keys
 
 
 def meeting_keys(tokens: list[str], joined: str, bands: int, rows: int = ROWS, salt: int = 0) -> np.ndarray:
-    """All keys by which a name meets others: bands of its words, of the words drawn into one, and of its short forms."""
-    forms = [tokens, *([[joined]] if len(tokens) > 1 else []), *([x] for x in short_forms(tokens))]
-    keys = [band_hashes(f, bands, rows, salt) for f in forms]
-    if len(joined) < SHORT_NAME:
-        keys.append(deletions(joined, salt))
-    return np.unique(np.concatenate(keys))
+    """All keys by which a name meets others: those of its word, or bands of its words and the keys of the words drawn into one, of its
+    short forms, and of a word that makes up most of the name."""
+    if len(tokens) == 1:
+        return np.unique(np.concatenate(word_keys(tokens[0], bands, rows, salt)))
+    most = [w for w in tokens if len(w) >= MAIN_WORD * sum(map(len, tokens))]
+    keys = [k for x in dict.fromkeys([joined, *short_forms(tokens), *most]) for k in word_keys(x, bands, rows, salt)]
+    return np.unique(np.concatenate([band_hashes(tokens, bands, rows, salt), *keys]))
 
 
 def short_forms(tokens: list[str]) -> list[str]:

@@ -1,3 +1,4 @@
+import math
 import random
 from itertools import combinations
 
@@ -64,6 +65,30 @@ def test_recall_of_banding_against_all_pairs():
     assert short and sum(bool(keys[i] & keys[j]) for i, j in short) >= 0.9 * len(short)
 
 
+def test_names_of_common_syllables_do_not_meet_by_chance():
+    """Made of the same few syllables, other names than the misspelled ones hardly meet, and those all do."""
+    rnd = random.Random(9)
+    parts = ["bren", "lal", "cil", "glu", "mo", "ta", "xin", "dol", "pra", "ve", "kan", "ru", "sil", "fen", "go", "ne"]
+    words = sorted({"".join(rnd.choice(parts) for _ in range(4)) for _ in range(250)})
+    bands = names.bands_for()
+    keys = {w: set(names.meeting_keys([w], w, bands).tolist()) for w in words}
+    pairs = list(combinations(words, 2))
+    met = [p for p in pairs if keys[p[0]] & keys[p[1]]]
+    alike = [p for p in pairs if names.name_similarity([p[0]], [p[1]]) >= names.LEAST_SIMILARITY]
+    assert set(alike) <= set(met) and len(met) < 0.01 * len(pairs)
+    for w in words:
+        for x in (slip(w, rnd), slip(slip(w, rnd), rnd), w[0] + w, w[:1] + "h" + w[1:], w[: math.ceil(0.6 * len(w))]):
+            if names.name_similarity([w], [x]) >= names.LEAST_SIMILARITY:
+                assert keys[w] & set(names.meeting_keys([x], x, bands).tolist()), (w, x)
+
+
+def test_hashes_of_deletions_equal_brute_force():
+    for word in ("a", "ab", "banana", "marlowenthar", "abcabcabcabcabcabcabcd"):
+        one = {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+        two = one | {x[:i] + x[i + 1 :] for x in one for i in range(len(x))}
+        assert [len(names.deletions(word, 0, m)) for m in (1, 2)] == [len(one), len(two)]
+
+
 def damerau(a, b):
     d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
